@@ -13,6 +13,7 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,18 @@ def minmax(column: str = "features_original", output: str = "features") -> MinMa
     return MinMaxScaler(inputCol=column, outputCol=output)
 
 
+def clip_to_unit(df: DataFrame, column: str = "features") -> DataFrame:
+    """Bring scaled values back into [0, 1].
+
+    Held-out rows may lie outside the range the scaler saw in training, and naive Bayes
+    rejects negative values.
+    """
+    inside = F.transform(
+        vector_to_array(column), lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
+    )
+    return df.withColumn(column, array_to_vector(inside))
+
+
 def one_hot(column: str, output: str) -> OneHotEncoder:
     return OneHotEncoder(inputCols=[column], outputCols=[output])
 

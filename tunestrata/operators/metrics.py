@@ -245,7 +245,11 @@ def ranking_by_user(
     user: str = "user_id",
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Precision at k, NDCG at k and average precision of each user with both lists."""
+    """Precision at k, NDCG at k and average precision of each user with both lists.
+
+    Pass the ``hot`` keys ``ranking_rows`` was given: looking for them here would compute
+    the lists once more.
+    """
     found = F.col("relevant") & F.col("position").isNotNull()
     # The place of a hit among the hits: non-hits are numbered after all hits.
     counted = position_within(

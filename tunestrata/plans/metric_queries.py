@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tunestrata.operators import metrics as mt
 from tunestrata.operators import recommend as rc
+from tunestrata.operators.ordering import hot_keys
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.registry import query
 
@@ -185,7 +186,8 @@ def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         from ranked where ra <= 10"""
 )
 def ranking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = rc.ranking_pairs(fx.scored(spark, sf_dir), "prediction", "plays", 10)
+    scored = fx.scored(spark, sf_dir)
+    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, hot_keys(scored, "user_id"))
     both = F.array(
         F.struct(F.lit("predicted").alias("list"), F.col("predicted_songs").alias("songs")),
         F.struct(F.lit("actual").alias("list"), F.col("actual_songs").alias("songs")),
@@ -201,8 +203,10 @@ def ranking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                round(average_precision, 6) as average_precision from by_user"""
 )
 def ranking_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mt.ranking_rows(fx.scored(spark, sf_dir), "prediction", "plays", 10)
-    return _rounded(mt.ranking_by_user(rows))
+    scored = fx.scored(spark, sf_dir)
+    hot = hot_keys(scored, "user_id")
+    rows = mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot)
+    return _rounded(mt.ranking_by_user(rows, hot=hot))
 
 
 @query(
@@ -211,5 +215,7 @@ def ranking_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
                round(avg(average_precision), 6) as mean_average_precision, count(*) as n_users from by_user"""
 )
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mt.ranking_rows(fx.scored(spark, sf_dir), "prediction", "plays", 10)
-    return _rounded(mt.ranking_metrics(rows))
+    scored = fx.scored(spark, sf_dir)
+    hot = hot_keys(scored, "user_id")
+    rows = mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot)
+    return _rounded(mt.ranking_metrics(rows, hot=hot))

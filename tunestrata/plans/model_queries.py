@@ -14,6 +14,7 @@ from tunestrata.operators import metrics as mt
 from tunestrata.operators import recommend as rc
 from tunestrata.operators import sampling as sm
 from tunestrata.operators import tuning as tn
+from tunestrata.operators.ordering import hot_keys, position_within
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.oracle_views import unit_sql
 from tunestrata.plans.registry import query
@@ -39,10 +40,10 @@ def _multi(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _prepared(checkpoint(fx.tagged(spark, sf_dir), shared_path(spark, "tagged")))
 
 
-def _compared(spark: SparkSession, sf_dir: str, estimator, scaler=None, variants=("plain", "under", "over"), **kw) -> DataFrame:
-    train, test = _binary(spark, sf_dir, scaler)
+def _compared(spark: SparkSession, sf_dir: str, estimator, **kw) -> DataFrame:
+    train, test = _binary(spark, sf_dir)
     made = cl.training_variants(train, "genres", "Electronic", "track", SEED)
-    return cl.compare_resampling(estimator, {v: made[v] for v in variants}, test, **kw)
+    return cl.compare_resampling(estimator, made, test, **kw)
 
 
 # ---- classifiers ------------------------------------------------------------
@@ -101,7 +102,9 @@ def random_forest_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def naive_bayes_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compared(spark, sf_dir, cl.naive_bayes(), ft.minmax(), ("plain", "under"))
+    train, test = _binary(spark, sf_dir, ft.minmax())
+    made = cl.training_variants(train, "genres", "Electronic", "track", SEED)
+    return cl.compare_resampling(cl.naive_bayes(), made, ft.clip_to_unit(test))
 
 
 _SCALED = ", ".join(
@@ -303,12 +306,14 @@ _INDEX = """select {c}, cast(row_number() over (order by n desc, {c}) - 1 as dou
 def decode_given_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's most played songs in the form a model returns, then flattened and decoded."""
     indexed, tables = rc.index_interactions(fx.triplets(spark, sf_dir))
-    entry = F.struct((-F.col("plays")).alias("o"), "song_id", "song_index", F.col("plays").cast("float").alias("rating"))
-    best = F.slice(F.array_sort(F.collect_list(entry)), 1, 10)
-    recs = indexed.groupBy("user_index").agg(
-        F.transform(best, lambda e: F.struct(e["song_index"].alias("song_index"), e["rating"].alias("rating"))).alias(
-            "recommendations"
-        )
+    order = [F.col("plays").desc(), F.col("song_id").asc()]
+    best = position_within(indexed, "user_id", order, "place").where(F.col("place") <= 10)
+    entry = F.struct("place", "song_index", F.col("plays").cast("float").alias("rating"))
+    recs = best.groupBy("user_index").agg(
+        F.transform(
+            F.array_sort(F.collect_list(entry)),
+            lambda e: F.struct(e["song_index"].alias("song_index"), e["rating"].alias("rating")),
+        ).alias("recommendations")
     )
     decoded = rc.decode_recommendations(recs, tables["user_id"], tables["song_id"])
     return decoded.withColumn("rating", F.col("rating").cast("double"))
@@ -317,5 +322,7 @@ def decode_given_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ranking_of_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     study = _Study(spark, sf_dir)
-    scored = rc.predict_pairs(study.model, study.test)
-    return mt.ranking_metrics(mt.ranking_rows(checkpoint(scored, shared_path(spark, "scored")), "prediction", "plays", 10))
+    scored = checkpoint(rc.predict_pairs(study.model, study.test), shared_path(spark, "scored"))
+    hot = hot_keys(scored, "user_id")
+    rows = mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot)
+    return mt.ranking_metrics(rows, hot=hot)
