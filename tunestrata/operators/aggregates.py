@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from tunestrata.operators.ordering import running_totals
 
-# Beyond this many columns one aggregate per pair makes the generated code too large.
-PAIRWISE_COLUMNS = 24
+# Beyond this many columns one aggregate per pair is slower than Spark's matrix form.
+PAIRWISE_COLUMNS = 6
 
 
 def count_by(df: DataFrame, key: str, counted: str | None = None, name: str = "n") -> DataFrame:
@@ -98,13 +98,14 @@ def describe_features(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns as ``row, col, r``.
 
-    A constant column correlates NaN with the others; the diagonal is 1. Few columns take
-    one aggregate with one expression per pair. Many take Spark's own matrix form, whose
+    Rows with a null are left out. A constant column correlates NaN with the others; the
+    diagonal is 1. Few columns take one aggregate with one expression per pair. Many take Spark's own matrix form, whose
     result has columns x columns cells whatever the number of rows.
     """
     names = list(columns)
+    complete = df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna()
     if len(names) > PAIRWISE_COLUMNS:
-        vectors = VectorAssembler(inputCols=names, outputCol="v").transform(df)
+        vectors = VectorAssembler(inputCols=names, outputCol="v").transform(complete)
         matrix = Correlation.corr(vectors, "v").first()[0].toArray()
         cells = [
             (a, b, float(matrix[i, j]))
@@ -113,18 +114,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ]
         return df.sparkSession.createDataFrame(cells, "row string, col string, r double")
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    spread = [F.stddev_samp(c).alias(f"sd{i}") for i, c in enumerate(names)]
-    one = df.select(*(F.col(c).cast("double").alias(c) for c in names)).agg(
-        *spread, *(F.corr(names[i], names[j]).alias(f"r{i}_{j}") for i, j in pairs)
+    one = complete.agg(
+        *(F.stddev_samp(c).alias(f"sd{i}") for i, c in enumerate(names)),
+        *(F.covar_samp(names[i], names[j]).alias(f"cov{i}_{j}") for i, j in pairs),
     )
-    nan = F.lit(float("nan"))
     rows = []
     for i, a in enumerate(names):
         for j, b in enumerate(names):
-            flat = (F.col(f"sd{i}") == 0) | (F.col(f"sd{j}") == 0)
-            r = F.lit(1.0) if i == j else F.when(flat, nan).otherwise(
-                F.col(f"r{min(i, j)}_{max(i, j)}")
-            )
+            r = F.lit(1.0)
+            if i != j:
+                shared = F.col(f"cov{min(i, j)}_{max(i, j)}")
+                r = F.try_divide(shared, F.col(f"sd{i}") * F.col(f"sd{j}"))
+            r = F.coalesce(r, F.lit(float("nan")))
             rows.append(F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), r.alias("r")))
     return one.select(F.inline(F.array(*rows)))
 

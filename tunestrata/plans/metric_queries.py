@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tunestrata.operators import metrics as mt
 from tunestrata.operators import recommend as rc
-from tunestrata.operators.ordering import hot_keys
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.registry import query
 
@@ -175,7 +174,8 @@ _BY_USER = f"""
 
 @query(f"with {_LISTS} select * from lists")
 def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.ranking_rows(fx.scored(spark, sf_dir), "prediction", "plays", 10)
+    hot = fx.hot_users(spark, sf_dir)
+    return mt.ranking_rows(fx.scored(spark, sf_dir), "prediction", "plays", 10, hot=hot)
 
 
 @query(
@@ -187,7 +187,7 @@ def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fx.scored(spark, sf_dir)
-    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, hot_keys(scored, "user_id"))
+    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, fx.hot_users(spark, sf_dir))
     both = F.array(
         F.struct(F.lit("predicted").alias("list"), F.col("predicted_songs").alias("songs")),
         F.struct(F.lit("actual").alias("list"), F.col("actual_songs").alias("songs")),
@@ -204,7 +204,7 @@ def ranking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranking_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fx.scored(spark, sf_dir)
-    hot = hot_keys(scored, "user_id")
+    hot = fx.hot_users(spark, sf_dir)
     rows = mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot)
     return _rounded(mt.ranking_by_user(rows, hot=hot))
 
@@ -216,6 +216,6 @@ def ranking_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fx.scored(spark, sf_dir)
-    hot = hot_keys(scored, "user_id")
+    hot = fx.hot_users(spark, sf_dir)
     rows = mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot)
     return _rounded(mt.ranking_metrics(rows, hot=hot))

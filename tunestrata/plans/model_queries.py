@@ -222,7 +222,8 @@ class _Study:
     """Indexed interactions split in two, written once, with a model fitted on the larger part."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, implicit: bool = True):
-        indexed, tables = rc.index_interactions(fx.triplets(spark, sf_dir))
+        plays = checkpoint(fx.triplets(spark, sf_dir), shared_path(spark, "triplets"))
+        indexed, tables = rc.index_interactions(plays)
         indexed = checkpoint(indexed, shared_path(spark, "indexed-triplets"))
         self.users = checkpoint(tables["user_id"], shared_path(spark, "users"))
         self.songs = checkpoint(tables["song_id"], shared_path(spark, "songs"))
@@ -305,9 +306,12 @@ _INDEX = """select {c}, cast(row_number() over (order by n desc, {c}) - 1 as dou
 )
 def decode_given_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's most played songs in the form a model returns, then flattened and decoded."""
-    indexed, tables = rc.index_interactions(fx.triplets(spark, sf_dir))
+    plays = checkpoint(fx.triplets(spark, sf_dir), shared_path(spark, "triplets"))
+    indexed, tables = rc.index_interactions(plays)
     order = [F.col("plays").desc(), F.col("song_id").asc()]
-    best = position_within(indexed, "user_id", order, "place").where(F.col("place") <= 10)
+    best = position_within(
+        indexed, "user_id", order, "place", hot=fx.hot_users(spark, sf_dir)
+    ).where(F.col("place") <= 10)
     entry = F.struct("place", "song_index", F.col("plays").cast("float").alias("rating"))
     recs = best.groupBy("user_index").agg(
         F.transform(
