@@ -15,9 +15,11 @@ from tunestrata.functions import (
     strip_quotes,
 )
 from tunestrata.operators import aggregates as ag
+from tunestrata.operators import features as ft
 from tunestrata.operators import joins
 from tunestrata.operators import ordering as od
 from tunestrata.plans import fixtures as fx
+from tunestrata.session import apply_skew_settings, shared_path
 
 
 def frame(spark, data, schema):
@@ -132,6 +134,60 @@ def test_rank_of_hot_groups_equals_plain_rank(spark, many_slices, descending):
     assert as_text(od.rank_within(df, "user_id", "plays", descending=descending)) == as_text(plain)
 
 
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_top_n_of_hot_groups_equals_plain_rank(spark, many_slices, n, descending):
+    df = skewed(spark)
+    hot = od.HotKeys("user_id", ("hot", "u3"), has_null=True)
+    order = F.col("plays").desc() if descending else F.col("plays").asc()
+    plain = df.withColumn("rank", F.rank().over(Window.partitionBy("user_id").orderBy(order)).cast("bigint"))
+    top = od.top_n_per_group(df, "user_id", "plays", n, descending=descending, hot=hot)
+    assert as_text(top) == as_text(plain.where(F.col("rank") <= n))
+
+
+@pytest.fixture
+def hot_song(spark, sf_dir):
+    """Plays of which more than half go to one song, under settings that make this a skew."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8000",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    apply_skew_settings(spark)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    path = shared_path(spark, "hot-song")
+    fx.table(spark, sf_dir, "lineitem").repartition(8).select(
+        F.when(F.col("l_quantity") < 30, "hot").otherwise(F.col("l_partkey").cast("string")).alias("song_id"),
+        F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("user_id"),
+        F.col("l_extendedprice").alias("plays"),
+    ).write.parquet(path)
+    yield spark.read.parquet(path)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def splits(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("skew=true")
+
+
+def test_hot_join_keys_are_split(spark, sf_dir, hot_song):
+    bad = frame(spark, [(str(i),) for i in range(0, 200, 9)] * 2, "song_id string")
+    assert splits(joins.exclude(hot_song, bad, "song_id"))
+    # Also where the next step groups by the join key.
+    assert splits(joins.exclude(hot_song, bad, "song_id").groupBy("song_id").agg(F.sum("plays")))
+    wrong, fine = fx.mismatches(spark, sf_dir), fx.accepted(spark, sf_dir)
+    assert splits(joins.clean_triplets(hot_song, wrong, fine))
+    assert splits(joins.prune_interactions(hot_song, 600_000, 2))
+    assert splits(joins.attach_metadata(hot_song, fx.metadata(spark, sf_dir)))
+    assert splits(ft.apply_index(hot_song, ft.index_table(hot_song, "song_id", "i"), "song_id", "i"))
+    index = hot_song.select("song_id", F.hash("song_id").alias("i"))
+    assert splits(joins.decode_index(hot_song, index, "song_id"))
+
+
 def test_null_group_can_be_hot(spark, many_slices):
     df = skewed(spark).withColumn("user_id", F.when(F.col("user_id") != "hot", F.col("user_id")))
     hot = od.hot_keys(df, "user_id", hot_rows=100, hot_share=0.05)

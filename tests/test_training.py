@@ -194,7 +194,7 @@ def test_most_confident_is_ordered(binary):
 
 
 def test_naive_bayes_needs_scaled_features(binary):
-    with pytest.raises(Exception, match="nonnegative"):
+    with pytest.raises(Exception, match="Negative"):
         cl.naive_bayes().fit(binary[0])
 
 

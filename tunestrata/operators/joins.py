@@ -1,24 +1,45 @@
 """Joins and exclusion lists.
 
 No side is broadcast by hand: the right sides here grow with the data, and Spark knows
-their size when it picks the join. A hot key on the left is split by adaptive execution
-(``session.SKEW_SETTINGS``); right sides are reduced to distinct keys before the shuffle.
+their size when it picks the join. Where a sort-merge join is picked, adaptive execution
+splits the partition of a hot left key (``session.SKEW_SETTINGS``), but only if both inputs
+of the join come straight from a shuffle. An aggregate that already has the layout of the
+join would be joined in place, without one; ``per_key`` avoids that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunestrata.functions import strip_quotes
 
 
-def exclude(df: DataFrame, bad: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose key is not in ``bad``. A null key matches nothing and stays."""
+def per_key(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """One row per key, made to be joined with rows that may have hot keys.
+
+    Grouping by the keys as one struct leaves a layout the join cannot use, so the result,
+    already folded to one row per key, is shuffled for the join like its other side.
+    """
+    key = F.struct(*keys).alias("_key")
+    if not aggregates:
+        return df.select(key).distinct().select("_key.*")
+    grouped = df.groupBy(key).agg(*aggregates)
+    return grouped.select("_key.*", *(c for c in grouped.columns if c != "_key"))
+
+
+def exclude(
+    df: DataFrame, bad: DataFrame, keys: str | Sequence[str], unique: bool = False
+) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``bad``. A null key matches nothing and stays.
+
+    ``unique`` says that ``bad`` has each key once, so it need not be made distinct.
+    """
     names = [keys] if isinstance(keys, str) else list(keys)
-    return df.join(bad.select(*names).distinct(), names, "left_anti")
+    listed = bad.select(*names) if unique else per_key(bad, names)
+    return df.join(listed, names, "left_anti")
 
 
 def rejected_songs(
@@ -77,27 +98,19 @@ def prune_interactions(
 
     Both lists are taken from the table as it comes in.
     """
-    rare = (
-        triplets.groupBy("song_id")
-        .agg(F.sum("plays").alias("n"))
-        .where(F.col("n") < min_song_plays)
-    )
-    light = (
-        triplets.groupBy("user_id")
-        .agg(F.countDistinct("song_id").alias("n"))
-        .where(F.col("n") < min_user_songs)
-    )
-    return exclude(exclude(triplets, rare, "song_id"), light, "user_id")
+    plays, songs = F.sum("plays").alias("n"), F.countDistinct("song_id").alias("n")
+    rare = per_key(triplets, ["song_id"], plays).where(F.col("n") < min_song_plays)
+    light = per_key(triplets, ["user_id"], songs).where(F.col("n") < min_user_songs)
+    kept = exclude(triplets, rare, "song_id", unique=True)
+    return exclude(kept, light, "user_id", unique=True)
 
 
 def prune_users(triplets: DataFrame, min_songs: int) -> DataFrame:
     """Drop users left with too few songs."""
-    light = (
-        triplets.groupBy("user_id")
-        .agg(F.count("song_id").alias("n"))
-        .where(F.col("n") < min_songs)
+    light = per_key(triplets, ["user_id"], F.count("song_id").alias("n")).where(
+        F.col("n") < min_songs
     )
-    return exclude(triplets, light, "user_id")
+    return exclude(triplets, light, "user_id", unique=True)
 
 
 def decode_index(df: DataFrame, index: DataFrame, column: str) -> DataFrame:

@@ -11,7 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunestrata.functions import drop_nan
-from tunestrata.operators.ordering import HotKeys, hot_keys, position_within, rank_within, running_totals
+from tunestrata.operators.ordering import (
+    HotKeys,
+    hot_keys,
+    position_within,
+    rank_within,
+    running_totals,
+    top_n_per_group,
+)
 
 # ---- binary scores ----------------------------------------------------------
 
@@ -204,22 +211,28 @@ def ranking_rows(
     ``position`` is the place in the predicted list (null outside it), ``relevant`` tells
     whether the item is in the actual list. Both lists hold items of ``scored`` only: with
     a user's own held-out songs scored, this judges the order of those songs, not picks
-    from the whole catalogue. Both windows use the same partitioning: one shuffle.
+    from the whole catalogue. All windows use the same partitioning: one shuffle. Hot
+    users get each list by itself, cut down before anything is sorted.
     """
     hot = hot_keys(scored, user) if hot is None else hot
     base = scored.select(user, item, predicted, actual)
-    ranked = rank_within(base, user, predicted, "_rank", hot=hot)
-    ranked = rank_within(ranked, user, actual, "_actual_rank", hot=hot)
-    placed = position_within(
-        ranked, user, [F.col(predicted).desc(), F.col(item).asc()], "_position", hot=hot
-    )
-    listed = F.col("_rank") <= n
-    return placed.where(listed | (F.col("_actual_rank") <= n)).select(
-        user,
-        item,
-        F.when(listed, F.col("_position")).alias("position"),
-        (F.col("_actual_rank") <= n).alias("relevant"),
+    order = [F.col(predicted).desc(), F.col(item).asc()]
+    none = HotKeys(user, ())
+    cold = base.where(~hot.flag()) if hot else base
+    ranked = rank_within(cold, user, predicted, "_rank", hot=none)
+    ranked = rank_within(ranked, user, actual, "_actual_rank", hot=none)
+    placed = position_within(ranked, user, order, "_position", hot=none)
+    listed, relevant = F.col("_rank") <= n, F.col("_actual_rank") <= n
+    lists = placed.where(listed | relevant).select(
+        user, item, F.when(listed, F.col("_position")).alias("position"), relevant.alias("relevant")
     )
+    if not hot:
+        return lists
+    large = base.where(hot.flag())
+    said = top_n_per_group(large, user, predicted, n, "_rank", hot=hot)
+    said = position_within(said, user, order, "position", hot=hot)
+    good = top_n_per_group(large, user, actual, n, "_rank", hot=hot)
+    return lists.unionByName(ranking_rows_from_lists(said, good, user, item))
 
 
 def ranking_rows_from_lists(

@@ -54,11 +54,19 @@ def hot_keys(
     return HotKeys(key, tuple(v for v in found if v is not None), None in found)
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+def _join_null_safe(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, small: bool = False
+) -> DataFrame:
+    """Join where null meets null; the right side's keys drop out.
+
+    ``small`` marks a right side of proven size.
+    """
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    joined = left.join(F.broadcast(named) if small else named, condition, how)
+    return joined.drop(*(f"_right_{k}" for k in keys))
 
 
 def running_totals(
@@ -97,9 +105,9 @@ def running_totals(
         *slices.columns,
         *(F.coalesce(F.sum(a).over(inside), F.lit(0)).alias(f"_local_{a}") for a in amounts),
     )
-    joined = local.join(F.broadcast(shifts), _same(local, shifts, keys), "left")
+    joined = _join_null_safe(local, shifts, keys, "left", small=True)
     return joined.select(
-        *(local[c] for c in df.columns),
+        *df.columns,
         *((F.col(f"_local_{a}") + F.col(f"_shift_{a}")).alias(f"{a}_before") for a in amounts),
     )
 
@@ -157,10 +165,7 @@ def rank_within(
     ranks = running_totals(ties, [order], ["_n"], within=[part]).select(
         part, by, (F.col("_n_before") + 1).alias(name)
     )
-    ranked = hot_rows.join(ranks, _same(hot_rows, ranks, [part, by]), "left").select(
-        *(hot_rows[c] for c in df.columns), ranks[name]
-    )
-    return cold.unionByName(ranked)
+    return cold.unionByName(_join_null_safe(hot_rows, ranks, [part, by], "left"))
 
 
 def position_within(
@@ -195,9 +200,27 @@ def top_n_per_group(
     """Rows ranked ``n`` or better. Ties at the edge stay, so a group may return more.
 
     With the rank filter beside the window Spark drops rows beyond rank ``n`` before the
-    shuffle already.
+    shuffle already. A hot group is folded to one row per value first: its ``n`` best
+    values, with a count each, decide which rows stay, and no task sorts the rows.
     """
-    return rank_within(df, part, by, name, descending, hot).where(F.col(name) <= n)
+    order = F.col(by).desc() if descending else F.col(by).asc()
+    cold_rows, hot_rows = _split_hot(df, part, hot)
+    cold = cold_rows.withColumn(
+        name, F.rank().over(Window.partitionBy(part).orderBy(order)).cast("bigint")
+    ).where(F.col(name) <= n)
+    if hot_rows is None:
+        return cold
+    best_first = Window.partitionBy(part).orderBy(order)
+    ties = hot_rows.groupBy(part, by).agg(F.count(F.lit(1)).alias("_n"))
+    best = ties.withColumn("_place", F.dense_rank().over(best_first)).where(F.col("_place") <= n)
+    above = F.sum("_n").over(best_first.rowsBetween(Window.unboundedPreceding, -1))
+    ranks = best.select(part, by, (F.coalesce(above, F.lit(0)) + 1).alias(name)).where(
+        F.col(name) <= n
+    )
+    # At most n rows for each hot key.
+    return cold.unionByName(
+        _join_null_safe(hot_rows, ranks, [part, by], "inner", small=True)
+    )
 
 
 def collect_top_items(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunestrata.functions import hash_bucket, hash_fraction
+from tunestrata.operators.joins import exclude
 from tunestrata.session import pin
 
 _DRAW = "_draw"
@@ -60,12 +61,8 @@ def stratified_split(
 
 
 def holdout(df: DataFrame, sample: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """The rows a sample given from elsewhere left out; ``keys`` identify a row.
-
-    The sample's keys are unique as the rows' are, so nothing has to be made distinct.
-    """
-    names = [keys] if isinstance(keys, str) else list(keys)
-    return df.join(sample.select(*names), names, "left_anti")
+    """The rows a sample given from elsewhere left out; ``keys`` identify a row."""
+    return exclude(df, sample, keys, unique=True)
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunestrata.functions import binarize_label, hash_bucket
-from tunestrata.operators.joins import attach_genre
+from tunestrata.operators.joins import attach_genre, per_key
 from tunestrata.operators.ordering import HotKeys, hot_keys
 from tunestrata.sources import parse_match_log
 
@@ -156,7 +156,7 @@ def judged_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triplets with a popularity score as the prediction, NaN for some songs."""
     plays = triplets(spark, sf_dir)
-    total = plays.groupBy("song_id").agg(F.sum("plays").alias("total"))
+    total = per_key(plays, ["song_id"], F.sum("plays").alias("total"))
     score = F.when(F.col("total") % 97 == 0, float("nan")).otherwise(
         F.col("total").cast("double") / 1000
     )
