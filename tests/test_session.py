@@ -54,3 +54,13 @@ def test_partitions(spark):
 def test_skew_settings(spark):
     ss.apply_skew_settings(spark)
     assert all(spark.conf.get(k) == v for k, v in ss.SKEW_SETTINGS.items())
+
+
+def test_shuffle_size(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert ss.size_shuffles(spark) == 32
+        assert ss.size_shuffles(spark, input_bytes=100 << 40) == 204_800
+        assert spark.conf.get(key) == "204800"
+    finally:
+        spark.conf.unset(key)

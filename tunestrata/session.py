@@ -75,6 +75,24 @@ def cluster_slots(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+def size_shuffles(
+    spark: SparkSession,
+    input_bytes: int | None = None,
+    per_slot: int = 4,
+    partition_bytes: int = 512 << 20,
+) -> int:
+    """Set how many partitions a shuffle has before adaptive execution merges small ones.
+
+    Merging works in one direction only, so this has to suit the largest shuffle: a few
+    tasks per slot, and partitions that fit into memory for the given input.
+    """
+    partitions = per_slot * cluster_slots(spark)
+    if input_bytes is not None:
+        partitions = max(partitions, -(-input_bytes // partition_bytes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+    return partitions
+
+
 def spread(df: DataFrame, partitions: int | None = None, per_slot: int = 4) -> DataFrame:
     """Repartition a training input; a multiple of the task slots unless told otherwise."""
     return df.repartition(partitions or per_slot * cluster_slots(df.sparkSession))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def read_delimited(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = ","
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, sep: str = ","
 ) -> DataFrame:
     """Headerless delimited text with a known schema; compression follows the extension.
 
@@ -20,7 +20,7 @@ def read_delimited(
 
 
 def read_inferred(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None
 ) -> DataFrame:
     """CSV with a header. Types are inferred (one more pass) unless a schema is given."""
     if schema is not None:
