@@ -176,3 +176,4 @@ def test_ranking_rows_take_one_shuffle_by_user(spark, sf_dir):
     rows_ = mt.ranking_rows(df, "l_quantity", "l_tax", 10, hot=hot)
     plan = mt.ranking_by_user(rows_, hot=hot)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+    assert plan.count("Sort [") == 3  # positions with ranks by prediction, ranks by plays, hits

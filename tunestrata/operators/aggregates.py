@@ -175,15 +175,15 @@ def histogram(
 ) -> DataFrame:
     """Equal-width bins over [min, max] as ``bin, lo, hi, n``, empty bins included.
 
-    The last bin is closed on the right. ``max_value`` leaves out values at or above it.
+    Two passes, one for the range and one for the counts, and no shuffle of more than one
+    row per bin and task. The last bin is closed on the right. ``max_value`` leaves out values at or above it.
     A column with a single value gets a range of one around it.
     """
     kept = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
     if max_value is not None:
         kept = kept.where(F.col("x") < max_value)
-    values = kept.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     single = F.min("x") == F.max("x")
-    bounds = values.agg(
+    bounds = kept.agg(
         F.struct(
             F.when(single, F.min("x") - 0.5).otherwise(F.min("x")).alias("lo"),
             F.when(single, F.max("x") + 0.5).otherwise(F.max("x")).alias("hi"),
@@ -192,15 +192,14 @@ def histogram(
     lo, hi = F.col("b.lo"), F.col("b.hi")
     width = (hi - lo) / bins
     counts = (
-        values.withColumn("b", bounds)
-        .select(
-            F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).alias("bin"), "n"
-        )
+        kept.withColumn("b", bounds)
+        .select(F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).alias("bin"))
         .groupBy("bin")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     frame = df.sparkSession.range(bins).select(F.col("id").alias("bin")).withColumn("b", bounds)
-    return frame.join(counts, "bin", "left").select(
+    # At most one row per bin.
+    return frame.join(F.broadcast(counts), "bin", "left").select(
         "bin",
         (lo + width * F.col("bin")).alias("lo"),
         (lo + width * (F.col("bin") + 1)).alias("hi"),

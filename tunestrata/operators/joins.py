@@ -113,12 +113,15 @@ def prune_users(triplets: DataFrame, min_songs: int) -> DataFrame:
     return exclude(triplets, light, "user_id", unique=True)
 
 
-def decode_index(df: DataFrame, index: DataFrame, column: str) -> DataFrame:
+def decode_index(
+    df: DataFrame, index: DataFrame, column: str, unique: bool = False
+) -> DataFrame:
     """Left join from an index column back to the id it stands for.
 
-    ``index`` may repeat its pairs (e.g. be the indexed interactions themselves).
+    ``index`` may repeat its pairs (e.g. be the indexed interactions themselves), unless it
+    is said to be ``unique``.
     """
-    return df.join(index.distinct(), column, "left")
+    return df.join(index if unique else index.distinct(), column, "left")
 
 
 def explode_recommendations(

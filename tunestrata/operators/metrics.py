@@ -219,9 +219,10 @@ def ranking_rows(
     order = [F.col(predicted).desc(), F.col(item).asc()]
     none = HotKeys(user, ())
     cold = base.where(~hot.flag()) if hot else base
-    ranked = rank_within(cold, user, predicted, "_rank", hot=none)
-    ranked = rank_within(ranked, user, actual, "_actual_rank", hot=none)
-    placed = position_within(ranked, user, order, "_position", hot=none)
+    # In this order the rank by prediction can use the sort made for the positions.
+    placed = position_within(cold, user, order, "_position", hot=none)
+    placed = rank_within(placed, user, predicted, "_rank", hot=none)
+    placed = rank_within(placed, user, actual, "_actual_rank", hot=none)
     listed, relevant = F.col("_rank") <= n, F.col("_actual_rank") <= n
     lists = placed.where(listed | relevant).select(
         user, item, F.when(listed, F.col("_position")).alias("position"), relevant.alias("relevant")

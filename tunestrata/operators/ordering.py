@@ -20,7 +20,7 @@ from tunestrata.session import pin
 # A key is hot when it has more rows than one task should sort, and more than this share
 # of all rows. The share bounds the number of hot keys to 1 / HOT_SHARE.
 HOT_ROWS = 5_000_000
-HOT_SHARE = 1e-4
+HOT_SHARE = 2e-5
 
 _SLICE = "_slice"
 _SPOT = "_spot"

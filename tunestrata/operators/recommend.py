@@ -53,13 +53,16 @@ def recommend_for_users(model: ALSModel, users: DataFrame, k: int = 10) -> DataF
 def decode_recommendations(
     recs: DataFrame, users: DataFrame, songs: DataFrame
 ) -> DataFrame:
-    """Recommendation arrays to rows, with user and song ids in place of numbers."""
+    """Recommendation arrays to rows, with user and song ids in place of numbers.
+
+    ``users`` and ``songs`` are index tables: one row per number.
+    """
     rows = explode_recommendations(recs, "user_index", "song_index")
     rows = rows.withColumns(
         {c: F.col(c).cast("double") for c in ("user_index", "song_index")}
     )
-    named = decode_index(rows, users.select("user_index", "user_id"), "user_index")
-    return decode_index(named, songs.select("song_index", "song_id"), "song_index")
+    named = decode_index(rows, users.select("user_index", "user_id"), "user_index", unique=True)
+    return decode_index(named, songs.select("song_index", "song_id"), "song_index", unique=True)
 
 
 def recommendation_card(

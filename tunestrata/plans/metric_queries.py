@@ -11,7 +11,7 @@ from tunestrata.plans import fixtures as fx
 from tunestrata.plans.registry import query
 
 
-def _areas_sql(table: str, score: str, label: str) -> str:
+def areas_sql(table: str, score: str, label: str) -> str:
     """Both areas from cumulative counts over the distinct scores."""
     return f"""
         with c as (select {score} as score, count(*) filter (where {label} = 1)::double as pos,
@@ -32,17 +32,17 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in doubles})
 
 
-@query(_areas_sql("judged", "score", "label"))
+@query(areas_sql("judged", "score", "label"))
 def areas_distinct_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.binary_areas(fx.judged(spark, sf_dir), score="score"))
 
 
-@query(_areas_sql("judged", "l_quantity", "label"))
+@query(areas_sql("judged", "l_quantity", "label"))
 def areas_tied_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.binary_areas(fx.judged(spark, sf_dir), score="l_quantity"))
 
 
-@query(_areas_sql("binary_tagged", "f1", "case when genres = 'Electronic' then 1 else 0 end"))
+@query(areas_sql("binary_tagged", "f1", "case when genres = 'Electronic' then 1 else 0 end"))
 def areas_of_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.binary_tagged(spark, sf_dir).select(
         "f1", F.when(F.col("genres") == "Electronic", 1.0).otherwise(0.0).alias("label")
@@ -51,14 +51,14 @@ def areas_of_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"select auroc from ({_areas_sql('judged', 'score', 'label')}) a"
+    f"select auroc from ({areas_sql('judged', 'score', 'label')}) a"
 )
 def area_under_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.area_under_roc(fx.judged(spark, sf_dir), score="score"))
 
 
 @query(
-    f"select aupr from ({_areas_sql('judged', 'score', 'label')}) a"
+    f"select aupr from ({areas_sql('judged', 'score', 'label')}) a"
 )
 def area_under_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.area_under_pr(fx.judged(spark, sf_dir), score="score"))
@@ -88,7 +88,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.confusion_matrix(mt.confusion_cells(fx.judged_classes(spark, sf_dir)), [0, 1, 2, 3])
 
 
-def _per_class_sql(table: str) -> str:
+def per_class_sql(table: str) -> str:
     return f"""
         select class, actual, case when said = 0 then 0 else tp / said end as precision,
                case when actual = 0 then 0 else tp / actual end as recall,
@@ -100,7 +100,7 @@ def _per_class_sql(table: str) -> str:
 
 
 @query(
-    f"select class, actual, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from ({_per_class_sql('judged_classes')}) p"
+    f"select class, actual, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from ({per_class_sql('judged_classes')}) p"
 )
 def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.per_class_metrics(mt.confusion_cells(fx.judged_classes(spark, sf_dir))))
@@ -112,16 +112,18 @@ def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                round(sum(precision * actual) / sum(actual), 6) as weighted_precision,
                round(sum(recall * actual) / sum(actual), 6) as weighted_recall,
                round(sum(f1 * actual) / sum(actual), 6) as weighted_f1
-        from ({_per_class_sql('judged_classes')}) p"""
+        from ({per_class_sql('judged_classes')}) p"""
 )
 def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.overall_metrics(mt.confusion_cells(fx.judged_classes(spark, sf_dir))))
 
 
-@query(
-    f"""with p as ({_per_class_sql('judged')}), a as ({_areas_sql('judged', 'score', 'label')})
+def report_sql(table: str, score: str) -> str:
+    """The whole report; its first CTE may be put after others."""
+    return f"""
+        p as ({per_class_sql(table)}), a as ({areas_sql(table, score, 'label')})
         select 'accuracy' as metric, null::double as class,
-               round(avg(case when label = prediction then 1.0::double else 0.0::double end), 6) as value from judged
+               round(avg(case when label = prediction then 1.0::double else 0.0::double end), 6) as value from {table}
         union all select 'weighted_precision', null, round(sum(precision * actual) / sum(actual), 6) from p
         union all select 'weighted_recall', null, round(sum(recall * actual) / sum(actual), 6) from p
         union all select 'weighted_f1', null, round(sum(f1 * actual) / sum(actual), 6) from p
@@ -129,10 +131,12 @@ def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         union all select 'recall', class, round(recall, 6) from p
         union all select 'f1', class, round(f1, 6) from p
         union all select concat('confusion_as_', cast(cast(prediction as int) as varchar)), label, count(*)::double
-                  from judged group by label, prediction
+                  from {table} group by label, prediction
         union all select 'auroc', null, auroc from a
         union all select 'aupr', null, aupr from a"""
-)
+
+
+@query("with " + report_sql("judged", "score"))
 def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.classification_report(fx.judged(spark, sf_dir), score="score"))
 

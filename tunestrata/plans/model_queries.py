@@ -16,6 +16,7 @@ from tunestrata.operators import sampling as sm
 from tunestrata.operators import tuning as tn
 from tunestrata.operators.ordering import hot_keys, position_within
 from tunestrata.plans import fixtures as fx
+from tunestrata.plans.metric_queries import report_sql
 from tunestrata.plans.oracle_views import unit_sql
 from tunestrata.plans.registry import query
 from tunestrata.session import shared_path
@@ -107,32 +108,73 @@ def naive_bayes_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.compare_resampling(cl.naive_bayes(), made, ft.clip_to_unit(test))
 
 
-_SCALED = ", ".join(
-    f"({c} - (select min({c}) from t)) / ((select max({c}) from t) - (select min({c}) from t)) as {c}"
-    for c in fx.FEATURES
-)
+def _scaled(expression: str) -> str:
+    return ", ".join(
+        expression.format(v=f"({c} - lo_{c}) / (hi_{c} - lo_{c})", c=c) for c in fx.FEATURES
+    )
+
+
+# Naive Bayes has a closed form, so fit and scores can be written as SQL: training rows
+# scaled to [0, 1], sums per class, then the log parameters.
+_BAYES = f"""
+    t as (select * from binary_tagged where {unit_sql(SEED, 'track')} < 0.7),
+    e as (select * from binary_tagged where {unit_sql(SEED, 'track')} >= 0.7),
+    b as (select {", ".join(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in fx.FEATURES)} from t),
+    s as (select case when genres = 'Electronic' then 1.0::double else 0.0::double end as class,
+                 {_scaled("{v} as {c}")} from t, b),
+    sums as (select class, count(*)::double as n, {", ".join(f"sum({c}) as {c}" for c in fx.FEATURES)}
+             from s group by class),
+    whole as (select *, {" + ".join(fx.FEATURES)} as total, sum(n) over () as n_all, count(*) over () as k from sums),
+    logs as (select class, ln(n + 1) - ln(n_all + k) as pi,
+                    {", ".join(f"ln({c} + 1) - ln(total + 10) as t_{c}" for c in fx.FEATURES)} from whole),
+    x as (select track, genres, {_scaled("greatest(least({v}, 1), 0) as {c}")} from e, b),
+    raws as (select track, genres, class, pi + {" + ".join(f"{c} * t_{c}" for c in fx.FEATURES)} as raw from x, logs),
+    scores as (select track, genres, case when genres = 'Electronic' then 1.0::double else 0.0::double end as label,
+                      max(raw) filter (where class = 1) as raw1,
+                      1 / (1 + exp(max(raw) filter (where class = 0) - max(raw) filter (where class = 1))) as p,
+                      case when max(raw) filter (where class = 1) > max(raw) filter (where class = 0)
+                           then 1.0::double else 0.0::double end as prediction
+               from raws group by track, genres)"""
+
+
+def _bayes(spark: SparkSession, sf_dir: str):
+    """The fitted model and the scored test part."""
+    train, test = _binary(spark, sf_dir, ft.minmax())
+    model = cl.naive_bayes().fit(train)
+    return model, cl.score(model, ft.clip_to_unit(test))
 
 
 @query(
-    f"""with t as (select * from binary_tagged where {unit_sql(SEED, 'track')} < 0.7),
-             s as (select case when genres = 'Electronic' then 1.0::double else 0.0::double end as class, {_SCALED} from t),
-             sums as (select class, count(*)::double as n, {", ".join(f"sum({c}) as {c}" for c in fx.FEATURES)} from s group by class),
-             whole as (select *, {" + ".join(fx.FEATURES)} as total, sum(n) over () as n_all, count(*) over () as k from sums)
-        {" union all ".join(
-            f"select class, '{c}' as feature, round(ln({c} + 1) - ln(total + 10), 6) as theta, "
-            f"round(ln(n + 1) - ln(n_all + k), 6) as pi from whole" for c in fx.FEATURES)}"""
+    f"with {_BAYES} "
+    + " union all ".join(
+        f"select class, '{c}' as feature, round(t_{c}, 6) as theta, round(pi, 6) as pi from logs" for c in fx.FEATURES
+    )
 )
 def naive_bayes_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _binary(spark, sf_dir, ft.minmax())
-    parameters = cl.bayes_parameters(cl.naive_bayes().fit(train), fx.FEATURES)
+    parameters = cl.bayes_parameters(_bayes(spark, sf_dir)[0], fx.FEATURES)
     return parameters.withColumns({c: F.round(c, 6) for c in ("theta", "pi")})
 
 
-@query()
+@query(f"with {_BAYES} select track, genres, label, round(p, 6) as p, prediction from scores")
+def naive_bayes_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = vector_to_array("probability")[1]
+    return _bayes(spark, sf_dir)[1].select(
+        "track", "genres", "label", F.round(p, 6).alias("p"), "prediction"
+    )
+
+
+@query(f"with {_BAYES}, {report_sql('scores', 'raw1')}")
+def naive_bayes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.classification_report(_bayes(spark, sf_dir)[1]).withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""with {_BAYES}
+        select track, genres, round(1 - p, 6) as p_class, prediction from scores order by 1 - p desc, track limit 10"""
+)
 def most_confident_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _binary(spark, sf_dir)
-    scored = cl.score(cl.binary_logistic().fit(train), test)
-    return cl.most_confident(scored, 10, "track").select("track", "genres", "p_class", "prediction")
+    best = cl.most_confident(_bayes(spark, sf_dir)[1], 10, "track")
+    return best.select("track", "genres", F.round("p_class", 6).alias("p_class"), "prediction")
 
 
 @query()

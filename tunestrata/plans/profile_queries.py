@@ -11,6 +11,8 @@ from tunestrata.operators import joins, ordering, sampling
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.oracle_views import hash_sql
 from tunestrata.plans.registry import query
+from tunestrata.session import shared_path
+from tunestrata.sources import checkpoint
 
 MIN_SONG_PLAYS, MIN_USER_SONGS, MIN_SONGS_LEFT = 631, 27, 20
 
@@ -105,7 +107,8 @@ def prune_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             (select user_id from pruned group by user_id having count(song_id) < {MIN_SONGS_LEFT})"""
 )
 def prune_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.prune_users(_pruned(spark, sf_dir), MIN_SONGS_LEFT)
+    pruned = checkpoint(_pruned(spark, sf_dir), shared_path(spark, "pruned"))
+    return joins.prune_users(pruned, MIN_SONGS_LEFT)
 
 
 @query(
@@ -117,7 +120,7 @@ def prune_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         from counts"""
 )
 def pruned_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pruned = _pruned(spark, sf_dir)
+    pruned = checkpoint(_pruned(spark, sf_dir), shared_path(spark, "pruned"))
     per_user = ag.count_by(pruned, "user_id", "song_id")
     songs = ag.distinct_count(pruned, "song_id")
     return per_user.agg(
