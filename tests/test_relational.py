@@ -214,7 +214,9 @@ def test_top_n_keeps_ties_and_lists_are_ordered(spark, many_slices):
     hot = od.HotKeys("user_id", ("u",))
     for choice in (None, hot):
         lists = od.collect_top_items(df, "user_id", "plays", "song_id", 3, choice)
-        assert rows(lists) == [("u", ["a", "b", "c", "d"]), ("v", ["x"])]
+        assert rows(lists) == [("u", 0, ["a", "b", "c", "d"]), ("v", 0, ["x"])]
+        chunks = od.collect_top_items(df, "user_id", "plays", "song_id", 3, choice, chunk_size=3)
+        assert rows(chunks) == [("u", 0, ["a", "b", "c"]), ("u", 1, ["d"]), ("v", 0, ["x"])]
 
 
 def test_top_n_is_cut_before_the_shuffle(spark, sf_dir):
@@ -222,6 +224,9 @@ def test_top_n_is_cut_before_the_shuffle(spark, sf_dir):
     top = od.top_n_per_group(df, "l_orderkey", "l_quantity", 2, hot=od.HotKeys("l_orderkey", ()))
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
+    lists = od.collect_top_items(df, "l_orderkey", "l_quantity", "l_linenumber", 2, od.HotKeys("l_orderkey", ()))
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
 
 
 def test_running_totals(spark, many_slices):

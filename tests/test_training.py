@@ -54,6 +54,18 @@ def test_null_stratum_goes_to_the_rest(spark):
     assert rows(a) == [("b", "x")] and rows(b) == [("a", None)]
 
 
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.createDataFrame([(None, "x"), ("a", "x")], "key string, g string")
+    a, b = sm.stratified_split(df, "key", 1, 0.5)
+    assert rows(a.unionByName(b)) == rows(df)
+
+
+def test_numbers_can_be_indexed(spark):
+    df = spark.createDataFrame([(7,), (7,), (3,)], "k int")
+    table = ft.index_table(df, "k", "i")
+    assert rows(ft.apply_index(df, table, "k", "i")) == [(3, 1.0), (7, 0.0), (7, 0.0)]
+
+
 def test_holdout_is_the_complement(labelled):
     a, b = sm.stratified_split(labelled, "key", 3, 0.3)
     assert rows(sm.holdout(labelled, a, "key")) == rows(b)

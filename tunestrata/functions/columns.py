@@ -27,8 +27,10 @@ def hash_bucket(key: Column | str, seed: int) -> Column:
 
     The same key gets the same number on every run, executor and engine, so a split made
     with it can be repeated, survives recomputation and does not hinder filter pushdown.
+    A null key is hashed as an empty one, so that no row gets lost between two filters.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), _col(key).cast("string")))
+    text = F.coalesce(_col(key).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), text))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 

@@ -1,4 +1,4 @@
-"""Genre classifiers: Spark ML estimators with the study's settings, and what is done with them."""
+"""Genre classifiers: Spark ML estimators with fixed default settings, and their use."""
 
 from __future__ import annotations
 

@@ -42,7 +42,7 @@ def apply_index(
         return joined
     if unseen != "error":
         raise ValueError(f"unknown choice {unseen!r}")
-    message = F.concat(F.lit(f"no index for {column} "), F.coalesce(column, F.lit("null")))
+    message = F.concat(F.lit(f"no index for {column} "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
     return joined.withColumn(index, F.coalesce(index, F.raise_error(message).cast("double")))
 
 

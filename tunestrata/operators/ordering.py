@@ -22,6 +22,9 @@ from tunestrata.session import pin
 HOT_ROWS = 5_000_000
 HOT_SHARE = 2e-5
 
+# Longest array a list is collected into.
+LIST_CHUNK = 100_000
+
 _SLICE = "_slice"
 _SPOT = "_spot"
 _SPOT_MASK = (1 << 33) - 1
@@ -224,14 +227,22 @@ def top_n_per_group(
 
 
 def collect_top_items(
-    df: DataFrame, part: str, by: str, item: str, n: int, hot: HotKeys | None = None
+    df: DataFrame,
+    part: str,
+    by: str,
+    item: str,
+    n: int,
+    hot: HotKeys | None = None,
+    chunk_size: int = LIST_CHUNK,
 ) -> DataFrame:
-    """The top items of each group as one array, best first, ties in item order.
+    """The top items of each group as an array, best first, ties in item order.
 
-    An array is one value and has to fit into a row: for groups whose edge rank is shared
-    by a very large number of items use ``top_n_per_group`` with ``position_within``, which
-    gives the same lists as rows.
+    Returns ``part, chunk, items``. A list is one row with chunk 0, unless so many items tie
+    at its edge that it exceeds ``chunk_size``: it then goes on in chunks 1, 2, ...
     """
+    hot = hot_keys(df, part) if hot is None else hot
     top = top_n_per_group(df, part, by, n, "_rank", hot=hot)
-    entries = F.array_sort(F.collect_list(F.struct(F.col("_rank"), F.col(item))))
-    return top.groupBy(part).agg(F.transform(entries, lambda e: e[item]).alias("items"))
+    placed = position_within(top, part, [F.col("_rank"), F.col(item)], "_place", hot=hot)
+    chunk = F.floor((F.col("_place") - 1) / chunk_size).cast("int").alias("chunk")
+    entries = F.array_sort(F.collect_list(F.struct(F.col("_place"), F.col(item))))
+    return placed.groupBy(part, chunk).agg(F.transform(entries, lambda e: e[item]).alias("items"))

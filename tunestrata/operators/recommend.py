@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tunestrata.operators.features import index_strings
 from tunestrata.operators.joins import attach_metadata, decode_index, explode_recommendations
-from tunestrata.operators.ordering import HotKeys, collect_top_items
+from tunestrata.operators.ordering import HotKeys, collect_top_items, hot_keys
 from tunestrata.session import held
 
 INDEXES = {"user_id": "user_index", "song_id": "song_index"}
@@ -98,11 +98,13 @@ def ranking_pairs(
 ) -> DataFrame:
     """Predicted and actual top songs of each user as two arrays.
 
-    For metrics over many users ``metrics.ranking_rows`` holds the same lists as rows and
-    needs no join.
+    Returns ``user_id, chunk, predicted_songs, actual_songs``; every scored user has both
+    lists. Very long lists go on in further chunks, where one side may be null. For metrics
+    over many users ``metrics.ranking_rows`` holds the same lists as rows and needs no join.
     """
+    hot = hot_keys(scored, "user_id") if hot is None else hot
     said = collect_top_items(scored, "user_id", predicted, "song_id", n, hot)
     real = collect_top_items(scored, "user_id", actual, "song_id", n, hot)
     return said.withColumnRenamed("items", "predicted_songs").join(
-        real.withColumnRenamed("items", "actual_songs"), "user_id", "inner"
+        real.withColumnRenamed("items", "actual_songs"), ["user_id", "chunk"], "full"
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tunestrata.functions import hash_bucket
 
-# The study's grids, one per model.
+# The parameter grids, one per model.
 GRIDS: dict[str, dict[str, list]] = {
     "binary_logistic": {"regParam": [0.01, 0.1, 0.3, 0.5], "maxIter": [20]},
     "boosted_trees": {"stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 4, 5]},

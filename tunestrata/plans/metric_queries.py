@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tunestrata.operators import metrics as mt
 from tunestrata.operators import recommend as rc
+from tunestrata.operators.ordering import LIST_CHUNK
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.registry import query
 
@@ -196,9 +197,14 @@ def ranking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("predicted").alias("list"), F.col("predicted_songs").alias("songs")),
         F.struct(F.lit("actual").alias("list"), F.col("actual_songs").alias("songs")),
     )
-    return pairs.select("user_id", F.inline(both)).select(
-        "user_id", "list", F.posexplode("songs").alias("i", "song_id")
-    ).select("user_id", "list", (F.col("i") + 1).cast("bigint").alias("place"), "song_id")
+    return pairs.select("user_id", "chunk", F.inline(both)).select(
+        "user_id", "chunk", "list", F.posexplode("songs").alias("i", "song_id")
+    ).select(
+        "user_id",
+        "list",
+        (F.col("chunk") * F.lit(LIST_CHUNK) + F.col("i") + 1).cast("bigint").alias("place"),
+        "song_id",
+    )
 
 
 @query(

@@ -443,8 +443,10 @@ def top_song_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = fx.hot_users(spark, sf_dir)
     plays = fx.triplets(spark, sf_dir)
     lists = ordering.collect_top_items(plays, "user_id", "plays", "song_id", 10, hot)
-    return lists.select("user_id", F.posexplode("items").alias("i", "song_id")).select(
-        "user_id", (F.col("i") + 1).cast("bigint").alias("place"), "song_id"
+    return lists.select("user_id", "chunk", F.posexplode("items").alias("i", "song_id")).select(
+        "user_id",
+        (F.col("chunk") * F.lit(ordering.LIST_CHUNK) + F.col("i") + 1).cast("bigint").alias("place"),
+        "song_id",
     )
 
 
