@@ -1,0 +1,284 @@
+"""Personal data by weak supervision.
+
+Fixed forms (e-mail, IP address, payment card, international phone number) are always spans.
+Looser forms are candidates: several labelers vote on each - what it looks like, whether it holds
+something from a list of known parts, what words stand before it. Expectation-maximisation over
+the counts of vote patterns tells how far each labeler can be trusted, its posteriors teach a
+classifier on the candidates' features, and the candidates it is sure of become spans as well.
+
+Votes and features are few and discrete, so all that is learnt from is a count per combination:
+a table whose size does not depend on the corpus.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from tunestrata.llm.common import text_or_empty, written
+
+BASE = ("email", "ip", "card", "phone")
+LOOSE = ("masked_email", "local_phone", "account", "long_number")
+KINDS = BASE + LOOSE
+#: A candidate becomes a span at this probability.
+SURE = 0.9
+
+# The base patterns. Possessive and look-behind forms match the same text as the
+# plain ones (what follows a run of digits is never a digit) but in linear time.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_NOT_DIGIT = re.compile(r"[^0-9]+")
+
+_LOOSE = {
+    "masked_email": re.compile(r"\b[A-Za-z0-9._-]{1,64} ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63} ?[\[({](?:dot|DOT)[\])}] ?[A-Za-z]{2,12}\b"),
+    "local_phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ /-])[0-9]{2,4}(?:[ -][0-9]{2,4}){1,3}(?![0-9.-])"),
+    "account": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    "long_number": re.compile(r"(?<![0-9.,+-])[0-9]{3,6}(?:[ -][0-9]{2,6}){2,4}(?![0-9.,-])"),
+}
+
+# Known parts and words, for the labelers.
+_COUNTRIES = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split())
+_PROVIDERS = frozenset("com de edu es eu fr gov io net org uk".split())
+_CUES = re.compile(r"(?:e-?mail|contact|tel|phone|call|fax|mobile|handy|teléfono|téléphone|iban|account|konto|compte|cuenta|card|karte|carte|tarjeta|ssn|passport)\W*(?:\w+\W+){0,2}$", re.IGNORECASE)
+_OTHER = re.compile(r"(?:isbn|issn|doi|version|page|seite|figure|table|chapter|order|item|part|line|row|id|no\.|nr\.|[#$€£%=])\W*(?:\w+\W+)?$", re.IGNORECASE)
+
+
+def _luhn(digits: str) -> bool:
+    total = sum(map(int, digits[-1::-2]))
+    return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of ``local@domain``, found from the @ backwards in linear time."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            free = domain.end()
+            yield start, free
+        at = text.find("@", max(at + 1, free))
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """``(kind, start, stop)`` of the fixed forms, by kind, then start."""
+    spans = [(0, *s) for s in _emails(text)]
+    if _DIGIT.search(text):
+        for m in _IP.finditer(text):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                spans.append((1, *m.span()))
+        for m in _CARD.finditer(text):
+            digits = _NOT_DIGIT.sub("", m[0])
+            if 16 <= len(digits) <= 19 and _luhn(digits):
+                spans.append((2, *m.span()))
+        for m in _PHONE.finditer(text):
+            if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
+                spans.append((3, *m.span()))
+    return spans
+
+
+def _iban(form: str) -> bool:
+    plain = form.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _votes(kind: int, found: str, before: str) -> tuple[int, int, int, int]:
+    """Votes of the form, list, context and counter-context labelers: 1 for, -1 against, 0 none."""
+    digits = _NOT_DIGIT.sub("", found)
+    if kind == 4:
+        form, listed = 1, 1 if re.split(r"[^A-Za-z]+", found.lower())[-1] in _PROVIDERS else 0
+    elif kind == 6:
+        form, listed = (1 if _iban(found) else -1), (1 if found[:2] in _COUNTRIES else -1)
+    else:
+        form = 1 if 9 <= len(digits) <= 12 else -1
+        listed = -1 if len(set(digits)) <= 2 or digits in "01234567890123456789" else 0
+        if kind == 7:
+            form = 1 if len(digits) in (9, 13, 14, 15, 16) and found.count(" ") + found.count("-") >= 2 else -1
+    return form, listed, 1 if _CUES.search(before) else 0, -1 if _OTHER.search(before) else 0
+
+
+def _code(kind: int, votes: tuple[int, ...], separators: int) -> int:
+    code = kind
+    for vote in votes:
+        code = code * 3 + vote + 1
+    return code * 2 + (separators > 0)
+
+
+def _features(code: int) -> tuple[int, tuple[int, ...], int]:
+    code, separated = divmod(code, 2)
+    votes = []
+    for _ in range(4):
+        code, vote = divmod(code, 3)
+        votes.append(vote - 1)
+    return code, tuple(reversed(votes)), separated
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """``(kind, start, stop, code)`` of the loose forms that touch no base span."""
+    found = []
+    if not _DIGIT.search(text) and not re.search(r"[\[({](?:at|AT)[\])}]", text):
+        return found
+    held = sorted((a, b) for _, a, b in taken)
+    for name, pattern in _LOOSE.items():
+        kind, i, fresh = KINDS.index(name), 0, []
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            while i < len(held) and held[i][1] <= a:
+                i += 1
+            if i < len(held) and held[i][0] < b:
+                continue
+            before = text[max(0, a - 40) : a]
+            votes = _votes(kind, m[0], before)
+            fresh.append((kind, a, b, _code(kind, votes, m[0].count(" ") + m[0].count("-"))))
+        found += fresh
+        held = sorted(held + [(a, b) for _, a, b, _ in fresh])
+    return found
+
+
+_BASE_TYPE = ArrayType(StructType([StructField("kind", IntegerType()), StructField("start", LongType()), StructField("stop", LongType())]))
+_LOOSE_TYPE = ArrayType(
+    StructType([StructField(n, LongType() if n in ("start", "stop") else IntegerType()) for n in ("kind", "start", "stop", "code")])
+)
+
+
+@F.pandas_udf(StructType([StructField("base", _BASE_TYPE), StructField("loose", _LOOSE_TYPE)]))
+def _looked(texts: pd.Series) -> pd.DataFrame:
+    base = [base_spans(t) for t in texts]
+    loose = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
+    names = ("kind", "start", "stop", "code")
+    rows = [[dict(zip(names, s, strict=False)) for s in spans] for spans in (*base, *loose)]
+    return pd.DataFrame({"base": rows[: len(base)], "loose": rows[len(base) :]})
+
+
+def reliabilities(counts: dict[tuple[int, ...], float], rounds: int = 100) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """Posterior of each vote pattern, and ``[labeler, class, vote + 1]`` probabilities, by EM.
+
+    Starts from the share of votes in favour. Dirichlet smoothing keeps a labeler that never
+    votes, or a corpus without candidates, from dividing by nothing; labelers start out and stay
+    better than chance on average, which fixes the meaning of the two classes.
+    """
+    patterns = sorted(counts)
+    votes = np.array(patterns, np.int64).reshape(len(patterns), -1)
+    n = np.array([counts[p] for p in patterns])
+    total = votes.sum(axis=1)
+    posterior = np.where(total > 0, 0.9, np.where(total < 0, 0.1, 0.3))
+    table = np.full((votes.shape[1], 2, 3), 1 / 3)
+    for _ in range(rounds):
+        share = np.array([(n * (1 - posterior)).sum() + 1, (n * posterior).sum() + 1])
+        share /= share.sum()
+        for j in range(votes.shape[1]):
+            for c, weight in enumerate((n * (1 - posterior), n * posterior)):
+                prior = np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]][c])
+                row = np.array([weight[votes[:, j] == v].sum() for v in (-1, 0, 1)]) + prior
+                table[j, c] = row / row.sum()
+        logs = np.log(share)[None, :] + sum(np.log(table[j][:, votes[:, j] + 1]).T for j in range(votes.shape[1]))
+        fresh = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
+        if len(patterns) == 0 or np.abs(fresh - posterior).max() < 1e-9:
+            posterior = fresh
+            break
+        posterior = fresh
+    return dict(zip(patterns, posterior.tolist(), strict=True)), table
+
+
+def _design(code: int) -> list[float]:
+    kind, votes, separated = _features(code)
+    return [1.0, separated, *(float(kind == k) for k in range(len(BASE), len(KINDS))), *(float(v == s) for v in votes for s in (-1, 1))]
+
+
+def accepted_codes(counts: dict[int, int], sure: float = SURE) -> list[int]:
+    """Feature codes whose candidates become spans: EM over votes, then a logistic span classifier."""
+    if not counts:
+        return []
+    by_votes: dict[tuple[int, ...], float] = {}
+    for code, n in counts.items():
+        votes = _features(code)[1]
+        by_votes[votes] = by_votes.get(votes, 0.0) + n
+    posterior, _ = reliabilities(by_votes)
+    codes = sorted(counts)
+    x = np.array([_design(c) for c in codes])
+    y = np.array([posterior[_features(c)[1]] for c in codes])
+    weight = np.array([counts[c] for c in codes], float)
+    weight *= 1000 / weight.sum()
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (y - p)) - 0.1 * w
+        curvature = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        step = np.linalg.solve(curvature, slope)
+        w += np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-8:
+            break
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    # one labeler alone never makes a span
+    return [c for c, prob in zip(codes, p, strict=True) if prob >= sure and sum(v == 1 for v in _features(c)[1]) >= 2]
+
+
+def with_spans(docs: DataFrame, sure: float = SURE) -> DataFrame:
+    """Add ``base`` and ``spans``: arrays of ``kind, start, stop`` by kind and start. Stored once.
+
+    Every whole text is read once; what is learnt comes from counts of the stored candidates.
+    """
+    looked = written(docs.withColumn("_looked", _looked(text_or_empty())), "pii-candidates")
+    codes = looked.select(F.explode("_looked.loose.code").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    accepted = accepted_codes({r["code"]: r["n"] for r in codes.collect()}, sure)
+    plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))
+    loose = F.transform(F.filter("_looked.loose", lambda s: s["code"].isin(accepted)), plain)
+    spans = F.array_sort(F.concat(F.col("_looked.base"), loose))
+    return looked.withColumn("spans", spans).withColumn("base", F.col("_looked.base")).drop("_looked")
+
+
+def _joined(spans: str) -> F.Column:
+    names = F.array(*(F.lit(k) for k in KINDS))
+    one = lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def personal_data(docs: DataFrame, sure: float = SURE) -> DataFrame:
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every row of ``docs``.
+
+    A null text counts as empty and has no span. Rows without an id and repeated rows stay; other
+    columns are ignored. An empty table gives an empty result.
+    """
+    found = with_spans(docs.select("doc_id", "text"), sure)
+    counts = (F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{n}") for k, n in enumerate(BASE))
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def redacted(docs: DataFrame, sure: float = SURE) -> DataFrame:
+    """``docs`` with every span replaced by its kind, e.g. ``<EMAIL>``; ``n_chars`` follows the text.
+
+    Spans that overlap are replaced together, under the kind of the first. All columns keep their
+    names and order; null texts stay null.
+    """
+
+    @F.pandas_udf(StringType())
+    def replace(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, spans, strict=True):
+            parts, at = [], 0
+            for s in sorted(found, key=lambda s: (s["start"], -s["stop"])):
+                if s["start"] >= at:
+                    parts += [text[at : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
+                at = max(at, s["stop"])
+            out.append("".join(parts) + text[at:])
+        return pd.Series(out, dtype=object)
+
+    aside = {c: f"_of_docs_{c}" for c in ("base", "spans", "_looked")}
+    found = with_spans(docs.withColumnsRenamed(aside), sure)
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(replace(text_or_empty(), "spans"))
+    changed = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+    return changed.drop("base", "spans").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
