@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tunestrata.session import use_local_scratch  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -17,7 +19,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
-    return session
+    return use_local_scratch(session)
 
 
 @pytest.fixture

@@ -27,20 +27,24 @@ def apply_skew_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+def use_local_scratch(spark: SparkSession) -> SparkSession:
+    """Give a local session without a shared folder a temporary one. For tests and benches.
 
-    Only a local session, whose executors share the driver's disk, may fall back to a
-    temporary folder.
+    A local session's executors are the driver, so they share its disk; any other session has to
+    name a folder in ``spark.checkpoint.dir``.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tunestrata-"))
+    return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder every executor can reach, as the cluster names it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="tunestrata-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    return root.rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
