@@ -252,7 +252,7 @@ def personal_data(docs: DataFrame, sure: float = SURE) -> DataFrame:
     columns are ignored. An empty table gives an empty result.
     """
     found = with_spans(docs.select("doc_id", "text"), sure)
-    counts = (F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{n}") for k, n in enumerate(BASE))
+    counts = (F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint) as n_{n}") for k, n in enumerate(BASE))
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
