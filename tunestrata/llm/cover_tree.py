@@ -31,9 +31,9 @@ from tunestrata.operators.joins import per_key
 BLOCK, PIVOTS = 8192, 1024
 #: Vectors the pivots are chosen from, by a hash of their content.
 PIVOT_SAMPLE = 8192
-#: Radii of the levels, from the top; every vector is within 2 of any other.
-RADII = tuple(2.0**-k for k in range(5))
-_SLACK = 1e-9
+#: Radii of the levels below the pivots, from the top; every vector is within 2 of any other.
+RADII = tuple(2.0**-k for k in range(12))
+_SLACK = 1e-7  # more than rounding can take off a distance
 
 
 @dataclass
@@ -98,6 +98,16 @@ def opened(vectors: np.ndarray, rows: np.ndarray, level: int) -> tuple[np.ndarra
     return np.arange(len(rows)), level
 
 
+def top_level(cosine: float) -> int:
+    """The level at which a block's tree is entered: the first with radii within the distance.
+
+    Wider nodes than that are hardly ever far enough apart to be cut off; what upper levels would
+    part is parted by the pivots.
+    """
+    reach = (2 - 2 * cosine) ** 0.5
+    return next((k for k, radius in enumerate(RADII) if radius <= reach), len(RADII))
+
+
 def children(vectors: np.ndarray, node: Node) -> list[Node]:
     return made_nodes(vectors, node.rows, *opened(vectors, node.rows, node.level)) if len(node.rows) > 1 else [node]
 
@@ -245,7 +255,7 @@ def _one_length(found: DataFrame, dimensions: int, cosine: float, block: int) ->
     dealt = placed.join(F.broadcast(layout), "cell").select("node", "weight", "v", home.alias("home"))
 
     def tree(rows: pd.DataFrame) -> pd.DataFrame:
-        owner, level = opened(unit(rows["v"].tolist(), dimensions), np.arange(len(rows)), 0)
+        owner, level = opened(unit(rows["v"].tolist(), dimensions), np.arange(len(rows)), top_level(cosine))
         return rows.assign(owner=owner, level=level)
 
     treed = written(
