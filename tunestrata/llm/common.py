@@ -47,6 +47,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return checkpoint(df, shared_path(df.sparkSession, label))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

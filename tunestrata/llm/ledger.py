@@ -52,7 +52,8 @@ def unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame, version: str) -
 
     ``docs`` has ``doc_id, text``, ``paths`` the stored digests. One row stands for all copies of
     a content: the one with the smallest id. Grouping and anti-join only move digests; texts move
-    once, by digest and id, so a content that a third of all rows share is no hot key.
+    once, by digest and id, so a content that a third of all rows share is no hot key. Rows that
+    repeat both id and text come out as often as they occur; readers of a ledger fold by digest.
     """
     first = per_key(paths, ["digest"], F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
     known = ledger.where(F.col("version") == version).select("digest")

@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from tunestrata.llm.common import text_or_empty, written
 
 BASE = ("email", "ip", "card", "phone")
-LOOSE = ("masked_email", "local_phone", "account", "long_number")
+LOOSE = ("masked_email", "account", "local_phone", "long_number")  # earlier ones take their place first
 KINDS = BASE + LOOSE
 #: A candidate becomes a span at this probability.
 SURE = 0.9
@@ -41,8 +41,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 _LOOSE = {
     "masked_email": re.compile(r"\b[A-Za-z0-9._-]{1,64} ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63} ?[\[({](?:dot|DOT)[\])}] ?[A-Za-z]{2,12}\b"),
-    "local_phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ /-])[0-9]{2,4}(?:[ -][0-9]{2,4}){1,3}(?![0-9.-])"),
     "account": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    "local_phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ /-])[0-9]{2,4}(?:[ -][0-9]{2,4}){1,3}(?![0-9.-])"),
     "long_number": re.compile(r"(?<![0-9.,+-])[0-9]{3,6}(?:[ -][0-9]{2,6}){2,4}(?![0-9.,-])"),
 }
 
@@ -97,14 +97,15 @@ def _iban(form: str) -> bool:
 def _votes(kind: int, found: str, before: str) -> tuple[int, int, int, int]:
     """Votes of the form, list, context and counter-context labelers: 1 for, -1 against, 0 none."""
     digits = _NOT_DIGIT.sub("", found)
-    if kind == 4:
+    name = KINDS[kind]
+    if name == "masked_email":
         form, listed = 1, 1 if re.split(r"[^A-Za-z]+", found.lower())[-1] in _PROVIDERS else 0
-    elif kind == 6:
+    elif name == "account":
         form, listed = (1 if _iban(found) else -1), (1 if found[:2] in _COUNTRIES else -1)
     else:
         form = 1 if 9 <= len(digits) <= 12 else -1
         listed = -1 if len(set(digits)) <= 2 or digits in "01234567890123456789" else 0
-        if kind == 7:
+        if name == "long_number":
             form = 1 if len(digits) in (9, 13, 14, 15, 16) and found.count(" ") + found.count("-") >= 2 else -1
     return form, listed, 1 if _CUES.search(before) else 0, -1 if _OTHER.search(before) else 0
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tunestrata.llm.common import text_or_empty
+from tunestrata.llm.common import free_name, text_or_empty
 
 # What is learnt from is a bounded sample of the labelled texts, drawn by a hash of the id:
 #: texts per class for the dictionaries, texts of both classes for the curve,
@@ -164,4 +164,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 def keep_likely_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents scored at the threshold or above, all columns as they are."""
-    return with_score(docs, fit(docs, labels), "_score").where(F.col("_score") >= threshold).drop("_score")
+    name = free_name(docs, "_score")
+    return with_score(docs, fit(docs, labels), name).where(F.col(name) >= threshold).drop(name)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tunestrata.llm.common import text_or_empty, word_blocks
+from tunestrata.llm.common import free_name, text_or_empty, word_blocks
 
 _SPACES = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
@@ -135,7 +135,8 @@ def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
     Each row is judged by its own text, where it stands: nothing is joined or shuffled.
     """
-    rows = docs.withColumn("_measured", _measured(text_or_empty()))
+    name = free_name(docs, "_measured")
+    rows = docs.withColumn(name, _measured(text_or_empty()))
     wanted = [RULES[r] for r in dict.fromkeys((*BASE, *POLICIES[policy]))]
-    failed = re.sub(r"\b[a-z]+_[a-z_]+\b", r"_measured.\g<0>", " or ".join(f"({rule})" for rule in wanted))
-    return rows.where(f"not ({failed})").drop("_measured")
+    failed = re.sub(r"\b[a-z]+_[a-z_]+\b", rf"{name}.\g<0>", " or ".join(f"({rule})" for rule in wanted))
+    return rows.where(f"not ({failed})").drop(name)

@@ -153,14 +153,15 @@ class _Members:
         """Take in another piece; false at the end of the file."""
         while True:
             if self.unpacker.eof:
-                self.packed = self.unpacker.unused_data + self.packed
+                self.packed = self.unpacker.unused_data
                 self.unpacker = zlib.decompressobj(wbits=31)
             if not self.packed:
                 self.packed = self.stream.read(CHUNK)
                 if not self.packed:
                     return False
             piece = self.unpacker.decompress(self.packed, CHUNK)
-            self.packed = self.unpacker.unconsumed_tail
+            # At the end of a member what is left is in unused_data alone.
+            self.packed = b"" if self.unpacker.eof else self.unpacker.unconsumed_tail
             if piece:
                 self.held += piece
                 return True
