@@ -217,7 +217,7 @@ def test_quality_held_out(spark):
     scored = llm.QUERIES["op6_compression_classifier"](spark, folder).where("held_out")
     rows = scored.join(read(spark, folder, "labels"), "doc_id").select("score", "quality", "predicted").collect()
     score, label, predicted = (np.array([r[i] for r in rows]) for i in range(3))
-    assert _auc(score, label) > 0.9
+    assert _auc(score, label) > 0.97
     assert (predicted[label == 1] == 1).mean() > 0.97
     assert ((score >= 0) & (score <= 1)).all()
 
@@ -244,10 +244,11 @@ def test_quality_does_not_learn_from_the_held_out_fold(spark, sf_dir):
     assert quality.fit(docs, turned) == quality.fit(docs, labels)
 
 
-def test_long_texts_are_packed_in_parts():
-    model = quality.Classifier(b"abc def " * 100, b"xyz " * 100, 1.0, 0.0)
-    long = "abc def ghi " * 200_000
-    assert model.difference(long) == pytest.approx(model.difference(long[: 1 << 20]), abs=1e-3)
+def test_length_does_not_matter():
+    model = quality.Classifier(b"abc def ghi jkl mno " * 20, b"xyz uvw rst " * 20, 1.0, 0.0)
+    short = "abc def ghi jkl mno pqr " * 171
+    assert model.difference(short) > 0
+    assert model.difference(short * 50) == pytest.approx(model.difference(short), rel=0.1)
 
 
 # ---- pipeline ---------------------------------------------------------------

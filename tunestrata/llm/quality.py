@@ -3,6 +3,9 @@
 Two zstandard dictionaries are made of good and of bad labelled texts. A text that resembles the
 good ones packs better with the first: the difference of the two packed sizes, per byte of the
 text, becomes a score by a logistic curve fitted on labelled texts that are in no dictionary.
+
+A text is packed whole, in blocks of one size. In a single piece a long text would soon be packed
+by what it holds itself, and the dictionaries would say less about it the longer it is.
 """
 
 from __future__ import annotations
@@ -23,12 +26,16 @@ from tunestrata.llm.common import free_name, text_or_empty
 
 # What is learnt from is a bounded sample of the labelled texts, drawn by a hash of the id:
 #: texts per class for the dictionaries, texts of both classes for the curve,
-DICTIONARY_TEXTS, CURVE_TEXTS = 3000, 6000
+DICTIONARY_TEXTS, CURVE_TEXTS = 6000, 3000
 #: the longest text that is learnt from, in characters,
 LONGEST = 8000
 #: and the bytes of one dictionary.
-DICTIONARY_BYTES = 1_000_000
-LEVEL = 3
+DICTIONARY_BYTES = 4_000_000
+#: Where good texts are many more than bad ones, their dictionary may be this many times the other's
+#: size, or as large as it gets (None); the curve's texts decide.
+RATIOS = (1, 2, 4, None)
+LEVEL = 9
+BLOCK_BYTES = 4096
 HELD_OUT = 2
 
 
@@ -60,22 +67,17 @@ class Classifier:
     def __setstate__(self, state):
         self.__dict__.update(state)
 
-    def _size(self, packer: zstd.ZstdCompressor, data: bytes) -> int:
-        stream, view, size = packer.compressobj(), memoryview(data), 0
-        for start in range(0, len(view), 1 << 20):
-            size += len(stream.compress(view[start : start + (1 << 20)]))
-        return size + len(stream.flush())
-
     def difference(self, text: str) -> float:
         """Packed with the bad dictionary minus packed with the good one, per byte; 0 for no text."""
         data = text.encode()
         if not data:
             return 0.0
-        if len(data) <= 1 << 20:
-            good, bad = (len(p.compress(data)) for p in self._packers)
-        else:
-            good, bad = (self._size(p, data) for p in self._packers)
-        return (bad - good) / len(data)
+        good, bad = self._packers
+        view, total = memoryview(data), 0
+        for start in range(0, len(view), BLOCK_BYTES):
+            block = view[start : start + BLOCK_BYTES]
+            total += len(bad.compress(block)) - len(good.compress(block))
+        return total / len(data)
 
     def score(self, text: str) -> float:
         at = max(-500.0, min(500.0, self.offset + self.slope * self.difference(text)))
@@ -133,12 +135,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     texts = docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= LONGEST)
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "fold", "spot").agg(F.min("text").alias("text"))
     found = sorted(rows.collect(), key=lambda r: (r["spot"], r["doc_id"]))
-    good, bad = (dictionary([r["text"] for r in found if r["fold"] < 2 and r["quality"] == q]) for q in (1, 0))
-    made = Classifier(good, bad)
+    good, bad = ([r["text"] for r in found if r["fold"] < 2 and r["quality"] == q] for q in (1, 0))
     rest = [r for r in found if r["fold"] == 3]
-    x = np.array([made.difference(r["text"]) for r in rest])
     y = np.array([r["quality"] for r in rest], dtype=np.int64)
-    return Classifier(good, bad, *logistic_curve(x, y))
+    return min(_candidates(good, bad, [r["text"] for r in rest], y), key=lambda c: c[0])[1]
+
+
+def _candidates(good: Sequence[str], bad: Sequence[str], texts: Sequence[str], y: np.ndarray):
+    """``(loss, classifier)`` for each size the good dictionary may have."""
+    poor, full = dictionary(bad), dictionary(good)
+    for ratio in RATIOS:
+        limit = len(poor) * ratio if ratio else DICTIONARY_BYTES
+        if ratio and (not poor or limit >= len(full)):
+            continue
+        fine = dictionary(good, limit) if ratio else full
+        plain = Classifier(fine, poor)
+        x = np.array([plain.difference(t) for t in texts])
+        slope, offset = logistic_curve(x, y)
+        at = np.clip(slope * x + offset, -30, 30)
+        yield float(np.log1p(np.exp(np.where(y == 1, -at, at))).mean()) if len(x) else 0.0, Classifier(fine, poor, slope, offset)
 
 
 def with_score(docs: DataFrame, model: Classifier, column: str = "score") -> DataFrame:
