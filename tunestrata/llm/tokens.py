@@ -16,20 +16,35 @@ from functools import cache, lru_cache
 import numpy as np
 
 #: Pieces that a worker remembers, and characters encoded together.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 STRETCH = 1 << 20
 
 # A blank or newline after a character that is not white space starts a new piece: byte-level
 # pre-tokenizers attach leading blanks to what follows, and no token holds white space inside.
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?=[ \n])")
 
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LATIN = re.compile(rf"[{_LETTER}]+(?![^ \n.,;:!?|&%$*#])|[^ \n]+")
+
 
 def pieces_with_blanks(text: str) -> list[str]:
     return _BEFORE_BLANK.split(text)
 
 
 def pieces_without_blanks(text: str) -> list[str]:
-    """For tokenizers that drop white space; empty pieces have no ids."""
+    """For tokenizers that lower the case and drop white space; empty pieces have no ids.
+
+    Texts in Latin-1 letters are lowered and also cut between a letter and the punctuation behind
+    it, both of which such a tokenizer does itself: fewer different pieces are left to encode.
+    Strings of special tokens are matched in their own case, so texts that may hold one are not.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            return _LATIN.findall(text.lower())
     return text.replace("\n", " ").split(" ")
 
 
@@ -71,10 +86,10 @@ class PieceEncoder:
 
     def __call__(self, texts: list[list[str]]) -> list[list]:
         """For lists of pieces, the lists of their values."""
-        missing = list({p for pieces in texts for p in pieces} - self.known.keys())
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {}
-            missing = list({p for pieces in texts for p in pieces})
+        wanted = {p for pieces in texts for p in pieces}
+        missing = list(wanted - self.known.keys())
+        if len(self.known) + len(missing) > REMEMBERED:  # go on with what is in use
+            self.known = {p: self.known[p] for p in wanted & self.known.keys()}
         made = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
         self.known.update(zip(missing, (self.value(e.ids) for e in made), strict=True))
         return [list(map(self.known.__getitem__, pieces)) for pieces in texts]
