@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tunestrata.session import use_local_scratch  # noqa: E402
+from tunestrata.session import apply_skew_settings, use_local_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -19,7 +19,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
-    return use_local_scratch(session)
+    return apply_skew_settings(use_local_scratch(session))
 
 
 @pytest.fixture

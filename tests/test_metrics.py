@@ -149,7 +149,7 @@ def test_users_with_one_list_are_left_out(spark):
 def test_ranking_against_spark(spark, sf_dir, many_slices, hot):
     scored = fx.scored(spark, sf_dir).cache()
     ours = mt.ranking_metrics(mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot), hot=hot).first()
-    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, hot)
+    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, 100_000, hot)
     judge = RankingMetrics(pairs.select("predicted_songs", "actual_songs").rdd.map(tuple))
     assert ours["precision_at_k"] == pytest.approx(judge.precisionAt(5))
     assert ours["ndcg_at_k"] == pytest.approx(judge.ndcgAt(10))
@@ -160,7 +160,7 @@ def test_ranking_against_spark(spark, sf_dir, many_slices, hot):
 def test_both_ways_to_build_ranking_rows_agree(spark, sf_dir):
     scored = fx.scored(spark, sf_dir).cache()
     direct = mt.ranking_rows(scored, "prediction", "plays", 10)
-    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10)
+    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, 100_000)
     said = pairs.select("user_id", F.posexplode("predicted_songs").alias("i", "song_id")).select(
         "user_id", "song_id", (F.col("i") + 1).cast("bigint").alias("position")
     )

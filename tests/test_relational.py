@@ -213,9 +213,9 @@ def test_top_n_keeps_ties_and_lists_are_ordered(spark, many_slices):
     assert rows(top.where("user_id = 'u'").select("song_id", "rank")) == [("a", 1), ("b", 1), ("c", 3), ("d", 3)]
     hot = od.HotKeys("user_id", ("u",))
     for choice in (None, hot):
-        lists = od.collect_top_items(df, "user_id", "plays", "song_id", 3, choice)
+        lists = od.collect_top_items(df, "user_id", "plays", "song_id", 3, 100_000, choice)
         assert rows(lists) == [("u", 0, ["a", "b", "c", "d"]), ("v", 0, ["x"])]
-        chunks = od.collect_top_items(df, "user_id", "plays", "song_id", 3, choice, chunk_size=3)
+        chunks = od.collect_top_items(df, "user_id", "plays", "song_id", 3, 3, choice)
         assert rows(chunks) == [("u", 0, ["a", "b", "c"]), ("u", 1, ["d"]), ("v", 0, ["x"])]
 
 
@@ -224,7 +224,7 @@ def test_top_n_is_cut_before_the_shuffle(spark, sf_dir):
     top = od.top_n_per_group(df, "l_orderkey", "l_quantity", 2, hot=od.HotKeys("l_orderkey", ()))
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
-    lists = od.collect_top_items(df, "l_orderkey", "l_quantity", "l_linenumber", 2, od.HotKeys("l_orderkey", ()))
+    lists = od.collect_top_items(df, "l_orderkey", "l_quantity", "l_linenumber", 2, 100_000, od.HotKeys("l_orderkey", ()))
     plan = lists._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
 

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from tunestrata.operators.ordering import running_totals
 
 # Beyond this many columns one aggregate per pair is slower than Spark's matrix form.
-PAIRWISE_COLUMNS = 6
 
 
 def count_by(df: DataFrame, key: str, counted: str | None = None, name: str = "n") -> DataFrame:
@@ -99,45 +98,32 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns as ``row, col, r``.
 
     Rows with a null are left out. A constant column correlates NaN with the others; the
-    diagonal is 1. Few columns take one aggregate with one expression per pair. Many take Spark's own matrix form, whose
-    result has columns x columns cells whatever the number of rows.
+    diagonal is 1. Fewer than two rows give NaN. All widths take Spark's matrix form: one pass
+    whose result has columns x columns cells whatever the number of rows.
     """
     names = list(columns)
     complete = df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna()
-    if len(names) > PAIRWISE_COLUMNS:
+    matrix = None
+    if len(complete.take(2)) == 2:
         vectors = VectorAssembler(inputCols=names, outputCol="v").transform(complete)
         matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        cells = [
-            (a, b, float(matrix[i, j]))
-            for i, a in enumerate(names)
-            for j, b in enumerate(names)
-        ]
-        return df.sparkSession.createDataFrame(cells, "row string, col string, r double")
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    one = complete.agg(
-        *(F.stddev_samp(c).alias(f"sd{i}") for i, c in enumerate(names)),
-        *(F.covar_samp(names[i], names[j]).alias(f"cov{i}_{j}") for i, j in pairs),
-    )
-    rows = []
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            r = F.lit(1.0)
-            if i != j:
-                shared = F.col(f"cov{min(i, j)}_{max(i, j)}")
-                r = F.try_divide(shared, F.col(f"sd{i}") * F.col(f"sd{j}"))
-            r = F.coalesce(r, F.lit(float("nan")))
-            rows.append(F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), r.alias("r")))
-    return one.select(F.inline(F.array(*rows)))
+    cells = [
+        (a, b, 1.0 if i == j else float("nan") if matrix is None else float(matrix[i, j]))
+        for i, a in enumerate(names)
+        for j, b in enumerate(names)
+    ]
+    return df.sparkSession.createDataFrame(cells, "row string, col string, r double")
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, as ``prob, value``.
 
     Equal values are folded into one row with a count; a distributed running total then
-    says which value stands at which place of the sorted column. No task sees all values.
+    says which value stands at which place of the sorted column. No task sees all values. Nulls
+    and NaN are left out.
     """
     values = (
-        df.where(F.col(column).isNotNull())
+        df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
         .groupBy(F.col(column).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -170,6 +156,21 @@ def approx_quantiles(
     )
 
 
+def _finite(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
+def non_finite(df: DataFrame, column: str) -> DataFrame:
+    """One row: values without a place in a histogram, as ``n_null, n_nan, n_infinite``."""
+    x = F.col(column).cast("double")
+    return df.agg(
+        F.count_if(x.isNull()).alias("n_null"),
+        F.count_if(F.isnan(x)).alias("n_nan"),
+        F.count_if(F.abs(x) == float("inf")).alias("n_infinite"),
+    )
+
+
 def histogram(
     df: DataFrame, column: str, bins: int, max_value: float | None = None
 ) -> DataFrame:
@@ -177,9 +178,10 @@ def histogram(
 
     Two passes, one for the range and one for the counts, and no shuffle of more than one
     row per bin and task. The last bin is closed on the right. ``max_value`` leaves out values at or above it.
-    A column with a single value gets a range of one around it.
+    A column with a single value gets a range of one around it. NaN and infinities have no bin;
+    ``non_finite`` counts them.
     """
-    kept = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    kept = df.where(_finite(column)).select(F.col(column).cast("double").alias("x"))
     if max_value is not None:
         kept = kept.where(F.col("x") < max_value)
     single = F.min("x") == F.max("x")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.base import Estimator
@@ -22,6 +22,9 @@ from tunestrata.operators.sampling import oversample, undersample
 from tunestrata.session import held
 
 
+# The default settings of the classifiers.
+
+
 def binary_logistic(**settings) -> LogisticRegression:
     defaults = {"maxIter": 20, "regParam": 0.3, "elasticNetParam": 0.0}
     return LogisticRegression(**{**defaults, **settings})
@@ -53,13 +56,22 @@ def naive_bayes(**settings) -> NaiveBayes:
     return NaiveBayes(**{**defaults, **settings})
 
 
-def score(model: Model, df: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Apply a model, if wanted with another decision threshold than it was fitted with.
+def score(
+    model: Model,
+    df: DataFrame,
+    threshold: float | None = None,
+    thresholds: Sequence[float] | None = None,
+) -> DataFrame:
+    """Apply a model, if wanted with other decision thresholds than it was fitted with.
 
-    A multinomial model has one threshold per class and takes no notice of this one.
+    Two classes take one ``threshold``, more of them one for each class.
     """
+    if thresholds is not None:
+        return model.transform(df, {model.thresholds: list(thresholds)})
     if threshold is None:
         return model.transform(df)
+    if getattr(model, "numClasses", 2) > 2:
+        raise ValueError("a model of several classes takes thresholds, one per class")
     return model.transform(df, {model.threshold: threshold})
 
 
@@ -129,14 +141,19 @@ def compare_resampling(
     variants: Mapping[str, DataFrame],
     test: DataFrame,
     label: str = "label",
-    thresholds: Mapping[str, float] | None = None,
+    thresholds: Mapping[str, Sequence[float]] | None = None,
 ) -> DataFrame:
-    """Fit the same estimator on each training variant; one report row per variant."""
+    """Fit the same estimator on each training variant; one report row per variant and threshold.
+
+    Variants without a list of thresholds keep the model's own, and have a null there.
+    """
     rows = None
     for name, train in variants.items():
         with held(train) as cached:
             model = estimator.fit(cached)
-        scored = score(model, test, (thresholds or {}).get(name))
-        row = summary_row(scored, label).select(F.lit(name).alias("variant"), "*")
-        rows = row if rows is None else rows.unionByName(row)
+        for threshold in (thresholds or {}).get(name, (None,)):
+            row = summary_row(score(model, test, threshold), label).select(
+                F.lit(name).alias("variant"), F.lit(threshold).cast("double").alias("threshold"), "*"
+            )
+            rows = row if rows is None else rows.unionByName(row)
     return rows

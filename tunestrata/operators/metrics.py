@@ -85,16 +85,24 @@ def confusion_cells(df: DataFrame, label: str = "label", prediction: str = "pred
 
 
 def confusion_matrix(cells: DataFrame, classes: Sequence[float]) -> DataFrame:
-    """Rows are actual classes, one column ``p<class>`` per predicted class, zeros filled in."""
+    """A row per actual class and a column ``p<class>`` per predicted one, zeros filled in.
+
+    ``other`` counts predictions outside ``classes``. Labels outside them get a row of their own.
+    """
+    said = F.col("prediction")
+    lines = cells.sparkSession.createDataFrame([(float(c),) for c in classes], "label double")
     wide = cells.groupBy("label").agg(
         *(
             F.coalesce(F.sum(F.when(F.col("prediction") == float(c), F.col("n"))), F.lit(0))
             .cast("bigint")
             .alias(f"p{int(c)}")
             for c in classes
-        )
+        ),
+        F.coalesce(F.sum(F.when(~F.coalesce(said.isin([float(c) for c in classes]), F.lit(False)), F.col("n"))), F.lit(0))
+        .cast("bigint")
+        .alias("other"),
     )
-    return wide
+    return lines.join(wide, "label", "full").na.fill(0)
 
 
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -209,13 +217,14 @@ def ranking_rows(
     """Predicted and actual top lists of each user, side by side as rows.
 
     ``position`` is the place in the predicted list (null outside it), ``relevant`` tells
-    whether the item is in the actual list. Both lists hold items of ``scored`` only: with
+    whether the item is in the actual list. Items without a score (null or NaN) are in neither
+    list: a model that knows nothing of them ranks nothing. Both lists hold items of ``scored`` only: with
     a user's own held-out songs scored, this judges the order of those songs, not picks
     from the whole catalogue. All windows use the same partitioning: one shuffle. Hot
     users get each list by itself, cut down before anything is sorted.
     """
     hot = hot_keys(scored, user) if hot is None else hot
-    base = scored.select(user, item, predicted, actual)
+    base = drop_nan(scored.select(user, item, predicted, actual), predicted)
     order = [F.col(predicted).desc(), F.col(item).asc()]
     none = HotKeys(user, ())
     cold = base.where(~hot.flag()) if hot else base

@@ -22,9 +22,6 @@ from tunestrata.session import pin
 HOT_ROWS = 5_000_000
 HOT_SHARE = 2e-5
 
-# Longest array a list is collected into.
-LIST_CHUNK = 100_000
-
 _SLICE = "_slice"
 _SPOT = "_spot"
 _SPOT_MASK = (1 << 33) - 1
@@ -232,13 +229,13 @@ def collect_top_items(
     by: str,
     item: str,
     n: int,
+    chunk_size: int,
     hot: HotKeys | None = None,
-    chunk_size: int = LIST_CHUNK,
 ) -> DataFrame:
     """The top items of each group as an array, best first, ties in item order.
 
-    Returns ``part, chunk, items``. A list is one row with chunk 0, unless so many items tie
-    at its edge that it exceeds ``chunk_size``: it then goes on in chunks 1, 2, ...
+    Returns ``part, chunk, items``: ties may make a list longer than an array should be, so the
+    caller says how long one row's array gets; what is beyond goes on in chunks 1, 2, ...
     """
     hot = hot_keys(df, part) if hot is None else hot
     top = top_n_per_group(df, part, by, n, "_rank", hot=hot)

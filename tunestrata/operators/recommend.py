@@ -6,10 +6,11 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunestrata.functions import drop_nan
 from tunestrata.operators.features import index_strings
 from tunestrata.operators.joins import attach_metadata, decode_index, explode_recommendations
 from tunestrata.operators.ordering import HotKeys, collect_top_items, hot_keys
-from tunestrata.session import held
+from tunestrata.session import cluster_slots, held
 
 INDEXES = {"user_id": "user_index", "song_id": "song_index"}
 
@@ -19,12 +20,18 @@ def index_interactions(triplets: DataFrame) -> tuple[DataFrame, dict[str, DataFr
     return index_strings(triplets, INDEXES)
 
 
-def fit_als(train: DataFrame, seed: int, implicit: bool = True, **settings) -> ALSModel:
+def fit_als(
+    train: DataFrame, seed: int, implicit: bool = True, blocks: int | None = None, **settings
+) -> ALSModel:
     """Alternating least squares on ``user_index, song_index, plays``.
 
-    Only the three columns it needs are cached for the rounds, and let go afterwards.
+    Users and songs are cut into ``blocks`` each, one task a block; without a number, as many as
+    the cluster runs at once, and ten at least. Only the three columns it needs are cached for the
+    rounds, and let go afterwards.
     """
-    defaults = {"maxIter": 5, "regParam": 0.01}
+    blocks = blocks or max(10, cluster_slots(train.sparkSession))
+    # Rounds and regularisation.
+    defaults = {"maxIter": 5, "regParam": 0.01, "numUserBlocks": blocks, "numItemBlocks": blocks}
     als = ALS(
         userCol="user_index",
         itemCol="song_index",
@@ -94,17 +101,19 @@ def recommendation_card(
 
 
 def ranking_pairs(
-    scored: DataFrame, predicted: str, actual: str, n: int = 10, hot: HotKeys | None = None
+    scored: DataFrame, predicted: str, actual: str, n: int, chunk_size: int, hot: HotKeys | None = None
 ) -> DataFrame:
     """Predicted and actual top songs of each user as two arrays.
 
     Returns ``user_id, chunk, predicted_songs, actual_songs``; every scored user has both
-    lists. Very long lists go on in further chunks, where one side may be null. For metrics
+    lists. Songs without a score (null or NaN) are in neither. Lists longer than ``chunk_size`` go
+    on in further chunks, where one side may be null. For metrics
     over many users ``metrics.ranking_rows`` holds the same lists as rows and needs no join.
     """
+    scored = drop_nan(scored, predicted)
     hot = hot_keys(scored, "user_id") if hot is None else hot
-    said = collect_top_items(scored, "user_id", predicted, "song_id", n, hot)
-    real = collect_top_items(scored, "user_id", actual, "song_id", n, hot)
+    said = collect_top_items(scored, "user_id", predicted, "song_id", n, chunk_size, hot)
+    real = collect_top_items(scored, "user_id", actual, "song_id", n, chunk_size, hot)
     return said.withColumnRenamed("items", "predicted_songs").join(
         real.withColumnRenamed("items", "actual_songs"), ["user_id", "chunk"], "full"
     )

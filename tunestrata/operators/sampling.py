@@ -21,8 +21,9 @@ _DRAW = "_draw"
 
 
 def key_of(*columns: str) -> Column:
-    """One hash key from several columns."""
-    return F.concat_ws("|", *columns)
+    """One hash key from several columns: lengths in front keep different rows apart, as does a mark for null."""
+    parts = (F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")) for c in columns)
+    return F.concat(*(F.coalesce(p, F.lit("-")) for p in parts))
 
 
 def _drawn(df: DataFrame, key: Column | str, seed: int, method: str) -> DataFrame:
@@ -115,7 +116,7 @@ def oversample(
     if method == "rng":
         if rate is None:
             n = df.agg(F.count_if(small).alias("s"), F.count_if(~small).alias("l")).first()
-            rate = n["l"] / n["s"]
+            rate = n["l"] / n["s"] if n["s"] else 0.0  # without a minority there is nothing to repeat
         return pin(
             df.where(small).sample(True, float(rate), seed).unionByName(df.where(~small))
         )

@@ -55,7 +55,7 @@ def main() -> int:
     from pyspark.sql import SparkSession
 
     from tunestrata.plans import ORACLES, QUERIES
-    from tunestrata.session import use_local_scratch
+    from tunestrata.session import apply_skew_settings, use_local_scratch
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:] or list(QUERIES)
@@ -66,7 +66,7 @@ def main() -> int:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    use_local_scratch(spark)
+    apply_skew_settings(use_local_scratch(spark))
     failed = 0
     for name in wanted:
         start = time.time()

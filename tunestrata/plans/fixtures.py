@@ -15,7 +15,7 @@ from tunestrata.operators.joins import attach_genre, per_key
 from tunestrata.operators.ordering import HotKeys, hot_keys
 from tunestrata.sources import parse_match_log
 
-FEATURES = [f"f{i}" for i in range(1, 11)]
+FEATURES = [f"f{i}" for i in range(1, 65)]  # every component of an embedding
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -24,7 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _id(prefix: str, key: str) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(F.col(key).cast("string"), 16, "0"))
+    return F.concat(F.lit(prefix), _padded(key, 16))
+
+
+def _padded(key: str, width: int) -> Column:
+    """Zeros in front up to a width; longer numbers stay whole."""
+    digits = F.col(key).cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
 
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("o_custkey", "l_partkey")
         .agg(F.sum("l_quantity").cast("int").alias("plays"))
         .select(
-            F.concat(F.lit("U"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("user_id"),
+            F.concat(F.lit("U"), _padded("o_custkey", 8)).alias("user_id"),
             _id("SO", "l_partkey").alias("song_id"),
             "plays",
         )
@@ -95,10 +101,10 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MSD_TRACKID in single quotes, f1 to f10."""
+    """MSD_TRACKID in single quotes, and all components as f1, f2, ..."""
     return table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("'"), _id("TR", "vec_id"), F.lit("'")).alias("MSD_TRACKID"),
-        *(F.element_at("embedding", i).cast("double").alias(f"f{i}") for i in range(1, 11)),
+        *(F.element_at("embedding", i).cast("double").alias(c) for i, c in enumerate(FEATURES, 1)),
     )
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tunestrata.operators import metrics as mt
 from tunestrata.operators import recommend as rc
-from tunestrata.operators.ordering import LIST_CHUNK
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.registry import query
 
+#: Songs in one row of a list.
+LIST_CHUNK = 100_000
+
 
 def areas_sql(table: str, score: str, label: str) -> str:
     """Both areas from cumulative counts over the distinct scores."""
@@ -83,7 +85,9 @@ def confusion_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "select label, "
     + ", ".join(f"count(*) filter (where prediction = {i}) as p{i}" for i in range(4))
-    + " from judged_classes group by label"
+    + """, 0::bigint as other
+         from (select distinct prediction as label from judged_classes) c
+         left join (select label as actual, prediction from judged_classes) j on label = actual group by label"""
 )
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.confusion_matrix(mt.confusion_cells(fx.judged_classes(spark, sf_dir)), [0, 1, 2, 3])
@@ -157,7 +161,7 @@ _LISTS = """
                       rank() over (partition by user_id order by prediction desc) as rp,
                       row_number() over (partition by user_id order by prediction desc, song_id) as position,
                       rank() over (partition by user_id order by plays desc) as ra
-               from scored),
+               from scored where not isnan(prediction)),
     lists as (select user_id, song_id, case when rp <= 10 then position end as position, ra <= 10 as relevant
               from ranked where rp <= 10 or ra <= 10)"""
 
@@ -192,7 +196,7 @@ def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fx.scored(spark, sf_dir)
-    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, fx.hot_users(spark, sf_dir))
+    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, LIST_CHUNK, fx.hot_users(spark, sf_dir))
     both = F.array(
         F.struct(F.lit("predicted").alias("list"), F.col("predicted_songs").alias("songs")),
         F.struct(F.lit("actual").alias("list"), F.col("actual_songs").alias("songs")),

@@ -17,9 +17,9 @@ from tunestrata.operators import tuning as tn
 from tunestrata.operators.ordering import hot_keys, position_within
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.metric_queries import report_sql
-from tunestrata.plans.oracle_views import unit_sql
+from tunestrata.plans.oracle_views import hash_sql, pair_sql, unit_sql
 from tunestrata.plans.registry import query
-from tunestrata.session import shared_path
+from tunestrata.session import cluster_slots, held, shared_path
 from tunestrata.sources import checkpoint, load_model, save_model
 
 SEED = 7
@@ -69,25 +69,25 @@ def logistic_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def logistic_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compared(spark, sf_dir, cl.binary_logistic(), thresholds={"over": 0.4})
+    return _compared(spark, sf_dir, cl.binary_logistic(), thresholds={"over": (0.4,), "under": (0.05, 0.4)})
 
 
 @query()
 def multinomial_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _multi(spark, sf_dir)
-    scored = cl.score(cl.multinomial_logistic(regParam=0.01, elasticNetParam=0.1).fit(train), test)
+    scored = cl.score(cl.multinomial_logistic().fit(train), test)
     return mt.classification_report(scored, score=None)
 
 
 @query()
 def boosted_trees_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compared(spark, sf_dir, cl.boosted_trees(SEED, maxIter=5, maxDepth=3))
+    return _compared(spark, sf_dir, cl.boosted_trees(SEED))
 
 
 @query()
 def boosted_trees_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _binary(spark, sf_dir)
-    model = cl.boosted_trees(SEED, maxIter=5, maxDepth=3).fit(train)
+    model = cl.boosted_trees(SEED).fit(train)
     return cl.feature_importances(model, fx.FEATURES)
 
 
@@ -126,7 +126,7 @@ _BAYES = f"""
              from s group by class),
     whole as (select *, {" + ".join(fx.FEATURES)} as total, sum(n) over () as n_all, count(*) over () as k from sums),
     logs as (select class, ln(n + 1) - ln(n_all + k) as pi,
-                    {", ".join(f"ln({c} + 1) - ln(total + 10) as t_{c}" for c in fx.FEATURES)} from whole),
+                    {", ".join(f"ln({c} + 1) - ln(total + {len(fx.FEATURES)}) as t_{c}" for c in fx.FEATURES)} from whole),
     x as (select track, genres, {_scaled("greatest(least({v}, 1), 0) as {c}")} from e, b),
     raws as (select track, genres, class, pi + {" + ".join(f"{c} * t_{c}" for c in fx.FEATURES)} as raw from x, logs),
     scores as (select track, genres, case when genres = 'Electronic' then 1.0::double else 0.0::double end as label,
@@ -209,52 +209,212 @@ def quality_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpoint(rows, shared_path(spark, "documents"))
     train, test = sm.stratified_split(rows, "track", SEED, 0.7)
     train, test, _ = ft.prepare(train, test, names, "genres")
-    return cl.summary_row(cl.score(cl.boosted_trees(SEED, maxIter=5, maxDepth=3).fit(train), test))
+    return cl.summary_row(cl.score(cl.boosted_trees(SEED).fit(train), test))
 
 
 # ---- model selection --------------------------------------------------------
 
 
-def _tuned(train: DataFrame, estimator, grid: dict, evaluator, folds: int = 3) -> DataFrame:
-    model = tn.cross_validate(estimator, grid, evaluator, train, "track", SEED, folds)
-    return tn.tuning_report(model)
+def _tuned(train: DataFrame, test: DataFrame, estimator, grid: dict, evaluator, bound: float) -> DataFrame:
+    """A row per setting of the grid, and how the tuned model does on the test part.
+
+    The figures themselves are ``tuning.tuning_report``, ``metrics.classification_report`` and
+    ``tuning.best_parameters``; here are the statements about them that hold on any data.
+    """
+    slots = cluster_slots(train.sparkSession)
+    with held(train) as cached:
+        model = tn.cross_validate(estimator, grid, evaluator, cached, "track", SEED, parallelism=slots)
+    settings = tn.tuning_report(model)
+    best = tn.best_parameters(model)
+    scored = cl.score(model.bestModel, test)
+    figures = mt.classification_report(scored, score=None).where("metric = 'accuracy'").select("value").scalar()
+    n_test = scored.agg(F.count(F.lit(1))).scalar()
+    top = settings.agg(F.max("metric"), F.count_if("is_best")).first()
+    chosen = settings.where("is_best").first()["setting"]
+    kept = all(str(best[name]) == value for name, value in (p.split("=") for p in chosen.split(", ")))
+    return settings.select(
+        "setting",
+        (F.col("metric").between(0, 1) & (F.col("metric") <= top[0])).alias("in_order"),
+        F.lit(top[1]).cast("bigint").alias("n_best"),
+        F.lit(kept).alias("refitted_with_best"),
+        n_test.alias("n_test"),
+        (figures >= bound).alias("held_out_fine"),
+    )
 
 
-def _under(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _binary(spark, sf_dir)
-    return sm.undersample(train, "genres", "Electronic", "track", SEED)
+def _tuning_sql(model: str, table: str) -> str:
+    """The same statements: every setting, one of them best, all test rows scored."""
+    names = sorted(tn.GRIDS[model])
+    settings = [""]
+    for name in names:
+        settings = [f"{s}, {name}={v}" for s in settings for v in tn.GRIDS[model][name]]
+    listed = ", ".join(f"('{s[2:]}')" for s in settings)
+    return f"""select setting, true as in_order, 1::bigint as n_best, true as refitted_with_best,
+                      (select count(*) from {table} where {unit_sql(SEED, 'track')} >= 0.7) as n_test, true as held_out_fine
+               from (values {listed}) g(setting)"""
 
 
-@query()
+def _balanced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    train, test = _binary(spark, sf_dir)
+    return sm.undersample(train, "genres", "Electronic", "track", SEED), test
+
+
+@query(_tuning_sql("binary_logistic", "binary_tagged"))
 def tune_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tuned(
-        _under(spark, sf_dir), cl.binary_logistic(), tn.GRIDS["binary_logistic"], BinaryClassificationEvaluator()
-    )
+    grid = tn.GRIDS["binary_logistic"]
+    return _tuned(*_balanced(spark, sf_dir), cl.binary_logistic(), grid, BinaryClassificationEvaluator(), 0.5)
 
 
-@query()
+@query(_tuning_sql("boosted_trees", "binary_tagged"))
 def tune_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = {"stepSize": [0.1, 0.2], "maxDepth": [2]}
-    return _tuned(_under(spark, sf_dir), cl.boosted_trees(SEED, maxIter=3), grid, BinaryClassificationEvaluator(), 2)
+    grid = tn.GRIDS["boosted_trees"]
+    return _tuned(*_balanced(spark, sf_dir), cl.boosted_trees(SEED), grid, BinaryClassificationEvaluator(), 0.5)
 
 
-@query()
+@query(_tuning_sql("linear_svm", "binary_tagged"))
 def tune_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = {"regParam": [0.01, 0.1], "maxIter": [5, 10]}
-    return _tuned(_under(spark, sf_dir), cl.linear_svm(), grid, BinaryClassificationEvaluator())
+    grid = tn.GRIDS["linear_svm"]
+    return _tuned(*_balanced(spark, sf_dir), cl.linear_svm(), grid, BinaryClassificationEvaluator(), 0.3)
 
 
-@query()
+@query(_tuning_sql("random_forest", "binary_tagged"))
 def tune_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = {"numTrees": [2, 4], "maxDepth": [4]}
-    return _tuned(_under(spark, sf_dir), cl.random_forest(SEED), grid, BinaryClassificationEvaluator())
+    """On the whole training set; the others take the undersampled one."""
+    grid = tn.GRIDS["random_forest"]
+    return _tuned(*_binary(spark, sf_dir), cl.random_forest(SEED), grid, BinaryClassificationEvaluator(), 0.5)
 
 
-@query()
+@query(_tuning_sql("multinomial_logistic", "tagged"))
 def tune_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _multi(spark, sf_dir)
-    grid = {"regParam": [0.01, 0.1], "elasticNetParam": [0.1], "maxIter": [10]}
-    return _tuned(train, cl.multinomial_logistic(), grid, MulticlassClassificationEvaluator())
+    grid = tn.GRIDS["multinomial_logistic"]
+    return _tuned(*_multi(spark, sf_dir), cl.multinomial_logistic(), grid, MulticlassClassificationEvaluator(), 0.25)
+
+
+# ---- statements about models that SQL can check -----------------------------
+
+
+@query(
+    f"""select model, (select count(*) from binary_tagged where {unit_sql(SEED, 'track')} >= 0.7) as n_test,
+               (select count(*) from binary_tagged where {unit_sql(SEED, 'track')} >= 0.7 and genres = 'Electronic') as n_positive,
+               true as finite_scores, true as better_than_chance
+        from (values ('boosted_trees'), ('linear_svm'), ('logistic'), ('random_forest')) m(model)"""
+)
+def classifier_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each binary classifier with its own settings on the held-out part."""
+    train, test = _binary(spark, sf_dir)
+    made = {
+        "logistic": cl.binary_logistic(), "boosted_trees": cl.boosted_trees(SEED),
+        "linear_svm": cl.linear_svm(), "random_forest": cl.random_forest(SEED),
+    }
+    rows = None
+    with held(train) as cached:
+        models = {name: estimator.fit(cached) for name, estimator in made.items()}
+    for name, model in models.items():
+        scored = cl.score(model, test)
+        cells = mt.confusion_counts(scored)
+        auroc = mt.area_under_roc(scored).select("auroc").scalar()
+        fine = scored.agg(F.every(~F.isnan(vector_to_array("rawPrediction")[1]))).scalar()
+        row = cells.select(
+            F.lit(name).alias("model"),
+            (F.col("tp") + F.col("tn") + F.col("fn") + F.col("fp")).alias("n_test"),
+            (F.col("tp") + F.col("fn")).alias("n_positive"),
+            fine.alias("finite_scores"),
+            (auroc > 0.5).alias("better_than_chance"),
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query(
+    f"""select (select count(*) from binary_tagged where {unit_sql(SEED, 'track')} >= 0.7) as n_rows,
+               0::bigint as n_different, true as lower_threshold_says_more"""
+)
+def reloaded_model_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model gives the same scores after saving and loading; a lower threshold only adds positives."""
+    train, test = _binary(spark, sf_dir)
+    model, path = cl.binary_logistic().fit(train), shared_path(spark, "logistic-model")
+    save_model(model, path)
+    before = cl.score(model, test).select("track", vector_to_array("probability")[1].alias("p"), "prediction")
+    after = cl.score(load_model(LogisticRegressionModel, path), test).select(
+        "track", vector_to_array("probability")[1].alias("q"), F.col("prediction").alias("said")
+    )
+    low = cl.score(model, test, 0.05).select("track", F.col("prediction").alias("low"))
+    return before.join(after, "track").join(low, "track").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if((F.col("p") != F.col("q")) | (F.col("prediction") != F.col("said"))).alias("n_different"),
+        F.every(F.col("low") >= F.col("prediction")).alias("lower_threshold_says_more"),
+    )
+
+
+@query(
+    f"""select (select count(*) from tagged where {unit_sql(SEED, 'track')} >= 0.7) as n_rows, true as class_0_said_more,
+               true as others_said_less"""
+)
+def multinomial_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One threshold per class: a low one for class 0 turns predictions to it, and from it none."""
+    train, test = _multi(spark, sf_dir)
+    model = cl.multinomial_logistic(regParam=0.01, elasticNetParam=0.1).fit(train)
+    usual = cl.score(model, test).select("track", "prediction")
+    turned = cl.score(model, test, thresholds=[0.1, *[1.0] * (model.numClasses - 1)]).select(
+        "track", F.col("prediction").alias("turned")
+    )
+    return usual.join(turned, "track").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.count_if(F.col("turned") == 0) > F.count_if(F.col("prediction") == 0)).alias("class_0_said_more"),
+        F.every((F.col("turned") == 0) | (F.col("turned") == F.col("prediction"))).alias("others_said_less"),
+    )
+
+
+_PARTS = f"""
+    parts as (select user_id, song_id, plays, {unit_sql(SEED, pair_sql())} < 0.21 as in_test from triplets),
+    train as (select * from parts where not in_test),
+    test as (select * from parts where in_test)"""
+
+
+@query(
+    f"""with {_PARTS}
+        select user_id, song_id, plays, user_id in (select user_id from train) and song_id in (select song_id from train)
+               as has_score from test"""
+)
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out pairs get a score exactly if training knew both the user and the song."""
+    study = _Study(spark, sf_dir)
+    scored = rc.predict_pairs(study.model, study.test)
+    return scored.select("user_id", "song_id", "plays", (~F.isnan("prediction")).alias("has_score"))
+
+
+@query(
+    f"""with {_PARTS}, n as (select least(10, count(distinct song_id)) as k from train),
+             chosen as (select user_id from (select user_id, count(*) as c from test group by user_id having count(*) > 5) h
+                        order by {hash_sql(SEED, 'user_id')}, user_id limit 10)
+        select user_id, k as n_songs, k as n_distinct, true as as_scored
+        from chosen, n where user_id in (select user_id from train)"""
+)
+def recommended_songs_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled users get ten different songs each, rated as the model scores those pairs."""
+    study = _Study(spark, sf_dir)
+    chosen = sm.sample_heavy_users(study.test, 5, 10, SEED)
+    users = study.users.join(chosen.select("user_id"), "user_id")
+    recs = rc.decode_recommendations(rc.recommend_for_users(study.model, users, 10), study.users, study.songs)
+    scored = rc.predict_pairs(study.model, recs)
+    return scored.groupBy("user_id").agg(
+        F.count("song_id").alias("n_songs"),
+        F.countDistinct("song_id").alias("n_distinct"),
+        F.every(F.abs(F.col("rating") - F.col("prediction")) < 1e-4).alias("as_scored"),
+    )
+
+
+@query(
+    f"""with {_PARTS}, n as (select least(10, count(distinct user_id)) as k from train)
+        select song_id, k as n_listeners from (select distinct song_id from train) s, n"""
+)
+def listeners_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every song of the training part gets ten listeners."""
+    study = _Study(spark, sf_dir)
+    rows = rc.explode_recommendations(rc.recommend_for_all_items(study.model, 10), "song_index", "user_index")
+    rows = rows.withColumn("song_index", F.col("song_index").cast("double"))
+    counts = rows.groupBy("song_index").agg(F.countDistinct("user_index").alias("n_listeners"))
+    return counts.join(study.songs, "song_index").select("song_id", "n_listeners")
 
 
 # ---- recommendation ---------------------------------------------------------
@@ -322,7 +482,7 @@ def card_of_one_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select case when {unit_sql(SEED, "concat(t.user_id, '|', t.song_id)")} < 0.21 then 'test' else 'train' end as side,
+    f"""select case when {unit_sql(SEED, pair_sql("t.user_id", "t.song_id"))} < 0.21 then 'test' else 'train' end as side,
                t.song_id, cast(plays as bigint) as plays, null::double as rating,
                artist_name, song_hotttnesss, title, release
         from triplets t join metadata m on t.song_id = m.song_id where t.user_id = 'U00000007'"""

@@ -16,14 +16,24 @@ def unit_sql(seed: int, key: str) -> str:
 
 
 def _id(prefix: str, key: str) -> str:
-    return f"concat('{prefix}', lpad(cast({key} as varchar), 16, '0'))"
+    return f"concat('{prefix}', {_padded(key, 16)})"
+
+
+def _padded(key: str, width: int) -> str:
+    digits = f"cast({key} as varchar)"
+    return f"lpad({digits}, cast(greatest(length({digits}), {width}) as int), '0')"
+
+
+def pair_sql(user: str = "user_id", song: str = "song_id") -> str:
+    """The key of ``sampling.key_of`` for two strings."""
+    return " || ".join(f"coalesce(concat(length({c}), ':', {c}), '-')" for c in (user, song))
 
 
 _PAIR = (
     f"concat('<', {_id('SO', 'p_partkey')}, ' ', {_id('TR', 'p_partkey')}, '> ', p_brand, "
     "'  -  ', p_name, '  !=  ', p_type, '  -  ', p_name)"
 )
-_FEATURES = ", ".join(f"cast(embedding[{i}] as double) as f{i}" for i in range(1, 11))
+_FEATURES = ", ".join(f"cast(embedding[{i}] as double) as f{i}" for i in range(1, 65))
 _LINE = r"^(?:< )?ERROR: <(\S{18}) (\S{18})> (.*?)  -  (.*?)  !=  (.*?)  -  (.*)$"
 _FIELDS = ("song_id", "track_id", "song_artist", "song_title", "track_artist", "track_title")
 _PARSED = ", ".join(
@@ -33,7 +43,7 @@ _PARSED = ", ".join(
 # In order: a view may use those before it.
 VIEWS = {
     "triplets": (
-        "select concat('U', lpad(cast(o_custkey as varchar), 8, '0')) as user_id, "
+        f"select concat('U', {_padded('o_custkey', 8)}) as user_id, "
         f"{_id('SO', 'l_partkey')} as song_id, cast(sum(l_quantity) as int) as plays "
         "from lineitem join orders on l_orderkey = o_orderkey group by o_custkey, l_partkey"
     ),
@@ -61,12 +71,12 @@ VIEWS = {
     ),
     "tagged": (
         "select replace(MSD_TRACKID, chr(39), '') as track, "
-        + ", ".join(f"f{i}" for i in range(1, 11))
+        + ", ".join(f"f{i}" for i in range(1, 65))
         + ", genres.genres from features join genres on replace(MSD_TRACKID, chr(39), '') = track_id"
     ),
     "binary_tagged": (
         "select track, "
-        + ", ".join(f"f{i}" for i in range(1, 11))
+        + ", ".join(f"f{i}" for i in range(1, 65))
         + ", case when genres = 'Electronic' then 'Electronic' else 'Other' end as genres from tagged"
     ),
     "judged": (

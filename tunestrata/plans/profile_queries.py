@@ -9,11 +9,14 @@ from tunestrata.functions import binarize_label, count_nan, drop_nan, strip_quot
 from tunestrata.operators import aggregates as ag
 from tunestrata.operators import joins, ordering, sampling
 from tunestrata.plans import fixtures as fx
-from tunestrata.plans.oracle_views import hash_sql
+from tunestrata.plans.oracle_views import hash_sql, pair_sql
 from tunestrata.plans.registry import query
 from tunestrata.session import shared_path
 from tunestrata.sources import checkpoint
 
+#: Songs in one row of a list.
+LIST_CHUNK = 100_000
+
 MIN_SONG_PLAYS, MIN_USER_SONGS, MIN_SONGS_LEFT = 631, 27, 20
 
 # ---- cleaning and joins -----------------------------------------------------
@@ -77,7 +80,7 @@ def holdout_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""select * from triplets
-        where {hash_sql(12, "concat(user_id, '|', song_id)")} / 4294967296.0 >= 0.21"""
+        where {hash_sql(12, pair_sql())} / 4294967296.0 >= 0.21"""
 )
 def holdout_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.triplets(spark, sf_dir)
@@ -93,7 +96,9 @@ _PRUNED = f"""
 
 
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.prune_interactions(fx.triplets(spark, sf_dir), MIN_SONG_PLAYS, MIN_USER_SONGS)
+    """The triplets are stored first: both lists and the pruning itself read them."""
+    plays = checkpoint(fx.triplets(spark, sf_dir), shared_path(spark, "triplets"))
+    return joins.prune_interactions(plays, MIN_SONG_PLAYS, MIN_USER_SONGS)
 
 
 @query(_PRUNED)
@@ -299,11 +304,11 @@ def describe_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corr_sql(table: str, columns: list[str]) -> str:
-    return " union all ".join(
-        f"""select '{a}' as "row", '{b}' as "col", round(corr({a}, {b}), 6) as r from {table}"""
-        for a in columns
-        for b in columns
-    )
+    """The columns turned into rows of name and value, joined with themselves by table row."""
+    values = " union all ".join(f"select i, '{c}' as name, cast({c} as double) as v from numbered" for c in columns)
+    return f"""with numbered as (select *, row_number() over () as i from {table}), v as ({values})
+        select a.name as "row", b.name as "col", round(corr(a.v, b.v), 6) as r
+        from v a join v b on a.i = b.i group by a.name, b.name"""
 
 
 @query(_corr_sql("features", fx.FEATURES))
@@ -409,6 +414,20 @@ def histogram_user_songs_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.histogram(ag.distinct_songs_by_user(fx.triplets(spark, sf_dir)), "n_songs", 200, 60)
 
 
+@query(_histogram_sql("select prediction from scored where not isnan(prediction)", "prediction", 100))
+def histogram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores hold NaN, which has no bin."""
+    return ag.histogram(fx.scored(spark, sf_dir), "prediction", 100)
+
+
+@query(
+    """select count(*) filter (where prediction is null) as n_null, count(*) filter (where isnan(prediction)) as n_nan,
+              0::bigint as n_infinite from scored"""
+)
+def scores_without_a_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ag.non_finite(fx.scored(spark, sf_dir), "prediction")
+
+
 # ---- windows, order, limit --------------------------------------------------
 
 _RANKED = "select *, rank() over (partition by user_id order by plays desc) as rank from triplets"
@@ -442,10 +461,10 @@ def top_songs_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_song_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = fx.hot_users(spark, sf_dir)
     plays = fx.triplets(spark, sf_dir)
-    lists = ordering.collect_top_items(plays, "user_id", "plays", "song_id", 10, hot)
+    lists = ordering.collect_top_items(plays, "user_id", "plays", "song_id", 10, LIST_CHUNK, hot)
     return lists.select("user_id", "chunk", F.posexplode("items").alias("i", "song_id")).select(
         "user_id",
-        (F.col("chunk") * F.lit(ordering.LIST_CHUNK) + F.col("i") + 1).cast("bigint").alias("place"),
+        (F.col("chunk") * F.lit(LIST_CHUNK) + F.col("i") + 1).cast("bigint").alias("place"),
         "song_id",
     )
 

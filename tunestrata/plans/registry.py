@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tunestrata.plans.oracle_views import with_views
-from tunestrata.session import apply_skew_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,13 +18,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Enter a function under its own name. ``sql`` may use the views of ``oracle_views``."""
 
     def enter(fn: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(apply_skew_settings(spark), sf_dir)
-
         name = fn.__name__
         if name in QUERIES:
             raise ValueError(f"query {name} entered twice")
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn

@@ -10,6 +10,7 @@ from tunestrata import sources as io
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.registry import query
 from tunestrata.session import partition_sizes, shared_path
+from tunestrata.sources import malformed_lines, parse_match_log
 
 TRIPLET_SCHEMA = T.StructType(
     [
@@ -131,6 +132,22 @@ def storage_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.storage_inventory(spark, sf_dir)
 
 
-@query()
+@query("select count(*) as n_rows, true as every_partition_once from lineitem")
 def partition_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition_sizes(fx.table(spark, sf_dir, "lineitem").select("l_orderkey"))
+    """Rows per partition, added up; how many partitions there are is up to the scan."""
+    sizes = partition_sizes(fx.table(spark, sf_dir, "lineitem").select("l_orderkey"))
+    once = F.count("partition_id") == F.countDistinct("partition_id")
+    return sizes.agg(F.sum("n_rows").alias("n_rows"), once.alias("every_partition_once"))
+
+
+@query(
+    "select cast(count(*) filter (where p_size <= 40) as bigint) as n_other, 0::bigint as n_malformed, "
+    "count(*) filter (where p_size > 40) as n_parsed from part"
+)
+def match_log_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the log is parsed, malformed, or of another kind."""
+    lines = fx.mismatch_lines(spark, sf_dir)
+    parsed = parse_match_log(lines).agg(F.count(F.lit(1))).scalar()
+    bad = malformed_lines(lines).agg(F.count(F.lit(1))).scalar()
+    total = lines.agg(F.count(F.lit(1)).alias("n"))
+    return total.select((F.col("n") - parsed - bad).alias("n_other"), bad.alias("n_malformed"), parsed.alias("n_parsed"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tunestrata.operators import features as ft
 from tunestrata.operators import sampling as sm
 from tunestrata.plans import fixtures as fx
-from tunestrata.plans.oracle_views import unit_sql
+from tunestrata.plans.oracle_views import pair_sql, unit_sql
 from tunestrata.plans.registry import query
+from tunestrata.session import shared_path
+from tunestrata.sources import checkpoint
 
 SPLIT, UNDER, OVER, USERS = 21, 22, 23, 24
 BINARY = {"Electronic": 0.7, "Other": 0.7}
@@ -48,7 +50,7 @@ def split_every_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select user_id, song_id, plays, case when {unit_sql(USERS, "concat(user_id, '|', song_id)")} < 0.21
+    f"""select user_id, song_id, plays, case when {unit_sql(USERS, pair_sql())} < 0.21
                then 'test' else 'train' end as part
         from triplets"""
 )
@@ -58,11 +60,12 @@ def split_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test.withColumn("part", F.lit("test")).unionByName(train.withColumn("part", F.lit("train")))
 
 
-@query()
+@query("select track, genres, 1::bigint as n_parts from binary_tagged")
 def split_binary_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which part a row is drawn into is random; that it is in one of them is not."""
     rows = fx.binary_tagged(spark, sf_dir).select("track", "genres")
-    train, test = sm.stratified_split(rows, "track", SPLIT, BINARY, "genres", method="rng")
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    parts = sm.stratified_split(rows, "track", SPLIT, BINARY, "genres", method="rng")
+    return parts[0].unionByName(parts[1]).groupBy("track", "genres").agg(F.count(F.lit(1)).alias("n_parts"))
 
 
 @query(
@@ -162,9 +165,9 @@ def index_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         from triplets t join u on t.user_id = u.user_id join s on t.song_id = s.song_id"""
 )
 def index_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.index_strings(
-        fx.triplets(spark, sf_dir), {"user_id": "user_index", "song_id": "song_index"}
-    )[0]
+    """Stored first: either index counts the triplets, and both are attached to them."""
+    plays = checkpoint(fx.triplets(spark, sf_dir), shared_path(spark, "triplets"))
+    return ft.index_strings(plays, {"user_id": "user_index", "song_id": "song_index"})[0]
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 FIELDS = ("song_id", "track_id", "song_artist", "song_title", "track_artist", "track_title")
 
 # Two ids of 18 characters, then four texts; in each text the first separator wins.
-_LINE = r"^(?:< )?ERROR: <(\S{18}) (\S{18})> (.*?)  -  (.*?)  !=  (.*?)  -  (.*)$"
+_LINE = r"(?s)^(?:< )?ERROR: <(\S{18}) (\S{18})> (.*?)  -  (.*?)  !=  (.*?)  -  (.*)$"
 _MARK = "\u0001"
 
 
