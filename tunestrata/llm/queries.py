@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tunestrata.llm import byte_bpe, cover_tree, packing, pii, quality, rules, secrets, simhash, token_counts, warc
+from tunestrata.llm import byte_bpe, cover_tree, oracles, packing, pii, quality, rules, secrets, simhash, token_counts, warc
 from tunestrata.llm.common import read, ship_package
 from tunestrata.llm.ledger import Ledger
 from tunestrata.session import shared_path
@@ -43,25 +43,18 @@ def op2_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer)
 
 
-@query()
+@query(oracles.RULE_LEDGER)
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(read(spark, sf_dir, "documents")).drop("n_lines")
 
 
-@query()
+@query(oracles.SECRET_LEDGER)
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = Ledger(spark, shared_path(spark, "secret-ledger"), secrets.FINDINGS)
     return secrets.secret_scan(read(spark, sf_dir, "documents"), findings)
 
 
-@query(
-    """with p as (select page_id, encode(coalesce(html, '')) as payload, sha256(coalesce(html, '')) as d from pages),
-            f as (select d, min(page_id) as first from p where octet_length(payload) >= 100 group by d)
-       select page_id, cast(octet_length(payload) as bigint) as payload_bytes, p.d as payload_digest,
-              case when page_id > first then 'revisit' else 'response' end as record_type,
-              case when page_id > first then first end as refers_to
-       from p left join f on p.d = f.d"""
-)
+@query(oracles.WARC_CHUNKS)
 def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(spark, read(spark, sf_dir, "pages"))
 
@@ -83,7 +76,7 @@ def op8_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query(oracles.COVER_TREE)
 def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.vector_groups(read(spark, sf_dir, "embeddings"))
 
