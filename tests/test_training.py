@@ -160,7 +160,7 @@ def binary(spark, sf_dir):
     [
         (cl.binary_logistic, {}, 0.8),
         (cl.boosted_trees, {"seed": 1, "maxIter": 5}, 0.75),
-        (cl.random_forest, {"seed": 1, "numTrees": 8}, 0.75),
+        (cl.random_forest, {"seed": 1, "numTrees": 80, "maxDepth": 6}, 0.75),
         (cl.linear_svm, {"maxIter": 20}, 0.75),
     ],
 )
