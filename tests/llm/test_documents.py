@@ -257,6 +257,17 @@ def test_byte_bpe_columns_and_parts(docs, texts):
             assert [i for p in parts for i in p] == library.encode_ordinary(text)
 
 
+def test_long_runs_of_white_space():
+    library = _tiktoken()
+    for run in (" " * 9, "\n" * 7, "\t \n\r\x85\u3000 \xa0 ", "\n\n\n\n "):
+        for text in (run, f"a{run}", f"{run}b", f"a{run}b{run}", f"a{run}!{run}\x1c{run}1 '{run}'s"):
+            parts = byte_bpe.encoded_parts(text, RANKS, public_tokenizers.PATTERN, long_run=5)
+            assert [i for p in parts for i in p] == library.encode_ordinary(text)
+    huge = "a" + " " * 1_500_000 + "b"
+    n, _, data = byte_bpe.digest_round_trip(byte_bpe.encoded_parts(huge, RANKS, public_tokenizers.PATTERN), library)
+    assert n > 1000 and data == plain.sha(huge)
+
+
 # ---- personal data ----------------------------------------------------------
 
 

@@ -17,6 +17,9 @@ from tunestrata.llm.common import text_or_empty
 
 #: Characters handed to the library at once.
 STRETCH = 1 << 18
+#: White space in a row from which the library's matcher is passed by: it keeps a place on its stack
+#: for every character of such a run, and gives up at about a million.
+LONG_RUN = 100_000
 
 # No match of the pattern goes on from a character that is not white space to a blank or newline,
 # and none looks back, so what follows such a place is matched the same with or without what is
@@ -48,9 +51,26 @@ def safe_parts(text: str, size: int = STRETCH) -> Iterator[str]:
     yield text[start:]
 
 
-def encoded_parts(text: str, rank_file: str, pattern: str, size: int = STRETCH) -> Iterator[list[int]]:
-    encoder = encoding(rank_file, pattern)
-    return (encoder.encode_ordinary(part) for part in safe_parts(text, size))
+@cache
+def _long_run(least: int) -> re.Pattern:
+    """Runs of what the library takes for white space."""
+    return re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{least},}}")
+
+
+def encoded_parts(
+    text: str, rank_file: str, pattern: str, size: int = STRETCH, long_run: int = LONG_RUN
+) -> Iterator[list[int]]:
+    """The ids of a text, part by part.
+
+    A run of white space is one match, but for its last character if other text follows: that one
+    belongs to the next match. Very long runs are encoded as that one piece.
+    """
+    encoder, at = encoding(rank_file, pattern), 0
+    for run in _long_run(long_run).finditer(text) if len(text) >= long_run else ():
+        yield from map(encoder.encode_ordinary, safe_parts(text[at : run.start()], size))
+        at = run.end() - (run.end() < len(text))
+        yield encoder._encode_single_piece(text[run.start() : at].encode())
+    yield from map(encoder.encode_ordinary, safe_parts(text[at:], size))
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
