@@ -31,6 +31,8 @@ LEAST_REVISIT = 100
 CHUNK = 1 << 20
 #: An archive is closed once it has this many bytes; its records are read by one task.
 ARCHIVE = 256 << 20
+#: Most tasks that read archives.
+READERS = 50_000
 
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -209,7 +211,11 @@ def chunks_of(archive: str, stream, with_data: bool) -> Iterator[tuple]:
 
 
 def read_chunks(manifest: DataFrame, folder: str, with_data: bool = True) -> DataFrame:
-    """The chunk table of the archives in a manifest: see ``CHUNK_COLUMNS``. One task per archive at a time."""
+    """The chunk table of the archives in a manifest: see ``CHUNK_COLUMNS``.
+
+    There is a task for each archive, up to ``READERS``: left to itself, Spark would put the few
+    bytes of the manifest, and with them all archives, into one task.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
@@ -226,7 +232,8 @@ def read_chunks(manifest: DataFrame, folder: str, with_data: bool = True) -> Dat
                 if rows:
                     yield _batch(rows)
 
-    names = manifest.select("archive").repartition(F.col("archive"))
+    names = manifest.select("archive")
+    names = names.repartition(max(1, min(names.count(), READERS)))
     return names.mapInArrow(read, CHUNK_COLUMNS)
 
 
