@@ -226,12 +226,14 @@ def accepted_codes(counts: dict[int, int], sure: float = SURE) -> list[int]:
     return [c for c, prob in zip(codes, p, strict=True) if prob >= sure and sum(v == 1 for v in _features(c)[1]) >= 2]
 
 
-def with_spans(docs: DataFrame, sure: float = SURE) -> DataFrame:
-    """Add ``base`` and ``spans``: arrays of ``kind, start, stop`` by kind and start. Stored once.
+def with_spans(docs: DataFrame, sure: float = SURE, keep: list[str] | None = None) -> DataFrame:
+    """Add ``base`` and ``spans``: arrays of ``kind, start, stop`` by kind and start. Stored once,
+    beside the columns to ``keep`` (all by default).
 
     Every whole text is read once; what is learnt comes from counts of the stored candidates.
     """
-    looked = written(docs.withColumn("_looked", _looked(text_or_empty())), "pii-candidates")
+    kept = docs.columns if keep is None else keep
+    looked = written(docs.select(*kept, _looked(text_or_empty()).alias("_looked")), "pii-candidates")
     codes = looked.select(F.explode("_looked.loose.code").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     accepted = accepted_codes({r["code"]: r["n"] for r in codes.collect()}, sure)
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))
@@ -252,7 +254,7 @@ def personal_data(docs: DataFrame, sure: float = SURE) -> DataFrame:
     A null text counts as empty and has no span. Rows without an id and repeated rows stay; other
     columns are ignored. An empty table gives an empty result.
     """
-    found = with_spans(docs.select("doc_id", "text"), sure)
+    found = with_spans(docs, sure, keep=["doc_id"])
     counts = (F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint) as n_{n}") for k, n in enumerate(BASE))
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
