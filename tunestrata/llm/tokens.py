@@ -10,13 +10,12 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import cache, lru_cache
 
-import numpy as np
-
 #: Pieces that a worker remembers, and characters encoded together.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 STRETCH = 1 << 20
 
 # A blank or newline after a character that is not white space starts a new piece: byte-level
@@ -27,6 +26,9 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _LATIN = re.compile(rf"[{_LETTER}]+(?![^ \n.,;:!?|&%$*#])|[^ \n]+")
 
 
+_WORD = re.compile(rf"[{_LETTER}]+")
+
+
 def pieces_with_blanks(text: str) -> list[str]:
     return _BEFORE_BLANK.split(text)
 
@@ -83,13 +85,34 @@ class PieceEncoder:
 
     def __init__(self, path: str, value: Callable[[list[int]], object]):
         self.tokenizer, self.value, self.known = load(path), value, {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Ids that end a word, for vocabularies that mark word ends.
+        self.closing = {i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)}
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of letters alone, many to a line: every word is one with its own end."""
+        lines = [words[i : i + 100] for i in range(0, len(words), 100)]
+        made, closing = [], self.closing
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False), strict=True):
+            ids, start, before = e.ids, 0, len(made)
+            for stop, i in enumerate(ids, 1):
+                if i in closing:
+                    made.append(ids[start:stop])
+                    start = stop
+            if len(made) - before != len(line) or start != len(ids):
+                made[before:] = [x.ids for x in self.tokenizer.encode_batch_fast(line, add_special_tokens=False)]
+        return made
 
     def __call__(self, texts: list[list[str]]) -> list[list]:
         """For lists of pieces, the lists of their values."""
-        wanted = {p for pieces in texts for p in pieces}
-        missing = list(wanted - self.known.keys())
+        wanted = set().union(*texts)
+        missing = list(wanted.difference(self.known))
         if len(self.known) + len(missing) > REMEMBERED:  # go on with what is in use
             self.known = {p: self.known[p] for p in wanted & self.known.keys()}
+        if self.closing:
+            words = [p for p in missing if _WORD.fullmatch(p)]
+            self.known.update(zip(words, map(self.value, self._words(words)), strict=True))
+            missing = [p for p in missing if p not in self.known]
         made = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
         self.known.update(zip(missing, (self.value(e.ids) for e in made), strict=True))
         return [list(map(self.known.__getitem__, pieces)) for pieces in texts]
@@ -100,9 +123,13 @@ def counter(path: str) -> PieceEncoder:
     return PieceEncoder(path, len)
 
 
+def _id_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @cache
 def packer(path: str) -> PieceEncoder:
-    return PieceEncoder(path, lambda ids: np.array(ids, "<u4").tobytes())
+    return PieceEncoder(path, _id_bytes)
 
 
 def groups_of(texts: list[str], size: int = STRETCH) -> Iterator[list[int]]:
