@@ -22,7 +22,11 @@ def rules_passed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates_dropped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id.
+
+    Near is what op1 calls near: fingerprints of three-word shingles that differ in at most 3 of 64
+    bits. Copies with a few changed words mostly differ in more and stay; the README has the recall.
+    """
     ship_package(spark)
     return simhash.keep_one(docs)
 
