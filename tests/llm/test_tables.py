@@ -190,6 +190,25 @@ def test_dense_group_by_bounds(level):
         assert (np.sqrt(np.maximum(2 - 2 * x[node.rows] @ node.centre, 0)) <= node.radius + 1e-7).all()
 
 
+@pytest.mark.parametrize("held", [50, 1 << 16])
+def test_noisy_copies_give_a_spanning_forest(held, monkeypatch):
+    """Nodes of one vector each, all of them linked: edges do not grow with the pairs."""
+    monkeypatch.setattr(cover_tree, "HELD", held)
+    rng = np.random.default_rng(3)
+    x = plain.unit(np.repeat(rng.normal(size=(2, 384)), 200, axis=0) + rng.normal(size=(400, 384)) * 0.21)
+    links = cover_tree.Links(np.ones(len(x), np.int64))
+    top = cover_tree.made_nodes(x, np.arange(len(x)), *cover_tree.opened(x, np.arange(len(x)), cover_tree.top_level(0.95)))
+    assert len(top) > 300
+    cover_tree.traverse(x, top, None, 0.95, links)
+    near = x @ x.T >= 0.95
+    assert (links.count == near.sum(axis=1) - 1).all() and links.count.sum() > 50 * len(x)
+    assert sum(map(len, links.edges)) <= 2 * len(x) + held
+    edges = {tuple(e) for e in links.forest().tolist()}
+    assert len(edges) < len(x)
+    joined = plain.components(len(x), lambda i, j: (i, j) in edges or (j, i) in edges)
+    assert joined == plain.components(len(x), lambda i, j: near[i, j])
+
+
 def test_net_covers_and_separates():
     x = plain.unit(np.random.default_rng(4).normal(size=(700, 6)))
     owner = cover_tree.net(x, 0.5)

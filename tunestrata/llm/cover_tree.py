@@ -33,6 +33,8 @@ BLOCK, PIVOTS = 8192, 1024
 PIVOT_SAMPLE = 8192
 #: Radii of the levels below the pivots, from the top; every vector is within 2 of any other.
 RADII = tuple(2.0**-k for k in range(12))
+#: Edges, or arrays of them, that are kept before they are folded to a forest.
+HELD = 1 << 16
 _SLACK = 1e-7  # more than rounding can take off a distance
 
 
@@ -112,15 +114,43 @@ def children(vectors: np.ndarray, node: Node) -> list[Node]:
     return made_nodes(vectors, node.rows, *opened(vectors, node.rows, node.level)) if len(node.rows) > 1 else [node]
 
 
+def spanning_forest(edges: np.ndarray, rows: int) -> np.ndarray:
+    """Edges from the smallest row of each component to its others: at most ``rows`` - 1."""
+    root, (a, b) = np.arange(rows), edges.T
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    others = np.flatnonzero(root != np.arange(rows))
+    return np.column_stack([root[others], others])
+
+
 class Links:
-    """Counts of links, and edges that join up what is linked, for the vectors of two blocks."""
+    """Counts of links, and edges that join up what is linked, for the vectors of two blocks.
+
+    Edges are folded to a spanning forest whenever many have come together.
+    """
 
     def __init__(self, weights: np.ndarray):
-        self.count, self.weights, self.edges = np.zeros(len(weights), np.int64), weights, []
+        self.count, self.weights, self.edges, self.held = np.zeros(len(weights), np.int64), weights, [], 0
 
     def edge(self, a: np.ndarray, b: np.ndarray) -> None:
         a, b = np.broadcast_arrays(a, b)
         self.edges.append(np.column_stack([a[a != b], b[a != b]]))
+        self.held += len(self.edges[-1])
+        if self.held > 2 * len(self.weights) + HELD or len(self.edges) > HELD:
+            self.forest()
+
+    def forest(self) -> np.ndarray:
+        """The edges so far as a spanning forest, which also takes their place."""
+        found = np.concatenate([*self.edges, np.empty((0, 2), np.int64)]).astype(np.int64)
+        self.edges = [spanning_forest(found, len(self.weights))]
+        self.held = len(self.edges[0])
+        return self.edges[0]
 
     def all_of(self, a: np.ndarray, b: np.ndarray) -> None:
         """Every vector of ``a`` links with every one of ``b`` (disjoint, or the same rows)."""
@@ -289,7 +319,7 @@ def _one_length(found: DataFrame, dimensions: int, cosine: float, block: int) ->
             traverse(data, sides[0], sides[1], cosine, links)
         node = rows["node"].to_numpy()
         some = np.flatnonzero(links.count)
-        edges = np.concatenate([*links.edges, np.empty((0, 2), np.int64)]).astype(np.int64)
+        edges = links.forest()
         return pd.concat(
             [
                 pd.DataFrame({"a": node[some], "b": pd.array([None] * len(some), "Int64"), "n": pd.array(links.count[some], "Int64")}),
