@@ -190,6 +190,28 @@ def test_secret_scan_is_native(spark, docs):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_policies_read_a_stored_ledger(spark, docs, monkeypatch):
+    stored, asked = [], []
+    keep, passes = rules.written, rules.passes
+    monkeypatch.setattr(rules, "written", lambda df, label: stored.append(keep(df, label)) or stored[-1])
+    monkeypatch.setattr(rules, "passes", lambda *a, **k: asked.append(a[0]) or passes(*a, **k))
+    found = bag(rules.policies_compared(docs).collect())
+    assert len(stored) == 1 and "Python" not in stored[0]._jdf.queryExecution().toString()
+    failed = [r["failed"] for r in rules.ledger(docs).select("failed").collect()]
+    expected = []
+    for policy, names in rules.POLICIES.items():
+        whole = rules.mask(names)
+        for rule in names:
+            bit = rules.mask((rule,))
+            expected.append((policy, rule, sum(f & bit > 0 for f in failed), sum(f & whole == bit for f in failed), sum(f & whole == 0 for f in failed)))
+    assert found == bag(expected)
+    for policy, names in rules.POLICIES.items():
+        asked.clear()
+        kept = rules.keep_good(docs, policy)
+        assert asked == [policy] and kept.columns == docs.columns
+        assert kept.count() == sum(f & rules.mask((*rules.BASE, *(n for n in names if n not in rules.BASE))) == 0 for f in failed)
+
+
 # ---- tokens -----------------------------------------------------------------
 
 

@@ -48,6 +48,11 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(read(spark, sf_dir, "documents")).drop("n_lines")
 
 
+@query()
+def rule_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.policies_compared(read(spark, sf_dir, "documents"))
+
+
 @query(oracles.SECRET_LEDGER)
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = Ledger(spark, shared_path(spark, "secret-ledger"), secrets.FINDINGS)

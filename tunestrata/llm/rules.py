@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tunestrata.llm.common import free_name, text_or_empty, word_blocks
+from tunestrata.llm.common import free_name, text_or_empty, word_blocks, written
 
 _SPACES = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
@@ -80,21 +80,26 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << order.index(rule) for rule in rules)
 
 
+def failed_rules(at: str = "") -> Column:
+    """One bit per failed rule; ``at`` comes before the names of the measurements."""
+    failed = F.lit(0)
+    for bit, rule in enumerate(RULES.values()):
+        placed = re.sub(r"\b[a-z]+_[a-z_]+\b", rf"{at}\g<0>", rule)
+        failed = failed.bitwiseOR(F.when(F.expr(placed), F.lit(1 << bit)).otherwise(F.lit(0)))
+    return failed.cast("bigint")
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measurements, and ``failed``: one bit per rule a document fails.
 
     A null text has no word. One row per row of ``docs``; other columns are ignored.
     """
     measured = docs.select("doc_id", _measured(text_or_empty()).alias("m")).select("doc_id", "m.*")
-    bits = [F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, rule in enumerate(RULES.values())]
-    failed = bits[0]
-    for bit in bits[1:]:
-        failed = failed.bitwiseOR(bit)
-    return measured.withColumn("failed", failed.cast("bigint"))
+    return measured.withColumn("failed", failed_rules())
 
 
-def passes(policy: str, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> Column:
-    return F.col("failed").bitwiseAND(F.lit(mask(policies[policy]))) == 0
+def passes(policy: str, policies: Mapping[str, tuple[str, ...]] = POLICIES, failed: str = "failed") -> Column:
+    return F.col(failed).bitwiseAND(F.lit(mask(policies[policy]))) == 0
 
 
 def ablation(rows: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
@@ -119,6 +124,17 @@ def ablation(rows: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES
     )
 
 
+def policies_compared(docs: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
+    """``policy, rule, n_failed, n_only, n_kept``: the ablation beside the documents each policy keeps.
+
+    The ledger is stored once; policies and ablation are read from it.
+    """
+    stored = written(ledger(docs), "rule-ledger")
+    cases = F.array(*(F.struct(F.lit(p).alias("policy"), passes(p, policies).alias("kept")) for p in policies))
+    kept = stored.select(F.explode(cases).alias("c")).groupBy("c.policy").agg(F.count_if("c.kept").alias("n_kept"))
+    return ablation(stored, policies).join(kept, "policy")
+
+
 def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The ledger with ``base_failed``, ``kept`` under a policy, and the policy's name."""
     base = F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0
@@ -135,8 +151,7 @@ def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
     Each row is judged by its own text, where it stands: nothing is joined or shuffled.
     """
-    name = free_name(docs, "_measured")
-    rows = docs.withColumn(name, _measured(text_or_empty()))
-    wanted = [RULES[r] for r in dict.fromkeys((*BASE, *POLICIES[policy]))]
-    failed = re.sub(r"\b[a-z]+_[a-z_]+\b", rf"{name}.\g<0>", " or ".join(f"({rule})" for rule in wanted))
-    return rows.where(f"not ({failed})").drop(name)
+    name, failed = free_name(docs, "_measured"), free_name(docs, "_failed")
+    rows = docs.withColumn(name, _measured(text_or_empty())).withColumn(failed, failed_rules(f"{name}."))
+    base = F.col(failed).bitwiseAND(F.lit(mask(BASE))) == 0
+    return rows.where(base & passes(policy, failed=failed)).drop(name, failed)
