@@ -281,3 +281,20 @@ def test_card(spark, sf_dir, study):
     assert sides["recommended"] == 10
     assert sides["train"] == train.where(F.col("user_id") == name).count()
     assert sides["test"] == test.where(F.col("user_id") == name).count()
+
+
+def test_tuning_figures_are_returned(spark, sf_dir):
+    """The metric of each setting, one best setting, its parameters and the held-out report."""
+    from tunestrata.operators.tuning import GRIDS
+    from tunestrata.plans import QUERIES
+
+    assert {f"tuning_figures_{m}" for m in ("logistic", "boosted_trees", "linear_svm", "random_forest", "multinomial")} <= set(QUERIES)
+    found = QUERIES["tuning_figures_logistic"](spark, sf_dir).collect()
+    settings = [r for r in found if r["part"] == "setting"]
+    assert len(settings) == len(GRIDS["binary_logistic"]["regParam"])
+    best = [r for r in settings if r["said"] == "best"]
+    assert len(best) == 1 and best[0]["value"] == max(r["value"] for r in settings)
+    parameters = {r["name"]: r["said"] for r in found if r["part"] == "parameter"}
+    assert f"regParam={parameters['regParam']}" in best[0]["name"]
+    held_out = {r["name"] for r in found if r["part"] == "held_out"}
+    assert {"accuracy", "weighted_f1", "precision", "recall", "auroc", "aupr"} <= held_out

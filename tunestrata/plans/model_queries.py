@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,15 +216,38 @@ def quality_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- model selection --------------------------------------------------------
 
 
+def _cross_validated(train: DataFrame, estimator, grid: dict, evaluator) -> CrossValidatorModel:
+    slots = cluster_slots(train.sparkSession)
+    with held(train) as cached:
+        return tn.cross_validate(estimator, grid, evaluator, cached, "track", SEED, parallelism=slots)
+
+
+def _tuning_figures(train: DataFrame, test: DataFrame, estimator, grid: dict, evaluator, score: str | None = "rawPrediction") -> DataFrame:
+    """``part, name, class, value, said``: the metric of each setting (``said`` is "best" for the chosen one),
+    the parameters of the refitted model, and its full report on the test part."""
+    model = _cross_validated(train, estimator, grid, evaluator)
+    settings = tn.tuning_report(model).select(
+        F.lit("setting").alias("part"),
+        F.col("setting").alias("name"),
+        F.lit(None).cast("double").alias("class"),
+        F.col("metric").alias("value"),
+        F.when(F.col("is_best"), "best").alias("said"),
+    )
+    best = [("parameter", name, None, None, str(value)) for name, value in sorted(tn.best_parameters(model).items())]
+    chosen = train.sparkSession.createDataFrame(best, "part string, name string, class double, value double, said string")
+    report = mt.classification_report(cl.score(model.bestModel, test), score=score).select(
+        F.lit("held_out").alias("part"), F.col("metric").alias("name"), "class", "value", F.lit(None).cast("string").alias("said")
+    )
+    return settings.union(chosen).union(report)
+
+
 def _tuned(train: DataFrame, test: DataFrame, estimator, grid: dict, evaluator, bound: float) -> DataFrame:
     """A row per setting of the grid, and how the tuned model does on the test part.
 
     The figures themselves are ``tuning.tuning_report``, ``metrics.classification_report`` and
     ``tuning.best_parameters``; here are the statements about them that hold on any data.
     """
-    slots = cluster_slots(train.sparkSession)
-    with held(train) as cached:
-        model = tn.cross_validate(estimator, grid, evaluator, cached, "track", SEED, parallelism=slots)
+    model = _cross_validated(train, estimator, grid, evaluator)
     settings = tn.tuning_report(model)
     best = tn.best_parameters(model)
     scored = cl.score(model.bestModel, test)
@@ -290,6 +314,41 @@ def tune_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tuned(*_multi(spark, sf_dir), cl.multinomial_logistic(), grid, MulticlassClassificationEvaluator(), 0.25)
 
 
+# ---- figures of the tuned models, which have no counterpart in SQL -----------
+
+
+@query()
+def tuning_figures_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = tn.GRIDS["binary_logistic"]
+    return _tuning_figures(*_balanced(spark, sf_dir), cl.binary_logistic(), grid, BinaryClassificationEvaluator())
+
+
+@query()
+def tuning_figures_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = tn.GRIDS["boosted_trees"]
+    return _tuning_figures(*_balanced(spark, sf_dir), cl.boosted_trees(SEED), grid, BinaryClassificationEvaluator())
+
+
+@query()
+def tuning_figures_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = tn.GRIDS["linear_svm"]
+    return _tuning_figures(*_balanced(spark, sf_dir), cl.linear_svm(), grid, BinaryClassificationEvaluator())
+
+
+@query()
+def tuning_figures_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = tn.GRIDS["random_forest"]
+    return _tuning_figures(*_binary(spark, sf_dir), cl.random_forest(SEED), grid, BinaryClassificationEvaluator())
+
+
+@query()
+def tuning_figures_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = tn.GRIDS["multinomial_logistic"]
+    return _tuning_figures(
+        *_multi(spark, sf_dir), cl.multinomial_logistic(), grid, MulticlassClassificationEvaluator(), score=None
+    )
+
+
 # ---- statements about models that SQL can check -----------------------------
 
 
