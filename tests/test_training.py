@@ -298,3 +298,13 @@ def test_tuning_figures_are_returned(spark, sf_dir):
     assert f"regParam={parameters['regParam']}" in best[0]["name"]
     held_out = {r["name"] for r in found if r["part"] == "held_out"}
     assert {"accuracy", "weighted_f1", "precision", "recall", "auroc", "aupr"} <= held_out
+
+
+def test_multinomial_thresholds_take_the_default_settings(spark, sf_dir, monkeypatch):
+    from tunestrata.plans import QUERIES, model_queries
+
+    asked, made = [], model_queries.cl.multinomial_logistic
+    monkeypatch.setattr(model_queries.cl, "multinomial_logistic", lambda **s: asked.append(s) or made(**s))
+    row = QUERIES["multinomial_thresholds"](spark, sf_dir).first()
+    assert asked == [{}]
+    assert row["class_0_said_more"] and row["others_said_less"]

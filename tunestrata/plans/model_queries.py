@@ -412,7 +412,7 @@ def reloaded_model_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multinomial_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One threshold per class: a low one for class 0 turns predictions to it, and from it none."""
     train, test = _multi(spark, sf_dir)
-    model = cl.multinomial_logistic(regParam=0.01, elasticNetParam=0.1).fit(train)
+    model = cl.multinomial_logistic().fit(train)
     usual = cl.score(model, test).select("track", "prediction")
     turned = cl.score(model, test, thresholds=[0.1, *[1.0] * (model.numClasses - 1)]).select(
         "track", F.col("prediction").alias("turned")
