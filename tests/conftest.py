@@ -38,7 +38,3 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF
-
-
-def rows(df):
-    return sorted(map(tuple, df.collect()), key=repr)

@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import (
 from pyspark.mllib.evaluation import MulticlassMetrics, RankingMetrics
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tunestrata.operators import metrics as mt
 from tunestrata.operators import recommend as rc
 from tunestrata.operators.ordering import HotKeys

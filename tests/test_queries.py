@@ -1,5 +1,7 @@
 """Every registered query beside its SQL; those without SQL must return rows."""
 
+import sys
+
 import pytest
 
 import __spark_entry__ as driver
@@ -22,3 +24,9 @@ def test_driver_contract(spark):
 def test_every_oracle_reads_a_given_table():
     for sql in ORACLES.values():
         assert " from " in sql.lower()
+
+
+def test_entry_without_the_training_data_package(monkeypatch):
+    monkeypatch.setitem(sys.modules, "tunestrata.llm", None)  # an import of it now fails
+    assert driver.queries().keys() == QUERIES.keys()
+    assert driver.oracle_sql() == ORACLES

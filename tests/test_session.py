@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tunestrata import session as ss
@@ -31,6 +32,16 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         ss.shared_root(Session())
 
 
+def test_discard_keeps_to_the_shared_folder(spark):
+    path = ss.shared_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    ss.discard(spark, path)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError, match="not under"):
+        ss.discard(spark, "/elsewhere/table")
+
+
 def test_pin_keeps_random_draws(spark):
     df = ss.pin(spark.range(100).withColumn("x", F.rand()))
     assert df.collect() == df.collect()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import types as T
 
-from conftest import rows
+from helpers import rows
 from tunestrata import sources as io
 from tunestrata.operators import classify, features
 from tunestrata.plans import fixtures as fx

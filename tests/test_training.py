@@ -4,7 +4,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tunestrata.operators import classify as cl
 from tunestrata.operators import features as ft
 from tunestrata.operators import metrics as mt

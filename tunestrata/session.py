@@ -52,6 +52,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that nothing reads any more; only what lies under the shared folder."""
+    hadoop, root = spark.sparkContext._jvm.org.apache.hadoop.fs, shared_root(spark)
+    for path in paths:
+        if not path.startswith(f"{root}/"):
+            raise ValueError(f"{path} is not under {root}")
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and cut its lineage.
 
