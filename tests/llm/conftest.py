@@ -1,11 +1,7 @@
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
-
 from tunestrata.llm.common import ship_package
 
 SCHEMA = (
