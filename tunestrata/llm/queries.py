@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tunestrata.llm import byte_bpe, cover_tree, oracles, packing, pii, quality, rules, secrets, simhash, token_counts, warc
+from tunestrata.llm import byte_bpe, conversations, cover_tree, oracles, packing, pii, quality, rules, secrets, simhash, token_counts, warc
 from tunestrata.llm.common import read, ship_package
 from tunestrata.llm.ledger import Ledger
 from tunestrata.session import shared_path
@@ -90,3 +90,8 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tiktoken_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
+
+
+@query()
+def op11_prefix_doubling_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(read(spark, sf_dir, "conversations"))
