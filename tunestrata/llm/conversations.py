@@ -405,7 +405,7 @@ def repaired(conversations: DataFrame) -> DataFrame:
     rows in order as they come by, since a SHA-256 cannot be put together from parts; its audit, one
     letter an edit, is one value of the result.
     """
-    placed = written(_placed(damaged(conversations)), "conversation-places")
+    placed = _placed(damaged(conversations))
     light = written(_marked(placed), "conversation-faults")
     edits = written(_edited(light), "conversation-edits")
     told = (

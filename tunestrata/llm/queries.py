@@ -8,7 +8,22 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tunestrata.llm import byte_bpe, conversations, cover_tree, oracles, packing, pii, quality, rules, secrets, simhash, token_counts, warc
+from tunestrata.llm import (
+    byte_bpe,
+    conversations,
+    cover_tree,
+    oracles,
+    packing,
+    pii,
+    quality,
+    repeats,
+    rules,
+    secrets,
+    simhash,
+    spelling,
+    token_counts,
+    warc,
+)
 from tunestrata.llm.common import read, ship_package
 from tunestrata.llm.ledger import Ledger
 from tunestrata.session import shared_path
@@ -95,3 +110,13 @@ def op10_tiktoken_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_prefix_doubling_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(read(spark, sf_dir, "conversations"))
+
+
+@query()
+def op12_prefix_doubling_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_sorted_list_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
