@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +63,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more.
+
+    Its cleaner only learns of them from a garbage collection on the driver, which may be half an
+    hour away; a job that stores large intermediates calls this once it has gone on from one.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and cut its lineage.
 
