@@ -10,8 +10,10 @@ Not every byte takes part in the first round. Of the 69 strings of 32 bytes with
 the one with the least name stands for it, wherever the string occurs; consecutive starts with the
 least name at one place are a segment, some 35 on average. Round one sorts segments by that name and the
 names of the first and the last 100 bytes they hold: segments alone under their least name are
-unique, equal ones leave but for the first. Only starts in different segments under one least name
-go on, one by one, to the last round.
+unique, equal ones leave but for the first. Different segments under one least name go on, cut out
+of their texts. Round two sorts them by the names of 64 bytes from the place of the least name on, and
+up to its end: each of a segment's strings holds one of the two. The last round takes the starts of
+what still is not alone one by one.
 
 Places are ordered by document (null ids last), then by place. Rows with one id and different texts
 are told apart by 31 bits of a checksum; rows equal in both are one document.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tunestrata.llm.common import text_or_empty
 from tunestrata.operators.joins import per_key
-from tunestrata.session import discard, shared_path
+from tunestrata.session import discard, settle, shared_path
 from tunestrata.sources import checkpoint
 
 #: Bytes of the strings that count, and of those whose least name stands for one; starts per segment at most.
@@ -158,29 +160,73 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _in_turn(pieces(), emit)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc, tie, text, loose`` to ``first, second, doc, place``: the pair of names of each start."""
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, tie, text, loose`` to ``doc, place, n, data``: the bytes of each loose segment."""
+    for batch in batches:
+        ids, ties, texts, loose = batch.column(0), batch.column(1).to_pylist(), _binary(batch.column(2)), batch.column(3)
+        rows, places, sizes, parts, size = [], [], [], [], 0
+
+        def told(ids=ids) -> pa.RecordBatch:
+            columns = [ids.take(pa.array(rows)), pa.array(places, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "place", "n", "data"])
+
+        for row, (text, spans) in enumerate(zip(texts, loose, strict=True)):
+            data = memoryview(text.as_py())
+            for at, n in zip(spans.values.field(0).to_pylist(), spans.values.field(1).to_pylist(), strict=True):
+                rows.append(row)
+                places.append((ties[row] << _TIE_BITS) + at)
+                sizes.append(n)
+                parts.append(bytes(data[at : at + n - 1 + LENGTH]))
+                size += len(parts[-1])
+                if size >= 16 * TOGETHER:
+                    yield told()
+                    rows, places, sizes, parts, size = [], [], [], [], 0
+        if rows:
+            yield told()
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """Rows ``doc, place, n, data, ...`` some at a time: the rows, their bytes put together, where each
+    begins, and the names."""
     for batch in batches:
-        ids, ties, texts, loose = batch.column(0), batch.column(1).to_numpy(), _binary(batch.column(2)), batch.column(3)
+        step = max(1, TOGETHER // (2 * LENGTH))
+        for start in range(0, batch.num_rows, step):
+            rows = batch.slice(start, step)
+            parts = rows.column(3).to_pylist()
+            data, begin = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])[:-1]
+            yield rows, data, begin, names(data)
 
-        def pieces(texts=texts, loose=loose) -> Iterator[tuple[int, int, bytes, int]]:
-            for row, (text, spans) in enumerate(zip(texts, loose, strict=True)):
-                data = memoryview(text.as_py())
-                for at, n in zip(spans.values.field(0).to_pylist(), spans.values.field(1).to_pylist(), strict=True):
-                    yield row, at, bytes(data[at : at + n - 1 + LENGTH]), n
 
-        def emit(held: list, ids=ids, ties=ties) -> pa.RecordBatch:
-            data, begin, starts, rows, offsets = _laid_out(held)
-            _, half = names(data)
-            inside = np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts)
-            at = inside + np.repeat(begin, starts)
-            place = np.repeat((ties[rows] << _TIE_BITS) + offsets, starts) + inside
-            columns = [half[at].view(np.int64), half[at + LENGTH - _HALF].view(np.int64)]
-            return pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns), ids.take(pa.array(np.repeat(rows, starts))), pa.array(place)], names=["first", "second", "doc", "place"]
-            )
+def _least_at(short: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return begin + np.lib.stride_tricks.sliding_window_view(short, SPAN)[begin].argmin(axis=1)
 
-        yield from _in_turn(pieces(), emit)
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Loose segments to ``name, side, doc, place``: the name of 64 bytes from the least name's place on
+    (side 0) where a string of the segment holds them, and of those up to its end (side 1)."""
+    for rows, _, begin, (short, half) in _stretches(batches):
+        x, n = _least_at(short, begin), rows.column(2).to_numpy()
+        for side, there in ((0, x - (begin + n - 1) <= LENGTH - _HALF), (1, x - begin > LENGTH - _HALF)):
+            at = x[there] - (GRAM if side else 0)
+            some = rows.filter(pa.array(there))
+            name = half[at] ^ (_A if side else np.uint64(0))
+            columns = [pa.array(name.view(np.int64)), pa.array(np.full(len(at), side), pa.int32()), some.column(0), some.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "side", "doc", "place"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Loose segments with the ``sides`` that are left (1 and 2, added up) to ``first, second, doc,
+    place``: the pair of names of each start that holds a side that is left."""
+    for rows, _, begin, (short, half) in _stretches(batches):
+        x, n, sides = _least_at(short, begin), rows.column(2).to_numpy().astype(np.int64), rows.column(4).to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = begin[row] + inside
+        goes = np.where(x[row] - at <= LENGTH - _HALF, sides[row] & 1, sides[row] & 2) > 0
+        row, inside, at = row[goes], inside[goes], at[goes]
+        place = rows.column(1).to_numpy()[row] + inside
+        names_of = [pa.array(half[at].view(np.int64)), pa.array(half[at + LENGTH - _HALF].view(np.int64))]
+        yield pa.RecordBatch.from_arrays([*names_of, rows.column(0).take(pa.array(row)), pa.array(place)], names=["first", "second", "doc", "place"])
 
 
 # ---- rounds -------------------------------------------------------------------
@@ -293,7 +339,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = _documents(docs)
-    paths = {name: shared_path(spark, f"passages-{name}") for name in ("segments", "shared", "firsts", "going", "windows")}
+    paths = {name: shared_path(spark, f"passages-{name}") for name in ("segments", "shared", "firsts", "going", "loose", "later")}
     place = [F.col("doc").asc_nulls_last(), F.col("place")]
 
     # Round one: segments under their least name.
@@ -301,6 +347,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     found = checkpoint(texts.select("doc", "tie", "text").mapInArrow(_segments, kind), paths["segments"])
     shared = checkpoint(found.orderBy("least", "name", *place).mapInArrow(_not_alone, kind), paths["shared"])
     discard(spark, paths["segments"])
+    settle(spark)
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "place", "n")).alias("first")
     firsts = per_key(shared, ["least", "name"], first).select("least", "name", "first.doc", "first.place", "first.n")
     firsts = checkpoint(firsts, paths["firsts"])
@@ -309,13 +356,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     going = checkpoint(shared.join(listed, known, "left_anti").select("doc", "place", "n"), paths["going"])
     discard(spark, paths["shared"])
 
-    # Last round: starts of different segments under one least name, by their pair of names.
+    # Round two: what is still like something else on one side of the least name.
     several = per_key(firsts, ["least"], F.count(F.lit(1)).alias("several")).where("several > 1")
     loose = _per_document(firsts.join(several, "least", "left_semi"), "loose")
-    pairs = texts.join(loose, _same_document("loose")).select("doc", "tie", "text", "loose")
+    kind = "doc bigint, place bigint, n int, data binary"
+    loose = texts.join(loose, _same_document("loose")).select("doc", "tie", "text", "loose").mapInArrow(_cut_out, kind)
+    loose = checkpoint(loose, paths["loose"])
+    del found, shared, firsts, listed, several
+    discard(spark, paths["firsts"])
+    settle(spark)
+    kind = "name bigint, side int, doc bigint, place bigint"
+    left = loose.mapInArrow(_sides, kind).orderBy("name", *place).mapInArrow(_not_alone, kind)
+    sides = per_key(left, ["doc", "place"], F.bit_or(F.col("side") + 1).alias("sides"))
+    sides = sides.select(F.col("doc").alias("first_doc"), F.col("place").alias("first_place"), "sides")
+
+    # Last round: starts one by one.
+    pairs = loose.join(sides, known).select("doc", "place", "n", "data", "sides")
     pairs = pairs.mapInArrow(_windows, "first bigint, second bigint, doc bigint, place bigint")
     later = pairs.orderBy("first", "second", *place).mapInArrow(_later, "kind int, first bigint, second bigint, doc bigint, place bigint, part int")
-    later = checkpoint(later, paths["windows"])
+    later = checkpoint(later, paths["later"])
+    del loose, left, sides, pairs
+    discard(spark, paths["loose"])
+    settle(spark)
     tails = later.where(F.col("kind") == _TAIL).select(*(F.col(c).alias(f"tail_{c}") for c in ("first", "second", "part")))
     heads = later.where(F.col("kind") == _HEAD).join(
         tails, (F.col("first") == F.col("tail_first")) & (F.col("second") == F.col("tail_second")) & (F.col("tail_part") < F.col("part")), "left_semi"
