@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -67,10 +68,13 @@ def settle(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that nothing refers to any more.
 
     Its cleaner only learns of them from a garbage collection on the driver, which may be half an
-    hour away; a job that stores large intermediates calls this once it has gone on from one.
+    hour away; a job that stores large intermediates calls this once it has gone on from one. The
+    first collection finds what Python has let go, the second what only that still referred to.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def pin(df: DataFrame) -> DataFrame:
