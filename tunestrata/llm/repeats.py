@@ -259,12 +259,13 @@ _GOES, _HEAD, _TAIL = 0, 1, 2
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by pair of names and place all but the first of each pair; beside them a partition's
-    first row, whose like may lie in an earlier one, and the pair of its last."""
+    first row, whose like may lie in an earlier one, and the pair of its last (rows that go need no pair)."""
     part = TaskContext.get().partitionId()
 
     def told(kind: int, rows: pa.RecordBatch) -> pa.RecordBatch:
         n = rows.num_rows
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), *rows.columns, pa.array([part] * n, pa.int32())], schema=_LATER)
+        pair = [pa.nulls(n, pa.int64())] * 2 if kind == _GOES else rows.columns[:2]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), *pair, *rows.columns[2:], pa.array([part] * n, pa.int32())], schema=_LATER)
 
     last = None
     for batch in batches:
@@ -342,18 +343,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     paths = {name: shared_path(spark, f"passages-{name}") for name in ("segments", "shared", "firsts", "going", "loose", "later")}
     place = [F.col("doc").asc_nulls_last(), F.col("place")]
 
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        settle(spark)
+        return checkpoint(rows, paths[name])
+
     # Round one: segments under their least name.
     kind = "least bigint, name bigint, doc bigint, place bigint, n int"
-    found = checkpoint(texts.select("doc", "tie", "text").mapInArrow(_segments, kind), paths["segments"])
-    shared = checkpoint(found.orderBy("least", "name", *place).mapInArrow(_not_alone, kind), paths["shared"])
+    found = stored(texts.select("doc", "tie", "text").mapInArrow(_segments, kind), "segments")
+    shared = stored(found.orderBy("least", "name", *place).mapInArrow(_not_alone, kind), "shared")
     discard(spark, paths["segments"])
-    settle(spark)
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "place", "n")).alias("first")
     firsts = per_key(shared, ["least", "name"], first).select("least", "name", "first.doc", "first.place", "first.n")
-    firsts = checkpoint(firsts, paths["firsts"])
+    firsts = stored(firsts, "firsts")
     listed = firsts.select(F.col("doc").alias("first_doc"), F.col("place").alias("first_place"))
     known = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("place") == F.col("first_place"))
-    going = checkpoint(shared.join(listed, known, "left_anti").select("doc", "place", "n"), paths["going"])
+    going = stored(shared.join(listed, known, "left_anti").select("doc", "place", "n"), "going")
     discard(spark, paths["shared"])
 
     # Round two: what is still like something else on one side of the least name.
@@ -361,10 +365,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     loose = _per_document(firsts.join(several, "least", "left_semi"), "loose")
     kind = "doc bigint, place bigint, n int, data binary"
     loose = texts.join(loose, _same_document("loose")).select("doc", "tie", "text", "loose").mapInArrow(_cut_out, kind)
-    loose = checkpoint(loose, paths["loose"])
+    loose = stored(loose, "loose")
     del found, shared, firsts, listed, several
     discard(spark, paths["firsts"])
-    settle(spark)
     kind = "name bigint, side int, doc bigint, place bigint"
     left = loose.mapInArrow(_sides, kind).orderBy("name", *place).mapInArrow(_not_alone, kind)
     sides = per_key(left, ["doc", "place"], F.bit_or(F.col("side") + 1).alias("sides"))
@@ -374,16 +377,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     pairs = loose.join(sides, known).select("doc", "place", "n", "data", "sides")
     pairs = pairs.mapInArrow(_windows, "first bigint, second bigint, doc bigint, place bigint")
     later = pairs.orderBy("first", "second", *place).mapInArrow(_later, "kind int, first bigint, second bigint, doc bigint, place bigint, part int")
-    later = checkpoint(later, paths["later"])
+    later = stored(later, "later")
     del loose, left, sides, pairs
     discard(spark, paths["loose"])
-    settle(spark)
     tails = later.where(F.col("kind") == _TAIL).select(*(F.col(c).alias(f"tail_{c}") for c in ("first", "second", "part")))
     heads = later.where(F.col("kind") == _HEAD).join(
         tails, (F.col("first") == F.col("tail_first")) & (F.col("second") == F.col("tail_second")) & (F.col("tail_part") < F.col("part")), "left_semi"
     )
     more = later.where(F.col("kind") == _GOES).unionByName(heads).select("doc", "place", F.lit(1).alias("n"))
 
+    settle(spark)
     spans = _per_document(going.unionByName(more), "going")
     joined = texts.join(spans, _same_document("going"), "left").select("doc", "text", "going")
     return joined.mapInArrow(_kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
