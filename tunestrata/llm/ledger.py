@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +15,10 @@ from tunestrata.operators.joins import per_key
 class Ledger:
     """A Parquet table that is only added to.
 
-    Each ``append`` is a folder of its own, written by Spark's commit protocol: a lost executor
-    repeats its tasks, and a run that dies leaves no part of its rows behind.
+    Each ``append`` is a folder of its own under a name never given twice, written by Spark's commit
+    protocol: a lost executor repeats its tasks, a run that dies leaves no part of its rows behind,
+    and runs that write at the same time add to the ledger side by side. A ledger reads what was
+    there when it was opened and what it added itself.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
@@ -28,7 +33,6 @@ class Ledger:
                 for name in found
                 if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS"))
             ]
-        self.next = len(self.parts)
 
     def read(self) -> DataFrame:
         if not self.parts:
@@ -36,9 +40,8 @@ class Ledger:
         return self.spark.read.schema(self.schema).parquet(*self.parts)
 
     def append(self, rows: DataFrame) -> None:
-        part = f"{self.path}/part-{self.next:08d}"
-        rows.write.mode("overwrite").parquet(part)
-        self.next += 1
+        part = f"{self.path}/part-{uuid.uuid4().hex}"
+        rows.write.parquet(part)
         self.parts.append(part)
 
 
@@ -62,3 +65,14 @@ def unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame, version: str) -
     same = (texts["digest"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
     picked = texts.join(wanted.hint("shuffle_hash"), same, "left_semi")
     return picked.select("digest", "text")
+
+
+def paths_with(paths: DataFrame, stored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every row of ``paths`` (``doc_id, digest``) with what is stored under its digest.
+
+    A digest that is stored twice, by two runs at a time, counts once; one that is not raises.
+    """
+    known = per_key(stored, ["digest"], F.first(F.struct(*columns)).alias("known"))
+    lost = F.raise_error(F.concat(F.lit("not in the ledger: "), F.hex("digest")))
+    kept = F.when(F.col("known").isNull(), lost).otherwise(F.col("known"))
+    return paths.join(known, "digest", "left").withColumn("known", kept).select("doc_id", "digest", "known.*")

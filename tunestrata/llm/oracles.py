@@ -67,6 +67,19 @@ SECRET_LEDGER = f"""
            sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
     from d left join by_doc on d.i = by_doc.i"""
 
+LEDGER_RUNS = f"""
+    with d as materialized (
+             select row_number() over () as i, t, part
+             from (select coalesce(text, '') as t, 1 as part from documents union all select coalesce(html, ''), 2 from pages)),
+         s as ({_SPANS}),
+         by_text as (select i, count(*) filter (where kind = 'hex') as n_hex from s group by i),
+         r as (select part, t, coalesce(n_hex, 0) as n_hex, by_text.i is not null as held from d left join by_text on d.i = by_text.i),
+         blobs as (select count(distinct t) as n, count(distinct t) filter (where part = 1) as first_n from r),
+         runs as (select * from (values (1, 1), (2, 2), (3, 2)) v(run, upto))
+    select run, count(*) as n_paths, cast(sum(n_hex) as bigint) as n_hex, count(*) filter (where held) as n_with_secrets,
+           max(case run when 1 then first_n when 2 then n - first_n else 0 end) as n_scanned
+    from runs join r on part <= upto cross join blobs group by run"""
+
 WARC_CHUNKS = """
     with p as (select page_id, encode(coalesce(html, '')) as payload, sha256(coalesce(html, '')) as d from pages),
          f as (select d, min(page_id) as first from p where octet_length(payload) >= 100 group by d)

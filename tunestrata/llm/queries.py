@@ -7,6 +7,7 @@ from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tunestrata.llm import (
     byte_bpe,
@@ -74,6 +75,23 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read(spark, sf_dir, "documents"), findings)
 
 
+@query(oracles.LEDGER_RUNS)
+def secret_ledger_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scans with one ledger: documents, documents and pages, all again; blobs that each worked on."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    findings, before, runs = Ledger(spark, shared_path(spark, "ledger-runs"), secrets.FINDINGS), 0, []
+    for run, paths in enumerate((documents, documents.union(pages), documents.union(pages)), 1):
+        found = secrets.secret_scan(paths, findings)
+        after = findings.read().count()
+        runs.append(
+            found.agg(F.count(F.lit(1)).alias("n_paths"), F.sum("n_hex").alias("n_hex"), F.count_if(F.col("spans") != "").alias("n_with_secrets"))
+            .withColumns({"run": F.lit(run), "n_scanned": F.lit(after - before).cast("bigint")})
+        )
+        before = after
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 @query(oracles.WARC_CHUNKS)
 def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(spark, read(spark, sf_dir, "pages"))

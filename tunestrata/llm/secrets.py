@@ -8,12 +8,13 @@ the blob.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunestrata.llm.common import text_or_empty
-from tunestrata.llm.ledger import Ledger, digests, unseen
-from tunestrata.operators.joins import per_key
+from tunestrata.llm.ledger import Ledger, digests, paths_with, unseen
 
 # The base kinds, in the order in which they are listed.
 ASSIGN = (
@@ -33,55 +34,34 @@ ADDED: dict[str, tuple[str, int, int]] = {
 KINDS = {**BASE, **ADDED}
 #: What a text must hold for a pattern to be worth a look; a search for fixed characters is cheap.
 _SIGN = {"access": "AKIA", "pem": "-----BEGIN ", "forge": "gh", "jwt": "eyJ"}
-VERSION = "secrets-1"
+#: The rules name their version themselves: another pattern, kind or length is another version.
+VERSION = hashlib.sha256(repr(KINDS).encode()).hexdigest()
 FINDINGS = (
     "digest binary, version string, n_assign bigint, n_access bigint, n_hex bigint, "
     "base_spans string, spans string"
 )
-_SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
+_MATCH = "array<struct<kind:int,i:int,gap:bigint,full:bigint,checked:bigint>>"
 
 
-def _spans(kind: str) -> Column:
-    """``(start, kind, stop)`` of every match, in code points, end exclusive.
+def _lengths(parts: Column) -> Column:
+    return F.transform(parts, lambda part: F.length(part).cast("bigint"))
 
-    The text between the matches and the matches themselves, put one after the other, are the
-    text; so the lengths up to a match add up to its start.
-    """
-    pattern, group, least = KINDS[kind]
-    gaps = F.transform(F.split("text", pattern, -1), lambda g: F.length(g).cast("bigint"))
-    full = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.length(m).cast("bigint"))
-    checked = (
-        full
-        if group == 0
-        else F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda m: F.length(m).cast("bigint"))
-    )
+
+def _matches(kind: str) -> Column:
+    """Of every match, in order: the length of the text before it since the last one, its own, and
+    that of the group with a least length. Behind the last match comes the rest of the text."""
+    pattern, group, _ = KINDS[kind]
+    full = _lengths(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    checked = full if group == 0 else _lengths(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))
+    parts = F.arrays_zip(_lengths(F.split("text", pattern, -1)).alias("gap"), full.alias("full"), checked.alias("checked"))
     place = list(KINDS).index(kind)
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), full.alias("full"), checked.alias("checked")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("found")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.coalesce(m["full"], F.lit(0))).alias("at"),
-            F.when(
-                m["checked"] >= least,
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + m["gap"]).alias("start"),
-                            F.lit(place).alias("kind"),
-                            (acc["at"] + m["gap"] + m["full"]).alias("stop"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
+    listed = F.transform(
+        parts, lambda m, i: F.struct(F.lit(place).alias("kind"), i.alias("i"), m["gap"].alias("gap"), m["full"].alias("full"), m["checked"].alias("checked"))
     )
     worth = F.col("text").rlike(pattern)
     if kind in _SIGN:
         worth = F.col("text").contains(_SIGN[kind]) & worth
-    return F.when(worth, walked["found"]).otherwise(F.array().cast(_SPAN))
+    return F.when(worth, listed.cast(_MATCH)).otherwise(F.array().cast(_MATCH))
 
 
 def _joined(spans: Column) -> Column:
@@ -95,14 +75,26 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(blobs: DataFrame, version: str = VERSION) -> DataFrame:
-    """Findings of ``digest, text`` rows: counts of the base kinds, base spans, all spans."""
-    found = blobs.select("digest", *(_spans(kind).alias(kind) for kind in KINDS))
-    return found.select(
-        "digest",
+    """Findings of ``digest, text`` rows, one row a digest: counts of the base kinds, base spans, all spans.
+
+    The text between the matches and the matches themselves, put one after the other, are the text;
+    so lengths added up to a match give its start, in code points. They are added up over one row a
+    match, in time that grows with the matches; a row of no kind stands for the blob itself.
+    """
+    blob = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), *(F.lit(0).cast("bigint").alias(c) for c in ("gap", "full", "checked"))))
+    found = blobs.select("digest", F.explode(F.concat(blob.cast(_MATCH), *(_matches(kind) for kind in KINDS))).alias("m"))
+    found = found.select("digest", "m.*").repartition("digest").dropDuplicates(["digest", "kind", "i"])
+    before = Window.partitionBy("digest", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stop = F.sum(F.col("gap") + F.coalesce("full", F.lit(0))).over(before)
+    least = F.element_at(F.array(*(F.lit(KINDS[k][2]) for k in KINDS)), F.col("kind") + 1)
+    fits = (F.col("kind") >= 0) & (F.col("checked") >= F.when(F.col("kind") >= 0, least))
+    placed = found.withColumn("stop", stop).withColumns({"start": F.col("stop") - F.col("full"), "fits": F.coalesce(fits, F.lit(False))})
+    span, base = F.struct("start", "kind", "stop"), F.col("kind") < len(BASE)
+    return placed.groupBy("digest").agg(
         F.lit(version).alias("version"),
-        *(F.size(k).cast("bigint").alias(f"n_{k}") for k in BASE),
-        _joined(F.concat(*BASE)).alias("base_spans"),
-        _joined(F.concat(*KINDS)).alias("spans"),
+        *(F.count_if(F.col("fits") & (F.col("kind") == i)).alias(f"n_{k}") for i, k in enumerate(BASE)),
+        _joined(F.collect_list(F.when(F.col("fits") & base, span))).alias("base_spans"),
+        _joined(F.collect_list(F.when(F.col("fits"), span))).alias("spans"),
     )
 
 
@@ -111,20 +103,12 @@ def secret_scan(docs: DataFrame, findings: Ledger, version: str = VERSION) -> Da
     ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``.
 
     A null text counts as empty and has no span. Rows without an id and repeated rows stay. Other
-    columns are ignored. An empty table gives an empty result.
+    columns are ignored. An empty table gives an empty result. Raises if the ledger has lost a blob.
     """
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     paths = digests(texts)
     findings.append(scan(unseen(texts, paths, findings.read(), version), version))
-    known = per_key(
-        findings.read().where((F.col("version") == version) & (F.col("spans") != "")),
-        ["digest"],
-        *(F.first(c).alias(c) for c in ("n_assign", "n_access", "n_hex", "base_spans", "spans")),
-    )
-    counts = (F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_assign", "n_access", "n_hex"))
-    return paths.join(known, "digest", "left").select(
-        "doc_id",
-        *counts,
-        F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"),
-        F.coalesce("spans", F.lit("")).alias("spans"),
+    columns = ("n_assign", "n_access", "n_hex", "base_spans", "spans")
+    return paths_with(paths, findings.read().where(F.col("version") == version), columns).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans"
     )

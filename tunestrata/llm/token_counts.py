@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tunestrata.llm.common import text_or_empty
-from tunestrata.llm.ledger import Ledger, digests, unseen
+from tunestrata.llm.ledger import Ledger, digests, paths_with, unseen
 from tunestrata.llm.tokens import count_tokens, file_digest
-from tunestrata.operators.joins import per_key
 
 COUNTS = "digest binary, version string, n_tokens bigint, n_bytes bigint"
 
@@ -51,11 +50,11 @@ def token_counts(docs: DataFrame, cache: Ledger, tokenizer_path: str, limit: int
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
     A null text counts as empty (no token). Repeated rows come out as often as they go in; rows
-    without an id stay. An empty table gives an empty result and leaves the cache as it is.
+    without an id stay. An empty table gives an empty result and leaves the cache as it is. Raises
+    if the cache has lost a content.
     """
     paths = refresh(docs, cache, tokenizer_path)
     stored = cache.read().where(F.col("version") == file_digest(tokenizer_path))
-    counts = per_key(stored, ["digest"], F.first("n_tokens").alias("n_tokens"), F.first("n_bytes").alias("n_bytes"))
-    return paths.join(counts, "digest").select(
+    return paths_with(paths, stored, ("n_tokens", "n_bytes")).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
