@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from helpers import rows
 from tunestrata.operators import metrics as mt
 from tunestrata.operators import recommend as rc
-from tunestrata.operators.ordering import HotKeys
 from tunestrata.plans import fixtures as fx
 
 # Recorded test results of the binary models.
@@ -146,11 +145,10 @@ def test_users_with_one_list_are_left_out(spark):
     assert mt.ranking_metrics(lists(spark, users)).first()["n_users"] == 1
 
 
-@pytest.mark.parametrize("hot", [HotKeys("user_id", ()), HotKeys("user_id", ("U00000003", "U00000007"))])
-def test_ranking_against_spark(spark, sf_dir, many_slices, hot):
+def test_ranking_against_spark(spark, sf_dir, many_slices):
     scored = fx.scored(spark, sf_dir).cache()
-    ours = mt.ranking_metrics(mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot), hot=hot).first()
-    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, 100_000, hot)
+    ours = mt.ranking_metrics(mt.ranking_rows(scored, "prediction", "plays", 10)).first()
+    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, 100_000)
     judge = RankingMetrics(pairs.select("predicted_songs", "actual_songs").rdd.map(tuple))
     assert ours["precision_at_k"] == pytest.approx(judge.precisionAt(5))
     assert ours["ndcg_at_k"] == pytest.approx(judge.ndcgAt(10))
@@ -169,12 +167,32 @@ def test_both_ways_to_build_ranking_rows_agree(spark, sf_dir):
     assert rows(direct) == rows(mt.ranking_rows_from_lists(said, good).select(direct.columns))
 
 
-def test_ranking_rows_take_one_shuffle_by_user(spark, sf_dir):
+def test_both_lists_come_from_one_grouping(spark, sf_dir):
+    """No join of two lists, and rows are cut for both before anything is shuffled."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_orderkey").alias("user_id"), F.col("l_partkey").alias("song_id"), "l_quantity", "l_tax"
     )
-    hot = HotKeys("user_id", ())
-    rows_ = mt.ranking_rows(df, "l_quantity", "l_tax", 10, hot=hot)
-    plan = mt.ranking_by_user(rows_, hot=hot)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
-    assert plan.count("Sort [") == 3  # positions with ranks by prediction, ranks by plays, hits
+    plan = rc.ranking_pairs(df, "l_quantity", "l_tax", 10, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan
+    for branch in plan.split("Exchange")[1:]:
+        if "FileScan" in branch:
+            assert "WindowGroupLimit" in branch.split("FileScan")[0]
+
+
+def test_grouped_areas_are_those_of_each_group(spark, sf_dir):
+    judged = fx.judged(spark, sf_dir).withColumn("g", F.col("l_linenumber")).withColumn("h", F.when(F.col("g") > 2, "x"))
+    got = {(r["g"], r["h"]): (r["auroc"], r["aupr"]) for r in mt.grouped_areas(judged, ["g", "h"], "label", "score").collect()}
+    assert len(got) > 3
+    for (g, _), areas in got.items():
+        one = mt.binary_areas(judged.where(F.col("g") == g), "label", "score").first()
+        assert areas == pytest.approx((one["auroc"], one["aupr"]))
+    by_group = mt.overall_metrics(mt.confusion_cells(judged, by=["g"]), ["g"]).collect()
+    for r in by_group:
+        one = mt.overall_metrics(mt.confusion_cells(judged.where(F.col("g") == r["g"]))).first()
+        assert tuple(r)[1:] == pytest.approx(tuple(one))
+
+
+def test_groups_without_positives_have_no_area(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.5), ("a", 0.0, 0.7), ("b", 1.0, 0.5), ("b", 0.0, 0.5), ("b", 1.0, None)], "g string, label double, score double")
+    got = {r["g"]: r["auroc"] for r in mt.grouped_areas(df, ["g"]).collect()}
+    assert got["a"] is None and got["b"] is not None

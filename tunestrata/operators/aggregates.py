@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunestrata.operators.ordering import running_totals
-
-# Beyond this many columns one aggregate per pair is slower than Spark's matrix form.
+from tunestrata.operators.ordering import number_digits
 
 
 def count_by(df: DataFrame, key: str, counted: str | None = None, name: str = "n") -> DataFrame:
@@ -97,52 +93,74 @@ def describe_features(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns as ``row, col, r``.
 
-    Rows with a null are left out. A constant column correlates NaN with the others; the
-    diagonal is 1. Fewer than two rows give NaN. All widths take Spark's matrix form: one pass
-    whose result has columns x columns cells whatever the number of rows.
+    Rows with a null are left out. A constant column correlates NaN with the others; the diagonal is
+    1. Fewer than two rows give NaN. One lazy plan for every width: the means come first, as one
+    row; then each row adds its centred values times those of one column to that column's sums, a
+    row per column, in every task before the shuffle. Products of centred values lose no digits to
+    large means.
     """
     names = list(columns)
+    k = len(names)
     complete = df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna()
-    matrix = None
-    if len(complete.take(2)) == 2:
-        vectors = VectorAssembler(inputCols=names, outputCol="v").transform(complete)
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    cells = [
-        (a, b, 1.0 if i == j else float("nan") if matrix is None else float(matrix[i, j]))
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-    ]
-    return df.sparkSession.createDataFrame(cells, "row string, col string, r double")
+    constant = F.min("x") == F.max("x")
+    cells = complete.select(F.posexplode(F.array(*names)).alias("j", "x")).groupBy("j")
+    profile = cells.agg(F.avg("x").alias("mean"), F.coalesce(constant, F.lit(True)).alias("flat"))
+    facts = profile.agg(F.array_sort(F.collect_list(F.struct("j", "mean", "flat"))).alias("facts")).scalar()
+    centred = F.transform(F.array(*names), lambda x, j: x - F.col("_facts")[j]["mean"])
+    rows = complete.withColumn("_facts", facts).select(centred.alias("v")).select("v", F.posexplode("v").alias("i", "x"))
+    sums = rows.groupBy("i").agg(*(F.sum(F.col("x") * F.col("v")[j]).alias(f"s{j}") for j in range(k)))
+    table = sums.agg(F.array_sort(F.collect_list(F.struct("i", F.array(*(f"s{j}" for j in range(k))).alias("s")))).alias("t"))
+    # What is left has a row per pair of columns.
+    labels = F.array(*map(F.lit, names))
+    pairs = df.sparkSession.range(1).select(F.posexplode(labels).alias("i", "row"))
+    pairs = pairs.select("i", "row", F.posexplode(labels).alias("j", "col"))
+    pairs = pairs.withColumns({"t": table.scalar(), "f": facts})
+    flat = F.get(F.col("f"), F.col("i"))["flat"] | F.get(F.col("f"), F.col("j"))["flat"]
+    entry = lambda a, b: F.get(F.get(F.col("t"), F.col(a))["s"], F.col(b))
+    spread = F.sqrt(entry("i", "i")) * F.sqrt(entry("j", "j"))
+    r = F.when(F.col("i") == F.col("j"), 1.0).when(F.coalesce(flat, F.lit(True)), float("nan"))
+    return pairs.select("row", "col", r.otherwise(F.coalesce(F.try_divide(entry("i", "j"), spread), F.lit(float("nan")))).alias("r"))
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, as ``prob, value``.
 
-    Equal values are folded into one row with a count; a distributed running total then
-    says which value stands at which place of the sorted column. No task sees all values. Nulls
-    and NaN are left out.
+    A selection, not a sort: rows are counted by the first digit of the value's order, the digits that
+    hold the wanted places are kept, their rows counted by the second digit, and by the third. Counts
+    are added up in every task before the shuffle and are no more than a digit has values; the wanted
+    places, two for each quantile, are all that is broadcast. Nulls and NaN are left out.
     """
-    values = (
-        df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-        .groupBy(F.col(column).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    placed = running_totals(values, [F.col("value").asc()], ["n"])
-    last = placed.agg(F.sum("n") - 1).scalar()
-    holds = lambda place: (F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n"))
-    numbered = placed.withColumn("last", last)
-    ends = []
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * F.col("last")
-        for end, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            ends.append(F.max(F.when(holds(at), F.col("value"))).alias(f"{end}{i}"))
-    rows = []
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * F.col("last")
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        value = lo + (hi - lo) * (place - F.floor(place))
-        rows.append(F.struct(F.lit(float(p)).alias("prob"), value.alias("value")))
-    return numbered.agg(*ends, F.max("last").alias("last")).select(F.inline(F.array(*rows)))
+    name = "value"
+    x = F.col(column).cast("double")
+    values = df.where(x.isNotNull() & ~F.isnan(x)).select((x + 0.0).alias(name))
+    digits = number_digits(values, name, descending=False)
+    values = values.withColumns(digits)
+    places = F.array(*(F.lit(float(p)) * F.col("last") for p in probs))
+    wanted = df.sparkSession.range(1).select((values.agg(F.count(F.lit(1)) - 1).scalar()).alias("last"))
+    wanted = wanted.where("last >= 0").select(F.posexplode(places).alias("i", "place"))
+    wanted = wanted.select("i", "place", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("at")).distinct()
+    found = wanted.withColumn("rest", F.col("at"))
+    kept: list[str] = []
+    for digit in digits:
+        rows = values
+        if kept:
+            rows = values.join(F.broadcast(found.select(*kept).distinct()), kept, "left_semi")
+        counts = rows.groupBy(*kept, digit).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias(name))
+        earlier = Window.partitionBy(*kept).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        named = counts.withColumnsRenamed({c: f"_{c}" for c in kept})
+        holds = (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n"))
+        for c in kept:
+            holds = holds & (F.col(c) == F.col(f"_{c}"))
+        found = named.join(F.broadcast(found), holds)
+        found = found.select("i", "place", "at", *kept, digit, (F.col("rest") - F.col("before")).alias("rest"), name)
+        kept.append(digit)
+        found = found if digit == list(digits)[-1] else found.drop(name)
+    ends = found.groupBy("i", "place").agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
+    between = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("place") - F.floor("place"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(between)  # infinities have no difference
+    every = df.sparkSession.range(1).select(F.posexplode(F.array(*(F.lit(float(p)) for p in probs))).alias("i", "prob"))
+    return every.join(F.broadcast(ends.select("i", value.alias("value"))), "i", "left").select("prob", "value")
 
 
 def approx_quantiles(

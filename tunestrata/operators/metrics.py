@@ -11,14 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunestrata.functions import drop_nan
-from tunestrata.operators.ordering import (
-    HotKeys,
-    hot_keys,
-    position_within,
-    rank_within,
-    running_totals,
-    top_n_per_group,
-)
+from tunestrata.operators.ordering import number_digits, position_within, running_totals, top_places, totals_before
 
 # ---- binary scores ----------------------------------------------------------
 
@@ -40,18 +33,14 @@ def score_curve(df: DataFrame, label: str = "label", score: str = "rawPrediction
     return running_totals(by_score, [F.col("score").desc()], ["pos", "neg"])
 
 
-def binary_areas(df: DataFrame, label: str = "label", score: str = "rawPrediction") -> DataFrame:
-    """One row: area under the ROC curve and area under the precision-recall curve.
-
-    Both are trapezoid sums over the distinct scores, so ties count half and nothing is
-    down-sampled. The precision-recall curve starts at the precision of the first score.
-    """
+def _areas(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Trapezoid sums over a curve's steps, one row or one a group."""
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp0, fp0 = F.col("pos_before").cast("double"), F.col("neg_before").cast("double")
     here = (tp0 + pos) / (tp0 + pos + fp0 + neg)
     before = F.when(tp0 + fp0 == 0, here).otherwise(tp0 / F.nullif(tp0 + fp0, F.lit(0.0)))
     return (
-        score_curve(df, label, score)
+        curve.groupBy(*by)
         .agg(
             F.sum(neg * (tp0 + pos / 2)).alias("roc"),
             F.sum(pos * (here + before) / 2).alias("pr"),
@@ -59,12 +48,37 @@ def binary_areas(df: DataFrame, label: str = "label", score: str = "rawPredictio
             F.sum(neg).alias("n"),
         )
         .select(
+            *by,
             F.try_divide("roc", F.col("p") * F.col("n")).alias("auroc"),
             F.try_divide("pr", "p").alias("aupr"),
         )
     )
 
 
+def binary_areas(df: DataFrame, label: str = "label", score: str = "rawPrediction") -> DataFrame:
+    """One row: area under the ROC curve and area under the precision-recall curve.
+
+    Both are trapezoid sums over the distinct scores, so ties count half and nothing is
+    down-sampled. The precision-recall curve starts at the precision of the first score.
+    """
+    return _areas(score_curve(df, label, score))
+
+
+def grouped_areas(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score") -> DataFrame:
+    """``binary_areas`` of every group at once: ``by, auroc, aupr``.
+
+    One pass whatever the number of groups: running totals go digit by digit of the score inside
+    each, so neither thousands of small groups nor a few very large ones meet in one task.
+    """
+    counts = (
+        df.select(*by, score_column(df, score).alias("score"), F.col(label).cast("double").alias("y"))
+        .groupBy(*by, "score")
+        .agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    )
+    digits = number_digits(counts, "score")
+    return _areas(totals_before(counts.withColumns(digits), by, list(digits), ["pos", "neg"]), by)
+
+
 def area_under_roc(df: DataFrame, label: str = "label", score: str = "rawPrediction") -> DataFrame:
     return binary_areas(df, label, score).select("auroc")
 
@@ -76,9 +90,12 @@ def area_under_pr(df: DataFrame, label: str = "label", score: str = "rawPredicti
 # ---- classes ----------------------------------------------------------------
 
 
-def confusion_cells(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``label, prediction, n`` for every pair that occurs."""
+def confusion_cells(
+    df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()
+) -> DataFrame:
+    """``label, prediction, n`` for every pair that occurs (in each group of ``by``)."""
     return df.groupBy(
+        *by,
         F.col(label).cast("double").alias("label"),
         F.col(prediction).cast("double").alias("prediction"),
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -120,7 +137,7 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top / F.nullif(bottom, F.lit(0)))
 
 
-def per_class_metrics(cells: DataFrame) -> DataFrame:
+def per_class_metrics(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall and F1 of each class; 0 where nothing was predicted or present."""
     n = F.col("n")
     hit = F.when(F.col("label") == F.col("prediction"), n).otherwise(F.lit(0))
@@ -129,12 +146,13 @@ def per_class_metrics(cells: DataFrame) -> DataFrame:
         F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("actual"), n.alias("said")),
     )
     sums = (
-        cells.select(F.inline(views))
-        .groupBy("class")
+        cells.select(*by, F.inline(views))
+        .groupBy(*by, "class")
         .agg(*(F.sum(c).alias(c) for c in ("tp", "actual", "said")))
     )
     precision, recall = _ratio(F.col("tp"), F.col("said")), _ratio(F.col("tp"), F.col("actual"))
     return sums.select(
+        *by,
         "class",
         "actual",
         precision.alias("precision"),
@@ -143,14 +161,14 @@ def per_class_metrics(cells: DataFrame) -> DataFrame:
     )
 
 
-def overall_metrics(cells: DataFrame) -> DataFrame:
-    """Accuracy, and precision, recall and F1 weighted by class size. One row.
+def overall_metrics(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy, and precision, recall and F1 weighted by class size. One row, or one a group.
 
     Accuracy is what precision, recall and F1 all come to when counted over all classes.
     """
     weight = F.col("actual")
     total = F.sum(weight)
-    return per_class_metrics(cells).agg(
+    return per_class_metrics(cells, by).groupBy(*by).agg(
         (F.sum(F.col("recall") * weight) / total).alias("accuracy"),
         (F.sum(F.col("precision") * weight) / total).alias("weighted_precision"),
         (F.sum(F.col("recall") * weight) / total).alias("weighted_recall"),
@@ -205,6 +223,24 @@ def rmse(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame
 # ---- ranking ----------------------------------------------------------------
 
 
+def ranked_lists(
+    scored: DataFrame, predicted: str, actual: str, n: int, user: str = "user_id", item: str = "song_id"
+) -> DataFrame:
+    """``user, item, said, place``: the top of each user by the prediction (``said``) and by the actual
+    number, as one table. Every row is read once, as an entry for either list, and each task cuts both.
+
+    Items without a score (null or NaN) are in neither list: a model that knows nothing of them ranks
+    nothing. ``user`` and ``item`` name a row.
+    """
+    base = drop_nan(scored.select(user, item, predicted, actual), predicted)
+    entries = F.array(
+        F.struct(F.lit(True).alias("said"), F.col(predicted).cast("double").alias("_value")),
+        F.struct(F.lit(False).alias("said"), F.col(actual).cast("double").alias("_value")),
+    )
+    both = base.select(user, item, F.inline(entries))
+    return top_places(both, [user, "said"], "_value", item, n).drop("_value")
+
+
 def ranking_rows(
     scored: DataFrame,
     predicted: str,
@@ -212,37 +248,18 @@ def ranking_rows(
     n: int,
     user: str = "user_id",
     item: str = "song_id",
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Predicted and actual top lists of each user, side by side as rows.
 
-    ``position`` is the place in the predicted list (null outside it), ``relevant`` tells
-    whether the item is in the actual list. Items without a score (null or NaN) are in neither
-    list: a model that knows nothing of them ranks nothing. Both lists hold items of ``scored`` only: with
-    a user's own held-out songs scored, this judges the order of those songs, not picks
-    from the whole catalogue. All windows use the same partitioning: one shuffle. Hot
-    users get each list by itself, cut down before anything is sorted.
+    ``position`` is the place in the predicted list (null outside it), ``relevant`` tells whether the
+    item is in the actual list. Both lists hold items of ``scored`` only: with a user's own held-out
+    songs scored, this judges the order of those songs, not picks from the whole catalogue.
     """
-    hot = hot_keys(scored, user) if hot is None else hot
-    base = drop_nan(scored.select(user, item, predicted, actual), predicted)
-    order = [F.col(predicted).desc(), F.col(item).asc()]
-    none = HotKeys(user, ())
-    cold = base.where(~hot.flag()) if hot else base
-    # In this order the rank by prediction can use the sort made for the positions.
-    placed = position_within(cold, user, order, "_position", hot=none)
-    placed = rank_within(placed, user, predicted, "_rank", hot=none)
-    placed = rank_within(placed, user, actual, "_actual_rank", hot=none)
-    listed, relevant = F.col("_rank") <= n, F.col("_actual_rank") <= n
-    lists = placed.where(listed | relevant).select(
-        user, item, F.when(listed, F.col("_position")).alias("position"), relevant.alias("relevant")
+    lists = ranked_lists(scored, predicted, actual, n, user, item)
+    said = F.col("said")
+    return lists.groupBy(user, item).agg(
+        F.min(F.when(said, F.col("place"))).alias("position"), F.some(~said).alias("relevant")
     )
-    if not hot:
-        return lists
-    large = base.where(hot.flag())
-    said = top_n_per_group(large, user, predicted, n, "_rank", hot=hot)
-    said = position_within(said, user, order, "position", hot=hot)
-    good = top_n_per_group(large, user, actual, n, "_rank", hot=hot)
-    return lists.unionByName(ranking_rows_from_lists(said, good, user, item))
 
 
 def ranking_rows_from_lists(
@@ -266,13 +283,8 @@ def ranking_by_user(
     at_precision: int = 5,
     at_ndcg: int = 10,
     user: str = "user_id",
-    hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Precision at k, NDCG at k and average precision of each user with both lists.
-
-    Pass the ``hot`` keys ``ranking_rows`` was given: looking for them here would compute
-    the lists once more.
-    """
+    """Precision at k, NDCG at k and average precision of each user with both lists."""
     found = F.col("relevant") & F.col("position").isNotNull()
     # The place of a hit among the hits: non-hits are numbered after all hits.
     counted = position_within(
@@ -280,7 +292,6 @@ def ranking_by_user(
         user,
         [F.col("_found").desc(), F.col("position").asc_nulls_last(), F.col(_item_of(rows, user)).asc()],
         "_hits",
-        hot=hot,
     )
     hit = F.col("_found")
     gain = 1.0 / F.log(F.col("position") + 1.0)
@@ -315,10 +326,9 @@ def ranking_metrics(
     at_precision: int = 5,
     at_ndcg: int = 10,
     user: str = "user_id",
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Means over users: ``precision_at_k, ndcg_at_k, mean_average_precision, n_users``."""
-    per_user = ranking_by_user(rows, at_precision, at_ndcg, user, hot)
+    per_user = ranking_by_user(rows, at_precision, at_ndcg, user)
     return per_user.agg(
         F.avg("precision_at_k").alias("precision_at_k"),
         F.avg("ndcg_at_k").alias("ndcg_at_k"),

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunestrata.functions import drop_nan
 from tunestrata.operators.features import index_strings
 from tunestrata.operators.joins import attach_metadata, decode_index, explode_recommendations
-from tunestrata.operators.ordering import HotKeys, collect_top_items, hot_keys
+from tunestrata.operators.metrics import ranked_lists
 from tunestrata.session import cluster_slots, held
 
 INDEXES = {"user_id": "user_index", "song_id": "song_index"}
@@ -100,20 +99,21 @@ def recommendation_card(
     )
 
 
-def ranking_pairs(
-    scored: DataFrame, predicted: str, actual: str, n: int, chunk_size: int, hot: HotKeys | None = None
-) -> DataFrame:
-    """Predicted and actual top songs of each user as two arrays.
+def ranking_pairs(scored: DataFrame, predicted: str, actual: str, n: int, chunk_size: int) -> DataFrame:
+    """Predicted and actual top songs of each user as two arrays, from one pass and one grouping.
 
     Returns ``user_id, chunk, predicted_songs, actual_songs``; every scored user has both
     lists. Songs without a score (null or NaN) are in neither. Lists longer than ``chunk_size`` go
     on in further chunks, where one side may be null. For metrics
-    over many users ``metrics.ranking_rows`` holds the same lists as rows and needs no join.
+    over many users ``metrics.ranking_rows`` holds the same lists as rows.
     """
-    scored = drop_nan(scored, predicted)
-    hot = hot_keys(scored, "user_id") if hot is None else hot
-    said = collect_top_items(scored, "user_id", predicted, "song_id", n, chunk_size, hot)
-    real = collect_top_items(scored, "user_id", actual, "song_id", n, chunk_size, hot)
-    return said.withColumnRenamed("items", "predicted_songs").join(
-        real.withColumnRenamed("items", "actual_songs"), ["user_id", "chunk"], "full"
+    lists = ranked_lists(scored, predicted, actual, n)
+    chunk = F.floor((F.col("place") - 1) / chunk_size).cast("int").alias("chunk")
+
+    def songs(wanted: Column) -> Column:
+        entries = F.array_sort(F.collect_list(F.when(wanted, F.struct("place", "song_id"))))
+        return F.when(F.size(entries) > 0, F.transform(entries, lambda e: e["song_id"]))
+
+    return lists.groupBy("user_id", chunk).agg(
+        songs(F.col("said")).alias("predicted_songs"), songs(~F.col("said")).alias("actual_songs")
     )

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tunestrata.functions import binarize_label, hash_bucket
 from tunestrata.operators.joins import attach_genre, per_key
-from tunestrata.operators.ordering import HotKeys, hot_keys
 from tunestrata.sources import parse_match_log
 
 FEATURES = [f"f{i}" for i in range(1, 65)]  # every component of an embedding
@@ -49,19 +48,6 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hot_users(spark: SparkSession, sf_dir: str) -> HotKeys:
-    """Users with very many triplets, counted on the order lines.
-
-    A user has at least as many lines as triplets, so no hot user is missed, and the count
-    does without adding up the plays.
-    """
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    found = hot_keys(lines, "o_custkey")
-    return HotKeys("user_id", tuple(f"U{key:08d}" for key in found.values), found.has_null)
-
-
 def _pair() -> Column:
     return F.concat(
         F.lit("<"), _id("SO", "p_partkey"), F.lit(" "), _id("TR", "p_partkey"), F.lit("> "),

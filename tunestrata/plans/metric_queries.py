@@ -183,8 +183,7 @@ _BY_USER = f"""
 
 @query(f"with {_LISTS} select * from lists")
 def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = fx.hot_users(spark, sf_dir)
-    return mt.ranking_rows(fx.scored(spark, sf_dir), "prediction", "plays", 10, hot=hot)
+    return mt.ranking_rows(fx.scored(spark, sf_dir), "prediction", "plays", 10)
 
 
 @query(
@@ -196,7 +195,7 @@ def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fx.scored(spark, sf_dir)
-    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, LIST_CHUNK, fx.hot_users(spark, sf_dir))
+    pairs = rc.ranking_pairs(scored, "prediction", "plays", 10, LIST_CHUNK)
     both = F.array(
         F.struct(F.lit("predicted").alias("list"), F.col("predicted_songs").alias("songs")),
         F.struct(F.lit("actual").alias("list"), F.col("actual_songs").alias("songs")),
@@ -218,9 +217,8 @@ def ranking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranking_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fx.scored(spark, sf_dir)
-    hot = fx.hot_users(spark, sf_dir)
-    rows = mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot)
-    return _rounded(mt.ranking_by_user(rows, hot=hot))
+    rows = mt.ranking_rows(scored, "prediction", "plays", 10)
+    return _rounded(mt.ranking_by_user(rows))
 
 
 @query(
@@ -230,6 +228,5 @@ def ranking_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fx.scored(spark, sf_dir)
-    hot = fx.hot_users(spark, sf_dir)
-    rows = mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot)
-    return _rounded(mt.ranking_metrics(rows, hot=hot))
+    rows = mt.ranking_rows(scored, "prediction", "plays", 10)
+    return _rounded(mt.ranking_metrics(rows))

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tunestrata.operators import classify as cl
 from tunestrata.operators import features as ft
+from tunestrata.operators import inspection as ins
 from tunestrata.operators import metrics as mt
 from tunestrata.operators import recommend as rc
 from tunestrata.operators import sampling as sm
 from tunestrata.operators import tuning as tn
-from tunestrata.operators.ordering import hot_keys, position_within
+from tunestrata.operators.ordering import position_within
 from tunestrata.plans import fixtures as fx
-from tunestrata.plans.metric_queries import report_sql
+from tunestrata.plans.metric_queries import areas_sql, per_class_sql, report_sql
 from tunestrata.plans.oracle_views import hash_sql, pair_sql, unit_sql
 from tunestrata.plans.registry import query
 from tunestrata.session import cluster_slots, held, shared_path
@@ -102,13 +103,6 @@ def random_forest_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir, cl.random_forest(SEED))
 
 
-@query()
-def naive_bayes_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _binary(spark, sf_dir, ft.minmax())
-    made = cl.training_variants(train, "genres", "Electronic", "track", SEED)
-    return cl.compare_resampling(cl.naive_bayes(), made, ft.clip_to_unit(test))
-
-
 def _scaled(expression: str) -> str:
     return ", ".join(
         expression.format(v=f"({c} - lo_{c}) / (hi_{c} - lo_{c})", c=c) for c in fx.FEATURES
@@ -116,14 +110,17 @@ def _scaled(expression: str) -> str:
 
 
 # Naive Bayes has a closed form, so fit and scores can be written as SQL: training rows
-# scaled to [0, 1], sums per class, then the log parameters.
-_BAYES = f"""
-    t as (select * from binary_tagged where {unit_sql(SEED, 'track')} < 0.7),
+# scaled to [0, 1], sums per class (each row as often as its weight says), then the log parameters.
+def _bayes_sql(weight: str = "1") -> str:
+    return f"""
+    t as (select *, {unit_sql(SEED, 'track')} as u from binary_tagged where {unit_sql(SEED, 'track')} < 0.7),
     e as (select * from binary_tagged where {unit_sql(SEED, 'track')} >= 0.7),
-    b as (select {", ".join(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in fx.FEATURES)} from t),
-    s as (select case when genres = 'Electronic' then 1.0::double else 0.0::double end as class,
+    b as (select {", ".join(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in fx.FEATURES)},
+                 count(*) filter (where genres = 'Electronic')::double as small,
+                 count(*) filter (where genres <> 'Electronic')::double as large from t),
+    s as (select case when genres = 'Electronic' then 1.0::double else 0.0::double end as class, {weight} as weight,
                  {_scaled("{v} as {c}")} from t, b),
-    sums as (select class, count(*)::double as n, {", ".join(f"sum({c}) as {c}" for c in fx.FEATURES)}
+    sums as (select class, sum(weight)::double as n, {", ".join(f"sum({c} * weight) as {c}" for c in fx.FEATURES)}
              from s group by class),
     whole as (select *, {" + ".join(fx.FEATURES)} as total, sum(n) over () as n_all, count(*) over () as k from sums),
     logs as (select class, ln(n + 1) - ln(n_all + k) as pi,
@@ -138,6 +135,32 @@ _BAYES = f"""
                from raws group by track, genres)"""
 
 
+_BAYES = _bayes_sql()
+#: How often a training row counts in each variant.
+_WEIGHTS = {
+    "plain": "1",
+    "under": "case when genres = 'Electronic' or u < small / large then 1 else 0 end",
+    "over": "case when genres <> 'Electronic' then 1 else floor(large / small) + case when u < large / small - floor(large / small) then 1 else 0 end end",
+}
+
+
+def _variant_sql(name: str) -> str:
+    return f"""select * from (
+        with {_bayes_sql(_WEIGHTS[name])}, p as ({per_class_sql('scores')}), a as ({areas_sql('scores', 'raw1', 'label')})
+        select '{name}' as variant, null::double as threshold, auroc, aupr,
+               (select round(avg(case when label = prediction then 1.0::double else 0.0::double end), 6) from scores) as accuracy,
+               round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1
+        from a, p where class = 1) {name}"""
+
+
+@query(" union all ".join(map(_variant_sql, _WEIGHTS)))
+def naive_bayes_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _binary(spark, sf_dir, ft.minmax())
+    made = cl.training_variants(train, "genres", "Electronic", "track", SEED)
+    rows = cl.compare_resampling(cl.naive_bayes(), made, ft.clip_to_unit(test))
+    return rows.withColumns({c: F.round(c, 6) for c in ("auroc", "aupr", "accuracy", "precision", "recall", "f1")})
+
+
 def _bayes(spark: SparkSession, sf_dir: str):
     """The fitted model and the scored test part."""
     train, test = _binary(spark, sf_dir, ft.minmax())
@@ -216,6 +239,11 @@ def quality_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- model selection --------------------------------------------------------
 
 
+def _auroc() -> BinaryClassificationEvaluator:
+    """The area without down-sampling, so that it is the same figure however it is worked out."""
+    return BinaryClassificationEvaluator(numBins=0)
+
+
 def _cross_validated(train: DataFrame, estimator, grid: dict, evaluator) -> CrossValidatorModel:
     slots = cluster_slots(train.sparkSession)
     with held(train) as cached:
@@ -241,77 +269,121 @@ def _tuning_figures(train: DataFrame, test: DataFrame, estimator, grid: dict, ev
     return settings.union(chosen).union(report)
 
 
-def _tuned(train: DataFrame, test: DataFrame, estimator, grid: dict, evaluator, bound: float) -> DataFrame:
-    """A row per setting of the grid, and how the tuned model does on the test part.
+def _tuned(train: DataFrame, test: DataFrame, estimator, grid: dict, evaluator, metric: str, bound: float) -> DataFrame:
+    """A row per setting of the grid: its metric worked out a second time, from the scores of all folds
+    and settings in one grouped pass, beside what the validator says; and the tuned model on the test part.
 
-    The figures themselves are ``tuning.tuning_report``, ``metrics.classification_report`` and
-    ``tuning.best_parameters``; here are the statements about them that hold on any data.
+    The figures themselves are rows of ``tuning_figures_*``; here is what must hold on any data.
     """
-    model = _cross_validated(train, estimator, grid, evaluator)
+    slots = cluster_slots(train.sparkSession)
+    with held(train) as cached:
+        model = tn.cross_validate(estimator, grid, evaluator, cached, "track", SEED, parallelism=slots, keep_models=True)
+        scores = checkpoint(tn.fold_scores(model, cached, "track", SEED), shared_path(train.sparkSession, "fold-scores"))
+    ours = tn.fold_metrics(scores, metric).groupBy("setting").agg(F.avg("metric").alias("ours"))
+    seen = scores.groupBy("setting").agg(F.count(F.lit(1)).alias("n_scores"))
     settings = tn.tuning_report(model)
+    both = checkpoint(settings.join(ours, "setting").join(seen, "setting"), shared_path(train.sparkSession, "tuning"))
     best = tn.best_parameters(model)
-    scored = cl.score(model.bestModel, test)
-    figures = mt.classification_report(scored, score=None).where("metric = 'accuracy'").select("value").scalar()
-    n_test = scored.agg(F.count(F.lit(1))).scalar()
-    top = settings.agg(F.max("metric"), F.count_if("is_best")).first()
-    chosen = settings.where("is_best").first()["setting"]
+    figures = mt.classification_report(cl.score(model.bestModel, test), score=None).where("metric = 'accuracy'").select("value").scalar()
+    chosen = both.where("is_best").first()["setting"]
     kept = all(str(best[name]) == value for name, value in (p.split("=") for p in chosen.split(", ")))
-    return settings.select(
+    top = both.agg(F.max("ours"), F.count_if("is_best")).first()
+    first = both.where("is_best").first()["ours"]
+    return both.select(
         "setting",
-        (F.col("metric").between(0, 1) & (F.col("metric") <= top[0])).alias("in_order"),
+        (F.abs(F.col("ours") - F.col("metric")) <= 1e-9).alias("worked_out_the_same"),
+        "n_scores",
         F.lit(top[1]).cast("bigint").alias("n_best"),
+        F.lit(top[0] - first <= 1e-9).alias("best_by_ours"),
         F.lit(kept).alias("refitted_with_best"),
-        n_test.alias("n_test"),
+        test.agg(F.count(F.lit(1))).scalar().alias("n_test"),
         (figures >= bound).alias("held_out_fine"),
     )
 
 
-def _tuning_sql(model: str, table: str) -> str:
-    """The same statements: every setting, one of them best, all test rows scored."""
+# Training rows by class, and how many of the majority the undersampled set keeps.
+_TRAIN_SIZES = f"""
+    t as (select genres = 'Electronic' as small, {unit_sql(SEED, 'track')} as u from binary_tagged
+          where {unit_sql(SEED, 'track')} < 0.7),
+    sizes as (select count(*) filter (where small)::double as s, count(*) filter (where not small)::double as l from t),
+    even as (select count(*) as n from t, sizes where small or u < s / l)"""
+
+
+def _tuning_sql(model: str, table: str, train: str) -> str:
+    """Every setting of the grid, the rows scored for it, one best, all test rows."""
     names = sorted(tn.GRIDS[model])
     settings = [""]
     for name in names:
         settings = [f"{s}, {name}={v}" for s in settings for v in tn.GRIDS[model][name]]
     listed = ", ".join(f"('{s[2:]}')" for s in settings)
-    return f"""select setting, true as in_order, 1::bigint as n_best, true as refitted_with_best,
+    return f"""with {_TRAIN_SIZES}
+               select setting, true as worked_out_the_same, ({train}) as n_scores, 1::bigint as n_best, true as best_by_ours,
+                      true as refitted_with_best,
                       (select count(*) from {table} where {unit_sql(SEED, 'track')} >= 0.7) as n_test, true as held_out_fine
                from (values {listed}) g(setting)"""
 
 
+_EVEN, _ALL_BINARY = "select n from even", "select count(*) from t"
+_ALL_TAGGED = f"select count(*) from tagged where {unit_sql(SEED, 'track')} < 0.7"
+
+
 def _balanced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     train, test = _binary(spark, sf_dir)
     return sm.undersample(train, "genres", "Electronic", "track", SEED), test
 
 
-@query(_tuning_sql("binary_logistic", "binary_tagged"))
+@query(_tuning_sql("binary_logistic", "binary_tagged", _EVEN))
 def tune_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = tn.GRIDS["binary_logistic"]
-    return _tuned(*_balanced(spark, sf_dir), cl.binary_logistic(), grid, BinaryClassificationEvaluator(), 0.5)
+    return _tuned(*_balanced(spark, sf_dir), cl.binary_logistic(), grid, _auroc(), "auroc", 0.5)
 
 
-@query(_tuning_sql("boosted_trees", "binary_tagged"))
+@query(_tuning_sql("boosted_trees", "binary_tagged", _EVEN))
 def tune_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = tn.GRIDS["boosted_trees"]
-    return _tuned(*_balanced(spark, sf_dir), cl.boosted_trees(SEED), grid, BinaryClassificationEvaluator(), 0.5)
+    return _tuned(*_balanced(spark, sf_dir), cl.boosted_trees(SEED), grid, _auroc(), "auroc", 0.5)
 
 
-@query(_tuning_sql("linear_svm", "binary_tagged"))
+@query(_tuning_sql("linear_svm", "binary_tagged", _EVEN))
 def tune_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = tn.GRIDS["linear_svm"]
-    return _tuned(*_balanced(spark, sf_dir), cl.linear_svm(), grid, BinaryClassificationEvaluator(), 0.3)
+    return _tuned(*_balanced(spark, sf_dir), cl.linear_svm(), grid, _auroc(), "auroc", 0.3)
 
 
-@query(_tuning_sql("random_forest", "binary_tagged"))
+@query(_tuning_sql("random_forest", "binary_tagged", _ALL_BINARY))
 def tune_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On the whole training set; the others take the undersampled one."""
     grid = tn.GRIDS["random_forest"]
-    return _tuned(*_binary(spark, sf_dir), cl.random_forest(SEED), grid, BinaryClassificationEvaluator(), 0.5)
+    return _tuned(*_binary(spark, sf_dir), cl.random_forest(SEED), grid, _auroc(), "auroc", 0.5)
 
 
-@query(_tuning_sql("multinomial_logistic", "tagged"))
+@query(_tuning_sql("multinomial_logistic", "tagged", _ALL_TAGGED))
 def tune_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = tn.GRIDS["multinomial_logistic"]
-    return _tuned(*_multi(spark, sf_dir), cl.multinomial_logistic(), grid, MulticlassClassificationEvaluator(), 0.25)
+    return _tuned(*_multi(spark, sf_dir), cl.multinomial_logistic(), grid, MulticlassClassificationEvaluator(), "weighted_f1", 0.25)
+
+
+@query(
+    f"""select (select count(*) from binary_tagged where {unit_sql(SEED, 'track')} >= 0.7) as n_rows, 0::bigint as n_different,
+               {len(tn.GRIDS['binary_logistic']['regParam'])}::bigint as n_settings, true as same_metrics"""
+)
+def reloaded_tuned_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tuned model with its grid and metrics, saved and loaded: same settings, same scores."""
+    train, test = _balanced(spark, sf_dir)
+    model = _cross_validated(train, cl.binary_logistic(), tn.GRIDS["binary_logistic"], _auroc())
+    path = shared_path(spark, "tuned-model")
+    save_model(model, path)
+    loaded = load_model(CrossValidatorModel, path)
+    p = vector_to_array("probability")[1]
+    before = cl.score(model.bestModel, test).select("track", p.alias("p"), "prediction")
+    after = cl.score(loaded.bestModel, test).select("track", p.alias("q"), F.col("prediction").alias("said"))
+    same = list(model.avgMetrics) == list(loaded.avgMetrics) and tn.best_parameters(model) == tn.best_parameters(loaded)
+    return before.join(after, "track", "full").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("p").eqNullSafe(F.col("q")) | ~F.col("prediction").eqNullSafe(F.col("said"))).alias("n_different"),
+        F.lit(len(loaded.avgMetrics)).cast("bigint").alias("n_settings"),
+        F.lit(same).alias("same_metrics"),
+    )
 
 
 # ---- figures of the tuned models, which have no counterpart in SQL -----------
@@ -384,6 +456,132 @@ def classifier_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+# ---- models taken apart -----------------------------------------------------
+
+# Gradient steps over lists: features by their sample deviation on the training part, two classes, an
+# L2 penalty of 0.3. The step is below 2 over the largest curvature (a quarter of the features' largest
+# eigenvalue, some 2, plus the penalty); the slowest direction shrinks by a tenth a step.
+_DESCENT = f"""
+    cut as (select track, genres, {unit_sql(SEED, 'track')} < 0.7 as train, [{", ".join(fx.FEATURES)}] as f from binary_tagged),
+    devs as (select list(sd order by j) as sd from (
+                 select j, stddev_samp(f[j]) as sd from cut, range(1, {len(fx.FEATURES) + 1}) t(j) where train group by j)),
+    x as (select track, genres, train, case when genres = 'Electronic' then 1.0::double else 0.0::double end as y,
+                 list_transform(range(1, {len(fx.FEATURES) + 1}), lambda j: f[j] / sd[j]) as v from cut, devs),
+    n as (select count(*)::double as n from x where train),
+    g as (
+        select 0 as step, list_transform(range({len(fx.FEATURES)}), lambda j: 0.0::double) as w, 0.0::double as b
+        union all
+        select any_value(step) + 1, list(w_j - (s / any_n + 0.3 * w_j) order by j), any_value(b - e / any_n)
+        from (select j, any_value(step) as step, any_value(w[j]) as w_j, any_value(b) as b, any_value(n) as any_n,
+                     sum(err * v[j]) as s, sum(err) as e
+              from (select step, w, b, n, v, 1 / (1 + exp(-(b + list_inner_product(w, v)))) - y as err
+                    from g, n, x where train and step < 400) d,
+                   range(1, {len(fx.FEATURES) + 1}) t(j)
+              group by j) sums
+        having count(*) > 0),
+    found as (select w, b from g where step = 400)"""
+
+
+@query(
+    f"""with recursive {_DESCENT}
+        select track, genres, round(1 / (1 + exp(-(b + list_inner_product(w, v)))), 4) as p,
+               case when b + list_inner_product(w, v) > 0 then 1.0::double else 0.0::double end as prediction, true as default_fit_near
+        from x, found where not train"""
+)
+def logistic_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test probabilities at the optimum of the default logistic model, which SQL finds by gradient steps;
+    the fit of 20 rounds is that close to it."""
+    train, test = _binary(spark, sf_dir)
+    with held(train) as cached:
+        usual = cl.binary_logistic().fit(cached)
+        tight = cl.binary_logistic(maxIter=500, tol=1e-13).fit(cached)
+    p = vector_to_array("probability")[1]
+    near = cl.score(usual, test).select("track", p.alias("q"))
+    return cl.score(tight, test).join(near, "track").select(
+        "track", "genres", F.round(p, 4).alias("p"), "prediction", (F.abs(p - F.col("q")) < 0.01).alias("default_fit_near")
+    )
+
+
+_N_TRAIN = f"(select count(*) from binary_tagged where {unit_sql(SEED, 'track')} < 0.7)"
+
+
+@query(
+    f"""select model, {_N_TRAIN} as n_train, true as objective_the_same, n_coefficients, true as at_optimum
+        from (values ('linear_svm', 0), ('logistic', 65), ('logistic_l1', 65)) m(model, n_coefficients)
+        union all select 'multinomial_l1', (select count(*) from tagged where {unit_sql(SEED, 'track')} < 0.7), true,
+               65 * (select count(distinct genres) from tagged where {unit_sql(SEED, 'track')} < 0.7), true"""
+)
+def linear_models_taken_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objective each fit says it reached, worked out again from its coefficients and all training
+    rows; and for logistic models fitted to the end, the condition every coefficient must meet."""
+    train, _ = _binary(spark, sf_dir)
+    multi, _ = _multi(spark, sf_dir)
+    tight = {"maxIter": 500, "tol": 1e-12}
+    made = {
+        "linear_svm": (train, cl.linear_svm(), None),
+        "logistic": (train, cl.binary_logistic(), cl.binary_logistic(**tight)),
+        "logistic_l1": (train, cl.binary_logistic(regParam=0.05, elasticNetParam=0.8), cl.binary_logistic(regParam=0.05, elasticNetParam=0.8, **tight)),
+        "multinomial_l1": (multi, cl.multinomial_logistic(), cl.multinomial_logistic(**tight)),
+    }
+    out = []
+    for name, (rows, usual, to_the_end) in made.items():
+        with held(rows) as cached:
+            model = usual.fit(cached)
+            summary = model.summary() if callable(model.summary) else model.summary
+            said, ours = float(summary.objectiveHistory[-1]), ins.linear_objective(model, cached)
+            count, worst = 0, 0.0
+            if to_the_end is not None:
+                figures = ins.optimality(to_the_end.fit(cached), cached).agg(F.count(F.lit(1)), F.max("residual")).first()
+                count, worst = int(figures[0]), float(figures[1])
+            out.append((name, cached.count(), abs(said - ours) <= 1e-9 * max(1.0, abs(said)), count, worst <= 1e-4))
+    return spark.createDataFrame(out, "model string, n_train bigint, objective_the_same boolean, n_coefficients bigint, at_optimum boolean")
+
+
+_N_TEST = f"(select count(*) from binary_tagged where {unit_sql(SEED, 'track')} >= 0.7)"
+
+
+@query(
+    f"""select model, n_trees, {_N_TEST} as n_test, 0::bigint as n_different, true as scores_the_same, {_N_TRAIN} * n_trees as n_in_leaves,
+               0::bigint as n_leaves_off, true as importances_the_same
+        from (values ('boosted_trees', 20), ('random_forest', 3)) m(model, n_trees)"""
+)
+def trees_walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree models as tables of nodes: rows walk down them, and predictions, scores, the training rows in
+    each leaf and the importances are those of the model."""
+    train, test = _binary(spark, sf_dir)
+    made = {"boosted_trees": (cl.boosted_trees(SEED), 5), "random_forest": (cl.random_forest(SEED), 4)}
+    rows = None
+    for name, (estimator, depth) in made.items():
+        boosted = name == "boosted_trees"
+        with held(train) as cached:
+            model = estimator.fit(cached)
+        nodes = checkpoint(ins.node_table(model), shared_path(spark, "nodes"))
+        predict = ins.boosted_prediction if boosted else ins.forest_prediction
+        ours = predict(ins.walked(test, nodes, depth, "track"), "track").withColumnRenamed("prediction", "walked")
+        raw = vector_to_array("rawPrediction" if boosted else "probability")[1]
+        both = cl.score(model, test).select("track", "prediction", raw.alias("raw")).join(ours, "track", "left")
+        compared = both.agg(
+            F.count(F.lit(1)).alias("n_test"),
+            F.count_if(~F.col("prediction").eqNullSafe(F.col("walked"))).alias("n_different"),
+            F.every(F.abs(F.col("raw") - F.col("score")) <= 1e-9).alias("scores_the_same"),
+        )
+        leaves = ins.walked(train, nodes, depth, "track").groupBy("tree", "node").agg(F.count(F.lit(1)).alias("reached"))
+        # A forest's trees are grown on draws with replacement, so only boosted ones must have met these very rows.
+        off = nodes.where("left < 0").join(leaves, ["tree", "node"], "left").agg(
+            F.sum("reached").alias("n_in_leaves"),
+            F.count_if((F.col("n") != F.coalesce("reached", F.lit(0))) & F.lit(boosted)).alias("n_leaves_off"),
+        )
+        said = [float(v) for v in model.featureImportances.toArray()]
+        shares = {r["feature"]: r["importance"] for r in ins.importances(nodes, not boosted).collect()}  # a row per feature
+        same = all(abs(v - shares.get(j, 0.0)) <= 1e-9 for j, v in enumerate(said))
+        row = compared.join(off).select(
+            F.lit(name).alias("model"), F.lit(len(model.trees)).alias("n_trees"), "n_test", "n_different", "scores_the_same",
+            "n_in_leaves", "n_leaves_off", F.lit(same).alias("importances_the_same"),
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @query(
     f"""select (select count(*) from binary_tagged where {unit_sql(SEED, 'track')} >= 0.7) as n_rows,
                0::bigint as n_different, true as lower_threshold_says_more"""
@@ -463,6 +661,30 @@ def recommended_songs_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""with {_PARTS},
+             chosen as (select user_id from (select user_id, count(*) as c from test group by user_id having count(*) > 5) h
+                        order by {hash_sql(SEED, 'user_id')}, user_id limit 10)
+        select t.user_id, t.song_id, plays, t.user_id in (select user_id from train) and song_id in (select song_id from train) as has_score,
+               true as as_from_factors
+        from test t join chosen c on t.user_id = c.user_id"""
+)
+def held_out_songs_of_sampled_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled users' own held-out songs with the model's score, which is the product of their factors."""
+    study = _Study(spark, sf_dir)
+    chosen = sm.sample_heavy_users(study.test, 5, 10, SEED)
+    own = study.test.join(chosen.select("user_id"), "user_id")
+    users = study.model.userFactors.select(F.col("id").cast("double").alias("user_index"), F.col("features").alias("_u"))
+    songs = study.model.itemFactors.select(F.col("id").cast("double").alias("song_index"), F.col("features").alias("_s"))
+    product = F.aggregate(F.zip_with("_u", "_s", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
+    scored = rc.predict_pairs(study.model, own).join(users, "user_index", "left").join(songs, "song_index", "left")
+    missing = product.isNull()
+    return scored.select(
+        "user_id", "song_id", "plays", (~F.isnan("prediction")).alias("has_score"),
+        F.when(missing, F.isnan("prediction")).otherwise(F.abs(product - F.col("prediction")) < 1e-4).alias("as_from_factors"),
+    )
+
+
 @query(
     f"""with {_PARTS}, n as (select least(10, count(distinct user_id)) as k from train)
         select song_id, k as n_listeners from (select distinct song_id from train) s, n"""
@@ -482,7 +704,7 @@ def listeners_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 class _Study:
     """Indexed interactions split in two, written once, with a model fitted on the larger part."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, implicit: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         plays = checkpoint(fx.triplets(spark, sf_dir), shared_path(spark, "triplets"))
         indexed, tables = rc.index_interactions(plays)
         indexed = checkpoint(indexed, shared_path(spark, "indexed-triplets"))
@@ -491,7 +713,7 @@ class _Study:
         self.test, self.train = sm.stratified_split(
             indexed, sm.key_of("user_id", "song_id"), SEED, 0.21
         )
-        self.model = rc.fit_als(self.train, SEED, implicit)
+        self.model = rc.fit_als(self.train, SEED)
 
 
 @query()
@@ -502,14 +724,13 @@ def predict_held_out_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rmse_of_both_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = None
-    for implicit in (True, False):
-        study = _Study(spark, sf_dir, implicit)
-        row = mt.rmse(rc.predict_pairs(study.model, study.test), "plays").select(
-            F.lit("implicit" if implicit else "explicit").alias("kind"), "rmse", "n_rows"
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    study = _Study(spark, sf_dir)
+    models = {"implicit": study.model, "explicit": rc.fit_als(study.train, SEED, implicit=False)}
+    rows = [
+        mt.rmse(rc.predict_pairs(model, study.test), "plays").select(F.lit(kind).alias("kind"), "rmse", "n_rows")
+        for kind, model in models.items()
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 @query()
@@ -570,9 +791,7 @@ def decode_given_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     plays = checkpoint(fx.triplets(spark, sf_dir), shared_path(spark, "triplets"))
     indexed, tables = rc.index_interactions(plays)
     order = [F.col("plays").desc(), F.col("song_id").asc()]
-    best = position_within(
-        indexed, "user_id", order, "place", hot=fx.hot_users(spark, sf_dir)
-    ).where(F.col("place") <= 10)
+    best = position_within(indexed, "user_id", order, "place").where(F.col("place") <= 10)
     entry = F.struct("place", "song_index", F.col("plays").cast("float").alias("rating"))
     recs = best.groupBy("user_index").agg(
         F.transform(
@@ -588,6 +807,4 @@ def decode_given_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranking_of_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     study = _Study(spark, sf_dir)
     scored = checkpoint(rc.predict_pairs(study.model, study.test), shared_path(spark, "scored"))
-    hot = hot_keys(scored, "user_id")
-    rows = mt.ranking_rows(scored, "prediction", "plays", 10, hot=hot)
-    return mt.ranking_metrics(rows, hot=hot)
+    return mt.ranking_metrics(mt.ranking_rows(scored, "prediction", "plays", 10))

@@ -114,6 +114,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     views = ",\n".join(f"{n} as ({VIEWS[n]})" for n in VIEWS if n in needed)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {views},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {views},\n{body[5:]}"
     return f"with {views}\n{body}"

@@ -435,8 +435,7 @@ _RANKED = "select *, rank() over (partition by user_id order by plays desc) as r
 
 @query(_RANKED)
 def rank_songs_by_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = fx.hot_users(spark, sf_dir)
-    return ordering.rank_within(fx.triplets(spark, sf_dir), "user_id", "plays", hot=hot)
+    return ordering.rank_within(fx.triplets(spark, sf_dir), "user_id", "plays")
 
 
 @query(
@@ -445,13 +444,12 @@ def rank_songs_by_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rank_songs_by_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fx.scored(spark, sf_dir).select("user_id", "song_id", "prediction")
-    return ordering.rank_within(scored, "user_id", "prediction", hot=fx.hot_users(spark, sf_dir))
+    return ordering.rank_within(scored, "user_id", "prediction")
 
 
 @query(f"select * from ({_RANKED}) r where rank <= 10")
 def top_songs_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = fx.hot_users(spark, sf_dir)
-    return ordering.top_n_per_group(fx.triplets(spark, sf_dir), "user_id", "plays", 10, hot=hot)
+    return ordering.top_n_per_group(fx.triplets(spark, sf_dir), "user_id", "plays", 10)
 
 
 @query(
@@ -459,9 +457,8 @@ def top_songs_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
         from ({_RANKED}) r where rank <= 10"""
 )
 def top_song_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = fx.hot_users(spark, sf_dir)
     plays = fx.triplets(spark, sf_dir)
-    lists = ordering.collect_top_items(plays, "user_id", "plays", "song_id", 10, LIST_CHUNK, hot)
+    lists = ordering.collect_top_items(plays, "user_id", "plays", "song_id", 10, LIST_CHUNK)
     return lists.select("user_id", "chunk", F.posexplode("items").alias("i", "song_id")).select(
         "user_id",
         (F.col("chunk") * F.lit(LIST_CHUNK) + F.col("i") + 1).cast("bigint").alias("place"),

@@ -14,7 +14,7 @@ from tunestrata.sources.files import (
     read_table,
     storage_inventory,
 )
-from tunestrata.sources.matchlog import malformed_lines, parse_match_log
+from tunestrata.sources.matchlog import malformed_lines, parse_match_log, parse_observed
 from tunestrata.sources.sinks import checkpoint, export_csv, load_model, save_model
 
 __all__ = [
@@ -27,6 +27,7 @@ __all__ = [
     "load_model",
     "malformed_lines",
     "parse_match_log",
+    "parse_observed",
     "preview",
     "read_attributes",
     "read_delimited",

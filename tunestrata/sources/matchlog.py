@@ -6,7 +6,7 @@ accepted pairs the same line starts with ``< ``. Other lines are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 FIELDS = ("song_id", "track_id", "song_artist", "song_title", "track_artist", "track_title")
@@ -44,3 +44,21 @@ def malformed_lines(lines: DataFrame, accepted: bool = False) -> DataFrame:
     return lines.where(
         F.col("value").startswith(_prefix(accepted)) & ~F.col("value").rlike(_LINE)
     )
+
+
+def parse_observed(lines: DataFrame, accepted: bool = False) -> tuple[DataFrame, Observation]:
+    """``parse_match_log``, and the figures of its losses, counted by the pass that parses.
+
+    The observation is filled by the first action on the frame: ``n_lines``, ``n_with_prefix``, ``n_parsed``.
+    """
+    counts = Observation()
+    prefixed = F.coalesce(F.col("value").startswith(_prefix(accepted)), F.lit(False))
+    marked = lines.select(prefixed.alias("prefixed"), F.when(prefixed, _parts(F.col("value"))).alias("parts"))
+    fits = F.coalesce(F.size("parts") == len(FIELDS), F.lit(False))
+    seen = marked.observe(
+        counts,
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if("prefixed").alias("n_with_prefix"),
+        F.count_if(fits).alias("n_parsed"),
+    )
+    return seen.where(fits).select(*(F.col("parts")[i].alias(name) for i, name in enumerate(FIELDS))), counts
