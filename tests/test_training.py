@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
@@ -308,3 +309,26 @@ def test_multinomial_thresholds_take_the_default_settings(spark, sf_dir, monkeyp
     row = QUERIES["multinomial_thresholds"](spark, sf_dir).first()
     assert asked == [{}]
     assert row["class_0_said_more"] and row["others_said_less"]
+
+
+def test_best_users_are_those_of_the_full_product(spark):
+    """Against all products; and songs stop early where the lengths of factors differ."""
+    rng = np.random.default_rng(2)
+    lengths = np.r_[np.full(20, 5.0), np.full(400, 0.5)]
+    users = rng.normal(size=(420, 6)) * lengths[:, None]
+    songs = np.r_[rng.normal(size=(30, 6)), np.zeros((1, 6))]
+
+    class Model:
+        userFactors = spark.createDataFrame([(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(users)], "id int, features array<float>")
+        itemFactors = spark.createDataFrame([(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(songs)], "id int, features array<float>")
+
+    found = {}
+    for r in rc.best_users_for_items(Model, k=7, block=16).collect():
+        found.setdefault(r["song_index"], []).append((r["user_index"], r["rating"], r["n_blocks"]))
+    product = songs.astype(np.float32).astype(float) @ users.astype(np.float32).astype(float).T
+    for song, row in enumerate(product):
+        best = sorted(range(420), key=lambda u: (-row[u], u))[:7]
+        assert sorted(u for u, *_ in found[song]) == sorted(best)
+        assert sorted(r for _, r, _ in found[song]) == pytest.approx(sorted(row[best]))
+    visited = [found[s][0][2] for s in range(30)]
+    assert max(visited) < 27 and min(visited) <= 3

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tunestrata.operators.features import index_strings
 from tunestrata.operators.joins import attach_metadata, decode_index, explode_recommendations
 from tunestrata.operators.metrics import ranked_lists
-from tunestrata.session import cluster_slots, held
+from tunestrata.operators.ordering import global_positions
+from tunestrata.session import cluster_slots, held, shared_path
+from tunestrata.sources import checkpoint
 
 INDEXES = {"user_id": "user_index", "song_id": "song_index"}
 
@@ -52,6 +54,62 @@ def recommend_for_all_items(model: ALSModel, k: int = 10) -> DataFrame:
     return model.recommendForAllItems(k)
 
 
+def _product(a: str, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _norm(features: str) -> Column:
+    return F.sqrt(F.aggregate(features, F.lit(0.0), lambda s, v: s + v.cast("double") * v))
+
+
+def best_users_for_items(model: ALSModel, k: int = 10, block: int = 512) -> DataFrame:
+    """``song_index, user_index, rating, n_blocks``: the ``k`` best users of every song, exactly, without
+    the product of all songs with all users.
+
+    Users lie in blocks by the length of their factors, longest first. No product is larger than the
+    lengths of both factors multiplied, so a song is done once its k-th rating is above its own length
+    times that of the longest user still to come; ``n_blocks`` is how many blocks it was held against.
+    Rounds take 1, 2, 4, ... blocks, so there are few of them, and only songs still open go on. Each
+    block is dealt out to as many tasks as the cluster runs, with a share of the songs each. Ties at
+    the k-th place go to the smaller number.
+    """
+    spark = model.userFactors.sparkSession
+    users = model.userFactors.select(F.col("id").alias("user"), "features").withColumn("norm", _norm("features"))
+    placed = global_positions(users, [F.col("norm").desc(), F.col("user").asc()], "place")
+    members = F.array_sort(F.collect_list(F.struct("place", "user", "features")))
+    blocks = placed.groupBy(F.floor(F.col("place") / block).cast("int").alias("block")).agg(members.alias("members"), F.max("norm").alias("longest"))
+    blocks = checkpoint(blocks, shared_path(spark, "user-blocks"))
+    n_blocks, salts = blocks.count(), cluster_slots(spark)
+    entry = "array<struct<less:double,user:int>>"
+    state = model.itemFactors.select(
+        F.col("id").alias("song"), "features", _norm("features").alias("length"),
+        F.array().cast(entry).alias("best"), F.lit(0).alias("seen"), F.lit(True).alias("open"),
+    )
+    start, width = 0, 1
+    while start < n_blocks:
+        stop = min(start + width, n_blocks)
+        salted = blocks.where(F.col("block").between(start, stop - 1)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        open_songs = state.where("open").select("song", F.col("features").alias("own"), F.pmod(F.hash("song"), F.lit(salts)).alias("salt"))
+        open_songs = open_songs.withColumn("block", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
+        rated = F.transform("members", lambda m: F.struct((-_product("own", m["features"])).alias("less"), m["user"].alias("user")))
+        met = open_songs.join(salted, ["block", "salt"]).select("song", F.slice(F.array_sort(rated), 1, k).alias("part"))
+        found = met.groupBy("song").agg(F.flatten(F.collect_list("part")).alias("new"))
+        longest = blocks.where(F.col("block") == stop).select("longest").first()
+        merged = F.slice(F.array_sort(F.concat("best", F.coalesce("new", F.array().cast(entry)))), 1, k)
+        state = state.join(found, "song", "left").select(
+            "song", "features", "length", merged.alias("best"), F.when(F.col("open"), stop).otherwise(F.col("seen")).alias("seen"), "open"
+        )
+        short = F.size("best") < k
+        within = -F.get("best", F.lit(k - 1))["less"] <= F.col("length") * F.lit(longest[0] if longest else 0.0)
+        state = checkpoint(state.withColumn("open", F.col("open") & (short | within)), shared_path(spark, "song-bests"))
+        if state.where("open").isEmpty():
+            break
+        start, width = stop, 2 * width
+    return state.select("song", "seen", F.explode("best").alias("b")).select(
+        F.col("song").alias("song_index"), F.col("b.user").alias("user_index"), (-F.col("b.less")).alias("rating"), F.col("seen").alias("n_blocks")
+    )
+
+
 def recommend_for_users(model: ALSModel, users: DataFrame, k: int = 10) -> DataFrame:
     return model.recommendForUserSubset(users.select("user_index").distinct(), k)
 

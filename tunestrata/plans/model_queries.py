@@ -698,6 +698,30 @@ def listeners_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(study.songs, "song_index").select("song_id", "n_listeners")
 
 
+@query(
+    f"""with {_PARTS}, n as (select least(10, count(distinct user_id)) as k, count(distinct user_id) as u from train)
+        select song_id, k as n_listeners, true as rated_as_full_product, true as blocks_in_range
+        from (select distinct song_id from train) s, n"""
+)
+def listeners_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten listeners for every song by a search that stops at a bound; rated as the full product rates them."""
+    study, block = _Study(spark, sf_dir), 128
+    ours = rc.best_users_for_items(study.model, 10, block)
+    ratings = F.sort_array(F.collect_list(F.col("rating").cast("double")), asc=False)
+    said = rc.explode_recommendations(rc.recommend_for_all_items(study.model, 10), "song_index", "user_index")
+    both = (
+        ours.groupBy("song_index").agg(F.countDistinct("user_index").alias("n_listeners"), ratings.alias("r"), F.max("n_blocks").alias("seen"))
+        .join(said.groupBy("song_index").agg(ratings.alias("q")), "song_index")
+        .withColumn("song_index", F.col("song_index").cast("double"))
+    )
+    close = F.forall(F.zip_with("r", "q", lambda a, b: F.abs(a - b) < 1e-5), lambda fits: F.coalesce(fits, F.lit(False)))
+    n_users = study.train.agg(F.countDistinct("user_index")).scalar()
+    return both.join(study.songs, "song_index").select(
+        "song_id", "n_listeners", close.alias("rated_as_full_product"),
+        ((F.col("seen") >= 1) & (F.col("seen") <= F.ceil(n_users / block))).alias("blocks_in_range"),
+    )
+
+
 # ---- recommendation ---------------------------------------------------------
 
 
