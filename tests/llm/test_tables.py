@@ -6,12 +6,14 @@ import gzip
 import hashlib
 import io
 import os
+import zlib
 
 import corpus_pipeline
 import duckdb
 import numpy as np
 import plain
 import pytest
+import zstandard
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -263,6 +265,78 @@ def test_quality_does_not_learn_from_the_held_out_fold(spark, sf_dir):
     assert quality.fit(docs, turned) == quality.fit(docs, labels)
 
 
+def test_quality_by_a_plain_version(spark, sf_dir):
+    """The same sample, dictionaries and curve, and the scores, in plain loops."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    spots = {r[0]: (r[1], r[0]) for r in labels.select("doc_id", F.xxhash64("doc_id")).collect()}
+    label = {r[0]: r[1] for r in labels.select("doc_id", "quality").collect()}
+    folds = {i: zlib.crc32(str(i).encode()) % 4 for i in label}
+    order = sorted(label, key=spots.get)
+    stretch = 900
+
+    def learnt(i):
+        text = texts[i]
+        start = spots[i][0] % (len(text) - stretch + 1) if len(text) > stretch else 0
+        return text[start : start + stretch]
+
+    def first(ids, limit):
+        out, size = [], 0
+        for i in ids:
+            size += len(learnt(i).encode()) + 1
+            if size > limit:
+                break
+            out.append(i)
+        return out
+
+    good, bad = ([i for i in order if folds[i] < 2 and label[i] == q][:20] for q in (1, 0))
+    good, bad, rest = first(good, 15_000), first(bad, 15_000), first([i for i in order if folds[i] == 3][:15], 9000)
+    model = quality.fit(docs, labels, dictionary_texts=20, curve_texts=15, stretch=stretch, dictionary_bytes=15_000, curve_bytes=9000)
+    assert model.bad == b"\n".join(learnt(i).encode() for i in bad)
+    whole = b"\n".join(learnt(i).encode() for i in good)
+    assert whole.startswith(model.good) and 0 < len(rest) < 16
+
+    def difference(text):
+        data, total = text.encode(), 0
+        for start in range(0, len(data), 4096):
+            sizes = []
+            for words in (model.bad, model.good):
+                packer = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+                sizes.append(len(packer.compress(data[start : start + 4096])))
+            total += sizes[0] - sizes[1]
+        return total / len(data) if data else 0.0
+
+    x, y = np.array([difference(learnt(i)) for i in rest]), np.array([label[i] for i in rest])
+    n1, n0 = y.sum(), (1 - y).sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    z, w, b = (x - x.mean()) / x.std(), 0.0, 0.0
+    for _ in range(60_000):  # plain gradient steps
+        p = 1 / (1 + np.exp(-(w * z + b)))
+        w, b = w + 0.05 * ((target - p) @ z - 1e-3 * w), b + 0.05 * ((target - p).sum() - 1e-6 * b)
+    for r in quality.with_score(docs, model).select("text", "score").collect():
+        at = w * (difference(r["text"]) - x.mean()) / x.std() + b
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-at)), abs=1e-4)
+
+
+def test_long_texts_are_learnt_from(spark):
+    """By a stretch of theirs; none drops out of the sample for its length."""
+    rows = [(i, ("good words here " if i % 2 else "bad stuff now ") * 4000) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert b"good words" in model.good and b"bad stuff" in model.bad
+    assert model.score("good words here " * 20) > 0.5 > model.score("bad stuff now " * 20)
+
+
+def test_pipeline_of_no_documents(spark, empty, sf_dir):
+    made = empty.select("doc_id", "text", "lang", F.col("spans").alias("source"), "n_chars")
+    columns = made.columns
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, made, sf_dir)
+        assert made.count() == 0
+        assert name == "packing" or made.columns == columns
+
+
 def test_length_does_not_matter():
     model = quality.Classifier(b"abc def ghi jkl mno " * 20, b"xyz uvw rst " * 20, 1.0, 0.0)
     short = "abc def ghi jkl mno pqr " * 171

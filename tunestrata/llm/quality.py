@@ -18,18 +18,13 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tunestrata.llm.common import free_name, text_or_empty
 
-# What is learnt from is a bounded sample of the labelled texts, drawn by a hash of the id:
-#: texts per class for the dictionaries, texts of both classes for the curve,
-DICTIONARY_TEXTS, CURVE_TEXTS = 6000, 3000
-#: the longest text that is learnt from, in characters,
-LONGEST = 8000
-#: and the bytes of one dictionary.
+#: Bytes of one dictionary.
 DICTIONARY_BYTES = 4_000_000
 #: Where good texts are many more than bad ones, their dictionary may be this many times the other's
 #: size, or as large as it gets (None); the curve's texts decide.
@@ -114,12 +109,24 @@ def logistic_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[floa
     return float(w[0] / spread), float(w[1] - w[0] * centre / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    dictionary_texts: int = 6000,
+    curve_texts: int = 3000,
+    stretch: int = 8000,
+    dictionary_bytes: int = DICTIONARY_BYTES,
+    curve_bytes: int = 8_000_000,
+) -> Classifier:
     """Learn from rows outside the held-out fold: folds 0 and 1 fill the dictionaries, 3 the curve.
 
-    The sample's ids (at most ``2 * DICTIONARY_TEXTS + CURVE_TEXTS``) are broadcast to the scan, so
-    no text is shuffled. Labels other than 0 and 1, null ids and ids with two labels are left out.
-    Without labels every score is one half; with one class alone it is that class's share.
+    What is learnt from is a sample, drawn by a hash of the id and bounded by the arguments: texts per
+    class for the dictionaries and of both classes for the curve, no more than ``stretch`` characters
+    of a text (of a longer one a stretch whose place the id decides), and bytes of each dictionary and
+    of the curve's texts. The bounds are met before anything comes to the driver. The sample's ids
+    are broadcast to the scan, so no other text is shuffled. Labels other than 0 and 1, null ids and
+    ids with two labels are left out; of texts with one id the least counts. Without labels every
+    score is one half; with one class alone it is that class's share.
     """
     usable = (
         labels.where("doc_id is not null and quality in (0, 1)")
@@ -129,12 +136,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         .select("doc_id", "quality", fold().alias("fold"), F.xxhash64("doc_id").alias("spot"))
         .where(F.col("fold") != HELD_OUT)
     )
-    parts = [usable.where(f"fold < 2 and quality = {q}").orderBy("spot", "doc_id").limit(DICTIONARY_TEXTS) for q in (0, 1)]
-    curve = usable.where("fold = 3").orderBy("spot", "doc_id").limit(CURVE_TEXTS)
+    parts = [usable.where(f"fold < 2 and quality = {q}").orderBy("spot", "doc_id").limit(dictionary_texts) for q in (0, 1)]
+    curve = usable.where("fold = 3").orderBy("spot", "doc_id").limit(curve_texts)
     chosen = parts[0].union(parts[1]).union(curve)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= LONGEST)
+    length = F.length("text")
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(length - stretch + 1, F.lit(1))).cast("int") + 1
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    texts = texts.withColumn("text", F.when(length <= stretch, F.col("text")).otherwise(F.substr("text", start, F.lit(stretch))))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "fold", "spot").agg(F.min("text").alias("text"))
-    found = sorted(rows.collect(), key=lambda r: (r["spot"], r["doc_id"]))
+    part = F.when(F.col("fold") == 3, 2).otherwise(F.col("quality"))
+    before = Window.partitionBy(part).orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = F.sum(F.octet_length("text") + 1).over(before) <= F.when(part == 2, curve_bytes).otherwise(dictionary_bytes)
+    found = sorted(rows.withColumn("fits", fits).where("fits").collect(), key=lambda r: (r["spot"], r["doc_id"]))
     good, bad = ([r["text"] for r in found if r["fold"] < 2 and r["quality"] == q] for q in (1, 0))
     rest = [r for r in found if r["fold"] == 3]
     y = np.array([r["quality"] for r in rest], dtype=np.int64)
@@ -170,7 +183,8 @@ def with_score(docs: DataFrame, model: Classifier, column: str = "score") -> Dat
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; other columns are ignored.
 
-    Rows without an id are scored too (``held_out`` false); repeated rows stay repeated.
+    Null texts count as empty. Rows without an id are scored too (``held_out`` false); repeated rows
+    stay repeated. An empty table gives an empty result.
     """
     scored = with_score(docs.select("doc_id", "text"), fit(docs, labels))
     held = F.coalesce(fold() == HELD_OUT, F.lit(False))
@@ -178,6 +192,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 
 def keep_likely_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents scored at the threshold or above, all columns as they are."""
+    """The documents scored at the threshold or above, all columns as they are.
+
+    Null and empty texts get the curve's value at no difference; rows without an id are judged like
+    others, repeated rows stay repeated, and an empty table gives an empty result.
+    """
     name = free_name(docs, "_score")
     return with_score(docs, fit(docs, labels), name).where(F.col(name) >= threshold).drop(name)

@@ -127,7 +127,8 @@ def ablation(rows: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES
 def policies_compared(docs: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
     """``policy, rule, n_failed, n_only, n_kept``: the ablation beside the documents each policy keeps.
 
-    The ledger is stored once; policies and ablation are read from it.
+    The ledger is stored once; policies and ablation are read from it. Repeated rows count as often
+    as they occur, null and empty texts as documents without a word. An empty table gives an empty result.
     """
     stored = written(ledger(docs), "rule-ledger")
     cases = F.array(*(F.struct(F.lit(p).alias("policy"), passes(p, policies).alias("kept")) for p in policies))
@@ -136,7 +137,11 @@ def policies_compared(docs: DataFrame, policies: Mapping[str, tuple[str, ...]] =
 
 
 def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The ledger with ``base_failed``, ``kept`` under a policy, and the policy's name."""
+    """The ledger with ``base_failed``, ``kept`` under a policy, and the policy's name.
+
+    One row per row of ``docs``, repeated ones and those without an id too. Null and empty texts have
+    no word, so they fail. An empty table gives an empty result.
+    """
     base = F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0
     return (
         ledger(docs)
@@ -149,7 +154,9 @@ def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents a policy (and always the base rules) lets through, all columns as they are.
 
-    Each row is judged by its own text, where it stands: nothing is joined or shuffled.
+    Each row is judged by its own text, where it stands: nothing is joined or shuffled. So repeated
+    rows and rows without an id stay or go by themselves; null and empty texts go. An empty table
+    gives an empty result.
     """
     name, failed = free_name(docs, "_measured"), free_name(docs, "_failed")
     rows = docs.withColumn(name, _measured(text_or_empty())).withColumn(failed, failed_rules(f"{name}."))
