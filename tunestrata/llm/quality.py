@@ -18,11 +18,11 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tunestrata.llm.common import free_name, text_or_empty
+from tunestrata.llm.common import free_name, text_or_empty, written
 
 #: Bytes of one dictionary.
 DICTIONARY_BYTES = 4_000_000
@@ -144,10 +144,16 @@ def fit(
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     texts = texts.withColumn("text", F.when(length <= stretch, F.col("text")).otherwise(F.substr("text", start, F.lit(stretch))))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "fold", "spot").agg(F.min("text").alias("text"))
-    part = F.when(F.col("fold") == 3, 2).otherwise(F.col("quality"))
-    before = Window.partitionBy(part).orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = F.sum(F.octet_length("text") + 1).over(before) <= F.when(part == 2, curve_bytes).otherwise(dictionary_bytes)
-    found = sorted(rows.withColumn("fits", fits).where("fits").collect(), key=lambda r: (r["spot"], r["doc_id"]))
+    drawn = written(rows, "labelled-sample")
+    sizes = drawn.select("doc_id", "quality", "fold", "spot", (F.octet_length("text") + 1).alias("size")).collect()
+    left, wanted = {0: dictionary_bytes, 1: dictionary_bytes, 2: curve_bytes}, []
+    for r in sorted(sizes, key=lambda r: (r["spot"], r["doc_id"])):
+        part = 2 if r["fold"] == 3 else r["quality"]
+        left[part] -= r["size"]
+        if left[part] >= 0:
+            wanted.append((r["doc_id"],))
+    kept = docs.sparkSession.createDataFrame(wanted, drawn.select("doc_id").schema)
+    found = sorted(drawn.join(F.broadcast(kept), "doc_id", "left_semi").collect(), key=lambda r: (r["spot"], r["doc_id"]))
     good, bad = ([r["text"] for r in found if r["fold"] < 2 and r["quality"] == q] for q in (1, 0))
     rest = [r for r in found if r["fold"] == 3]
     y = np.array([r["quality"] for r in rest], dtype=np.int64)
