@@ -152,7 +152,7 @@ def _expected(rows, cosine=0.95):
     for at, k in enumerate(order):
         links = sum(1 for j in units if j != k and linked(k, j)) if k in units else 0
         root = rows[order[label[at]]][0]
-        out.append((rows[k][0], links, root, rows[k][0] == root if k in units else True))
+        out.append((rows[k][0], links, root, None if rows[k][0] is None else rows[k][0] == root if k in units else True))
     return bag(out)
 
 
@@ -169,6 +169,55 @@ def test_vectors(spark, n, block):
     assert bag(cover_tree.vector_groups(_vectors(spark, rows), block=block).collect()) == _expected(rows)
 
 
+def test_cells_hold_what_is_close(spark):
+    """Clustered vectors: cells by distance, several levels, and few pairs of cells are left."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 12))
+    x = plain.unit(np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 12)) * 0.03)
+    ship_package(spark)
+    rows = [(i, 1, [float(c) for c in v]) for i, v in enumerate(x)]
+    found = spark.createDataFrame(rows, "node bigint, weight bigint, embedding array<double>").repartition(4)
+    vectors = found.mapInArrow(cover_tree._units, "node bigint, weight bigint, v binary")
+    members, tree, depth = cover_tree.cells_of(vectors, 60)
+    assert depth >= 1 and members.count() == 2000
+    reach = (2 - 2 * 0.95) ** 0.5
+    pairs = [tuple(r) for r in cover_tree.cell_pairs(tree, depth, reach).collect()]
+    cell = {r["node"]: r["cell"] for r in members.select("node", "cell").collect()}
+    leaves = {r["cell"]: r for r in tree.where("leaf").collect()}
+    assert set(cell.values()) == set(leaves)
+    for node, name in cell.items():
+        centre = np.frombuffer(leaves[name]["centre"])
+        assert np.linalg.norm(x[node] - centre) <= leaves[name]["radius"] + 1e-7
+    near = np.argwhere(x @ x.T >= 0.95)
+    assert {tuple(sorted((cell[i], cell[j]))) for i, j in near.tolist()} <= set(pairs)
+    assert len(pairs) < len(leaves) ** 2 / 8
+    sizes = [r["n"] for r in leaves.values()]
+    assert sum(n <= 60 for n in sizes) >= 0.9 * len(sizes)
+    links = cover_tree.links_of(found, 0.95, 60)
+    counts = {r[0]: r[1] for r in links.where("b is null").groupBy("a").agg(F.sum("n")).collect()}
+    expected = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert all(counts.get(i, 0) == n for i, n in enumerate(expected.tolist()))
+
+
+def test_cells_that_distances_do_not_part(spark):
+    """One dense group, larger than a block by far, and vectors of two lengths."""
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(1 + rng.normal(size=(150, 6)) * 1e-4)]
+    rows += [(1000 + i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in rows]
+    assert bag(cover_tree.vector_groups(_vectors(spark, rows), block=10).collect()) == _expected(rows)
+
+
+def test_turned_vectors(spark, sf_dir):
+    found = llm.QUERIES["turned_vector_groups"](spark, sf_dir).collect()
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
+    result = con.execute(llm.ORACLES["turned_vector_groups"])
+    names = [d[0] for d in result.description]
+    assert bag([tuple(r[n] for n in names) for r in found]) == bag(result.fetchall())
+    assert min(r["n_links"] for r in found) >= 1 and max(r["n_links"] for r in found) >= 2
+
+
 def test_vector_edges(spark):
     rows = _clustered(7, 30)
     rows += [(900 + i, rows[0][1]) for i in range(6)] + [(950, [2 * x for x in rows[1][1]])]

@@ -1,15 +1,20 @@
 """Near-duplicate vectors by cosine, with cover trees and a dual traversal.
 
-On unit vectors, cosine >= c means distance <= sqrt(2 - 2c). Vectors are dealt to blocks of a
-bounded size around pivots; every block gets a cover tree: nested levels of nodes with halving
-radii, each node with its true covering radius. Two trees are compared node against node, level
-by level: a pair of nodes whose centres are further apart than the distance plus both radii holds
-no link, and one that is close enough holds only links; everything else is opened, down to pairs
-of vectors whose cosine decides.
-
-The bound also holds between a vector and a whole block, so a vector is sent only to blocks it
-may have links in. In vectors without structure no bound cuts anything off but the vectors' own
-blocks are still compared node by node, in matrix products.
+On unit vectors, cosine >= c means distance <= sqrt(2 - 2c). The upper levels of the tree lie over the
+cluster: a cell with more vectors than a block may hold chooses pivots of its own, its vectors go to the
+nearest, and the new cells are treated alike, so a block holds what is close together. Every cell has its
+covering radius. Pairs of cells are followed down from the root, level by level: a pair whose
+centres are further apart than the distance plus both radii holds no link and is dropped with all
+that lies below it, before any vector is sent anywhere.
+
+Every block has a cover tree of its own below that: nested levels of nodes with halving radii, each
+node with its true covering radius. Two blocks are compared node against node in the same way; a pair
+of nodes that is close enough holds only links; everything else is opened, down to pairs of vectors
+whose cosine decides.
+
+The bound also holds between a vector and a whole block, so a vector is sent only to blocks it may
+have links in. In vectors without structure no bound cuts anything off but the vectors' own blocks
+are still compared node by node, in matrix products.
 """
 
 from __future__ import annotations
@@ -20,17 +25,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tunestrata.llm.common import written
 from tunestrata.llm.components import components
 from tunestrata.operators.joins import per_key
 
-#: Vectors in a block, and the most pivots (they are broadcast with their radii).
-BLOCK, PIVOTS = 8192, 1024
-#: Vectors the pivots are chosen from, by a hash of their content.
-PIVOT_SAMPLE = 8192
+#: Vectors in a block.
+BLOCK = 8192
+#: Cells a cell is parted into at most, vectors their pivots are chosen from (by a hash of their
+#: content), and vectors of one cell that a task assigns.
+FAN, PIVOT_SAMPLE, ASSIGNED = 64, 1024, 1 << 17
+#: A cell that keeps more than this share of its parent's vectors is not parted by distance any more.
+STUCK = 0.9
 #: Radii of the levels below the pivots, from the top; every vector is within 2 of any other.
 RADII = tuple(2.0**-k for k in range(12))
 #: Edges, or arrays of them, that are kept before they are folded to a forest.
@@ -254,60 +263,156 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], schema=schema)
 
 
-def _one_length(found: DataFrame, dimensions: int, cosine: float, block: int) -> DataFrame:
-    """``a, b, n`` for the distinct vectors of one length: counts (b null) and edges (n null)."""
-    spark = found.sparkSession
-    vectors = written(found.mapInArrow(_units, "node bigint, weight bigint, v binary"), "unit-vectors")
-    total = vectors.count()
-    sample_size = max(1, min(PIVOT_SAMPLE, (1 << 22) // dimensions))
-    sample = vectors.orderBy(F.xxhash64("v"), "node").limit(sample_size).select("v").collect()
-    pivots = spark.sparkContext.broadcast(
-        far_apart(unit([r["v"] for r in sample], dimensions), min(PIVOTS, -(-total // block)))
-    )
+def _by_length(*columns: pd.Series) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Places of rows whose vectors have one length, and their vectors as matrices."""
+    sizes = np.array([len(v) for v in columns[0]])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, [unit([c.iloc[i] for i in at], size // 8) for c in columns]
+
+
+def _chosen(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pivots of one cell: half of them far from each other, half as the vectors lie."""
+    data = unit(rows["v"].tolist(), len(rows["v"].iloc[0]) // 8)
+    count = int(min(FAN, max(2, -(-2 * int(rows["n"].iloc[0]) // int(rows["block"].iloc[0])))))
+    pivots = np.unique(np.concatenate([far_apart(data, (count + 1) // 2), data[: count // 2]]), axis=0)
+    cell = pd.Series([rows["cell"].iloc[0]] * len(pivots), dtype=object)
+    return pd.DataFrame({"cell": cell, "k": np.arange(len(pivots)), "v": [p.tobytes() for p in pivots]})
+
+
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cell, salt, k, node, weight, v``, sorted by cell and salt, pivots (``k`` not null) before vectors,
+    to ``node, weight, v, cell, away``: the nearest pivot's cell and the distance to it."""
+    schema = pa.schema([("node", pa.int64()), ("weight", pa.int64()), ("v", pa.binary()), ("cell", pa.string()), ("away", pa.float64())])
+    now, numbers, parts = None, [], []
+    for batch in batches:
+        keys = np.array([f"{c}/{s}" for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], object)
+        if not len(keys):
+            continue
+        cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for first, last in zip(cuts, np.r_[cuts[1:], len(keys)], strict=True):
+            if keys[first] != now:
+                now, numbers, parts = keys[first], [], []
+            rows = batch.slice(first, last - first)
+            is_pivot = rows.column(2).is_valid().to_numpy(zero_copy_only=False)
+            pivots, members = rows.filter(pa.array(is_pivot)), rows.filter(pa.array(~is_pivot))
+            numbers += pivots.column(2).to_pylist()
+            parts += pivots.column(5).to_pylist()
+            if not members.num_rows:
+                continue
+            dimensions = len(parts[0]) // 8
+            cosines = unit(members.column(5).to_pylist(), dimensions) @ unit(parts, dimensions).T
+            best = cosines.argmax(axis=1)
+            away = np.sqrt(np.maximum(2 - 2 * cosines[np.arange(len(best)), best], 0))
+            cell = members.column(0)[0].as_py()
+            cells = pa.array([f"{cell}.{numbers[i]}" for i in best])
+            yield pa.RecordBatch.from_arrays([members.column(3), members.column(4), members.column(5), cells, pa.array(away)], schema=schema)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cosines = unit(batch.column(2).to_pylist(), dimensions) @ pivots.value.T
-            away = np.sqrt(np.maximum(2 - 2 * cosines.max(axis=1, initial=-1), 0))
-            cells = pa.array(cosines.argmax(axis=1).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, cells, pa.array(away)], names=[*batch.schema.names, "cell", "away"])
-
-    placed = written(vectors.mapInArrow(assign, "node bigint, weight bigint, v binary, cell bigint, away double"), "placed")
-    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n")).collect()}
-    count = len(pivots.value)
-    radii = np.array([cells[c]["r"] if c in cells else -9.0 for c in range(count)])  # an empty cell is out of reach
-    parts = np.array([-(-cells[c]["n"] // block) if c in cells else 0 for c in range(count)])
-    first = np.concatenate([[0], np.cumsum(parts)])
-    reach = float(np.sqrt(2 - 2 * cosine))
 
-    layout = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(count)], "cell bigint, first bigint, parts bigint")
-    home = F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))
-    dealt = placed.join(F.broadcast(layout), "cell").select("node", "weight", "v", home.alias("home"))
+@F.pandas_udf(BooleanType())
+def _may_link(a: pd.Series, b: pd.Series, far: pd.Series) -> pd.Series:
+    """Whether two vectors (of one length) are no further apart than ``far``."""
+    out = np.zeros(len(a), bool)
+    for at, (left, right) in _by_length(a, b):
+        apart = np.sqrt(np.maximum(2 - 2 * (left * right).sum(axis=1), 0))
+        out[at] = apart <= far.to_numpy()[at] + _SLACK
+    return pd.Series(out)
 
-    def tree(rows: pd.DataFrame) -> pd.DataFrame:
+
+_MEMBER = "node bigint, weight bigint, v binary, cell string, away double"
+
+
+def cells_of(vectors: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """``node, weight, v, cell, away`` of every vector in its last cell, the tree of cells (``cell, parent,
+    centre, radius, n, leaf``), and its depth. There is a root for each length of vectors.
+
+    Cells too large for a block are parted at once, level by level; their vectors are dealt out to
+    tasks with the few pivots of their cell, so no task holds a cell. Where distances do not part a
+    cell (nearly all of it goes to one pivot) it stays as it is.
+    """
+    members = vectors.select("node", "weight", "v", (F.octet_length("v") / 8).cast("int").cast("string").alias("cell"), F.lit(2.0).alias("away"))
+    members = written(members, "vector-cells")
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.min("v").alias("centre"))
+    tree = written(sizes.select("cell", F.lit(None).cast("string").alias("parent"), "centre", "radius", "n", F.lit(False).alias("stuck")), "cell-tree")
+    level, trees, depth = tree, [tree], 0
+    while True:
+        large = level.where((F.col("n") > block) & ~F.col("stuck")).select("cell", "n")
+        if large.isEmpty():
+            break
+        rows = members.join(large, "cell")
+        first = Window.partitionBy("cell").orderBy(F.xxhash64("v"), "node")
+        sample = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOT_SAMPLE).withColumn("block", F.lit(block))
+        pivots = written(sample.select("cell", "v", "n", "block").groupBy("cell").applyInPandas(_chosen, "cell string, k bigint, v binary"), "pivots")
+        salts = F.ceil(F.col("n") / ASSIGNED).cast("int")
+        none = F.lit(None).cast("bigint")
+        asked = pivots.join(large, "cell").select("cell", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "k", none.alias("node"), none.alias("weight"), "v")
+        going = rows.select("cell", F.pmod(F.hash("node"), salts).alias("salt"), none.alias("k"), "node", "weight", "v")
+        dealt = asked.unionByName(going).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("k").asc_nulls_last())
+        moved = dealt.mapInArrow(_assigned, _MEMBER)
+        members = written(members.join(large.select("cell"), "cell", "left_anti").select("node", "weight", "v", "cell", "away").unionByName(moved), "vector-cells")
+        parent = F.regexp_replace("cell", r"\.[0-9]+$", "")
+        sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).withColumn("parent", parent)
+        sizes = sizes.join(large.select(F.col("cell").alias("parent"), F.col("n").alias("of")), "parent")
+        centres = pivots.select(F.concat_ws(".", "cell", F.col("k").cast("string")).alias("cell"), F.col("v").alias("centre"))
+        level = sizes.join(centres, "cell").select("cell", "parent", "centre", "radius", "n", (F.col("n") > F.col("of") * STUCK).alias("stuck"))
+        level = written(level, "cell-tree")
+        trees.append(level)
+        depth += 1
+    whole = trees[0]
+    for more in trees[1:]:
+        whole = whole.unionByName(more)
+    parents = per_key(whole.where("parent is not null").withColumnRenamed("parent", "up"), ["up"])
+    whole = whole.join(parents, whole["cell"] == parents["up"], "left")
+    return members, written(whole.select("cell", "parent", "centre", "radius", "n", F.col("up").isNull().alias("leaf")), "cell-tree"), depth
+
+
+def cell_pairs(tree: DataFrame, depth: int, reach: float) -> DataFrame:
+    """``a, b`` (``a`` <= ``b``): pairs of last cells that may hold links, followed down from the roots."""
+    pairs = tree.where("parent is null").select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    facts = ["cell", "centre", "radius"]
+    below = tree.where("parent is not null").select(F.col("parent").alias("up"), *facts)
+    below = below.unionByName(tree.where("leaf").select(F.col("cell").alias("up"), *facts))
+    for _ in range(depth):
+        for side in ("a", "b"):
+            own = below.select(F.col("up").alias(side), F.struct(*facts).alias(f"new_{side}"))
+            pairs = pairs.join(own, side)
+        near = _may_link("new_a.centre", "new_b.centre", F.col("new_a.radius") + F.col("new_b.radius") + F.lit(reach))
+        low, high = F.least("new_a.cell", "new_b.cell"), F.greatest("new_a.cell", "new_b.cell")
+        pairs = written(pairs.where((F.col("new_a.cell") == F.col("new_b.cell")) | near).select(low.alias("a"), high.alias("b")).distinct(), "cell-pairs")
+    return pairs
+
+
+def links_of(found: DataFrame, cosine: float, block: int) -> DataFrame:
+    """``a, b, n`` for distinct vectors ``node, weight, embedding``: counts (b null) and edges (n null)."""
+    reach = float(np.sqrt(2 - 2 * cosine))
+    vectors = found.mapInArrow(_units, "node bigint, weight bigint, v binary")
+    members, tree, depth = cells_of(vectors, block)
+    pairs = cell_pairs(tree, depth, reach)
+    # A cell that distances do not part is cut by a hash.
+    parts = tree.where("leaf").select("cell", "centre", "radius", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    home = F.concat_ws("/", "cell", F.pmod(F.xxhash64("node"), F.col("parts")).cast("string"))
+
+    def grown(rows: pd.DataFrame) -> pd.DataFrame:
+        dimensions = len(rows["v"].iloc[0]) // 8
         owner, level = opened(unit(rows["v"].tolist(), dimensions), np.arange(len(rows)), top_level(cosine))
-        return rows.assign(owner=owner, level=level)
+        return rows.assign(cell=rows["cell"].astype(object), home=rows["home"].astype(object), owner=owner, level=level)
 
+    homes = members.join(parts.select("cell", "parts"), "cell").select("node", "weight", "v", "cell", home.alias("home"))
     treed = written(
-        dealt.groupBy("home").applyInPandas(tree, "node bigint, weight bigint, v binary, home bigint, owner bigint, level bigint"),
-        "trees",
+        homes.groupBy("home").applyInPandas(grown, "node bigint, weight bigint, v binary, cell string, home string, owner bigint, level bigint"), "trees"
     )
-
-    @F.pandas_udf("array<bigint>")
-    def reached(v: pd.Series, home: pd.Series) -> pd.Series:
-        away = np.sqrt(np.maximum(2 - 2 * (unit(v.tolist(), dimensions) @ pivots.value.T), 0))
-        near = away <= reach + radii[None, :] + _SLACK
-        out = []
-        for row, own in zip(near, home, strict=True):
-            blocks = [np.arange(first[c], first[c + 1]) for c in np.flatnonzero(row)]
-            out.append(np.union1d(np.concatenate([*blocks, []]), [own]).astype(np.int64))
-        return pd.Series(out)
-
-    met = treed.withColumn("other", F.explode(reached("v", "home")))
-    met = met.withColumns({"low": F.least("home", "other"), "high": F.greatest("home", "other")})
+    sides = pairs.select(F.col("a").alias("cell"), F.col("b").alias("other")).unionByName(
+        pairs.where("a != b").select(F.col("b").alias("cell"), F.col("a").alias("other"))
+    )
+    sides = sides.join(parts.select(F.col("cell").alias("other"), "centre", "radius", "parts"), "other")
+    met = treed.join(sides, "cell")
+    met = met.where((F.col("cell") == F.col("other")) | _may_link("v", "centre", F.col("radius") + F.lit(reach)))
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    there = F.concat_ws("/", "other", F.col("part").cast("string"))
+    met = met.select("node", "weight", "v", "home", "owner", "level", F.least("home", there).alias("low"), F.greatest("home", there).alias("high"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        data = unit(rows["v"].tolist(), dimensions)
+        data = unit(rows["v"].tolist(), len(rows["v"].iloc[0]) // 8)
         links = Links(rows["weight"].to_numpy())
         sides = []
         for block in sorted(rows["home"].unique()):
@@ -327,7 +432,7 @@ def _one_length(found: DataFrame, dimensions: int, cosine: float, block: int) ->
             ]
         )
 
-    return met.drop("other").groupBy("low", "high").applyInPandas(compare, "a bigint, b bigint, n bigint")
+    return met.groupBy("low", "high").applyInPandas(compare, "a bigint, b bigint, n bigint")
 
 
 def vector_groups(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -> DataFrame:
@@ -335,25 +440,18 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK)
 
     Equal vectors are compared as one and counted by their number. Vectors that are null, zero, or
     hold null or non-finite components, and rows without an id, link with nothing: they count no
-    links and are their own component. Vectors of different lengths do not link. Repeated rows are
-    vectors like others. Other columns are ignored. An empty table gives an empty result.
+    links and are their own component (without an id, neither component nor ``kept`` is known).
+    Vectors of different lengths do not link. Repeated rows are vectors like others. Other columns
+    are ignored. An empty table gives an empty result.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     fine = usable() & F.col("vec_id").isNotNull()
-    alone = rows.where(~fine).select(
-        "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-    )
+    own = F.col("vec_id") == F.col("vec_id")  # null without an id
+    alone = rows.where(~fine).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), own.alias("kept"))
     rows = rows.where(fine)
     nodes = per_key(rows, ["embedding"], F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
-    lengths = [r[0] for r in nodes.select(F.size("embedding").alias("d")).distinct().collect()]
-    found = None
-    for d in lengths:
-        part = _one_length(nodes.where(F.size("embedding") == d).select("node", "weight", "embedding"), d, cosine, block)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return alone
-    found = written(found, "vector-links")
+    found = written(links_of(nodes.select("node", "weight", "embedding"), cosine, block), "vector-links")
     counts = per_key(found.where("b is null"), ["a"], F.sum("n").alias("n")).withColumnRenamed("a", "node")
     roots = components(found.where("b is not null").select("a", "b"))
     named = nodes.join(counts, "node", "left").join(roots, "node", "left").select(

@@ -88,13 +88,27 @@ WARC_CHUNKS = """
            case when page_id > first then first end as refers_to
     from p left join f on p.d = f.d"""
 
-COVER_TREE = """
+
+
+def _vector_groups(vectors: str) -> str:
+    return f"""
     with recursive
-         v as (select vec_id, cast(embedding as double[]) as e from embeddings),
-         p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+         v as ({vectors}),
+         p as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
                where list_cosine_similarity(a.e, b.e) >= 0.95),
          r as (select vec_id as a, vec_id as b from v union select r.a, p.b from r join p on r.b = p.a),
          least_of as (select a, min(b) as least from r group by a),
          n as (select a, count(*) as n from p group by a)
     select vec_id, coalesce(n, 0) as n_links, least as component_id, vec_id = least as kept
     from v join least_of l on vec_id = l.a left join n on vec_id = n.a"""
+
+
+COVER_TREE = _vector_groups("select vec_id, cast(embedding as double[]) as e from embeddings")
+
+_TURN = "list_transform(e, lambda x, i: x + {rate} * e[i % len(e) + 1])"
+TURNED_VECTORS = _vector_groups(
+    f"""select vec_id * 4 + k as vec_id,
+               case k when 0 then e when 1 then {_TURN.format(rate=0.25)} when 2 then {_TURN.format(rate=0.45)}
+                      else list_transform(e, lambda x: 3 * x) end as e
+        from (select vec_id, cast(embedding as double[]) as e from embeddings) x, range(4) t(k)"""
+)

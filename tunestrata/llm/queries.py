@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunestrata.llm import (
@@ -119,6 +119,20 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.vector_groups(read(spark, sf_dir, "embeddings"))
 
 
+@query(oracles.TURNED_VECTORS)
+def turned_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector beside itself three times as long and turned twice, a little further each time: the
+    second turn links with the first, and seldom with the vector itself."""
+    e = F.col("embedding").cast("array<double>")
+
+    def turned(rate: float) -> Column:
+        return F.transform(e, lambda x, i: x + rate * F.get(e, (i + 1) % F.size(e)))
+
+    versions = F.array(e, turned(0.25), turned(0.45), F.transform(e, lambda x: 3 * x))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(versions).alias("k", "embedding"))
+    return cover_tree.vector_groups(rows.select((F.col("vec_id") * 4 + F.col("k")).alias("vec_id"), "embedding"))
+
+
 @query()
 def op10_tiktoken_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
