@@ -270,6 +270,37 @@ def test_counts_and_nulls(spark):
     assert ag.drill_down(df, k="a").count() == 2
 
 
+def test_bitmaps_count_like_distinct(spark, sf_dir):
+    rng = np.random.default_rng(6)
+    data = [(f"g{i % 3}" if i % 11 else None, int(rng.integers(0, 90_000)) if i % 13 else None) for i in range(6000)]
+    df = frame(spark, data, "g string, i bigint").repartition(4)
+    plain = df.where("i is not null").groupBy("g").agg(F.countDistinct("i").alias("n"))
+    bitmaps = ag.distinct_by_bitmap(df, ["g"], "i")
+    assert rows(bitmaps) == rows(plain)
+
+    def shuffled(counts):
+        counts.collect()
+        plan, total = counts._jdf.queryExecution().executedPlan().finalPhysicalPlan(), 0
+        todo = [plan]
+        while todo:
+            node = todo.pop()
+            if node.nodeName().startswith("ShuffleQueryStage"):
+                node = node.plan()
+            metric = node.metrics().get("shuffleBytesWritten")
+            total += metric.get().value() if metric.isDefined() else 0
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        return total
+
+    # Lines of few flags and many orders, each order several times: whole pairs against bits.
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linestatus", (F.col("l_orderkey") % 20_000).alias("i")).repartition(4)
+    by_pairs, by_bits = lines.groupBy("l_linestatus").agg(F.countDistinct("i").alias("n")), ag.distinct_by_bitmap(lines, ["l_linestatus"], "i")
+    assert rows(by_bits) == rows(by_pairs)
+    big = lines.select("l_linestatus", F.explode(F.sequence(F.col("i"), F.col("i") + 40)).alias("i"))
+    plain, bits = big.groupBy("l_linestatus").agg(F.countDistinct("i").alias("n")), ag.distinct_by_bitmap(big, ["l_linestatus"], "i")
+    assert 0 < shuffled(bits) < shuffled(plain)
+
+
 def test_describe(spark):
     df = frame(spark, [("b", 1), ("a", 3), (None, None)], "s string, x int")
     got = {r["column"]: r for r in ag.describe_features(df).collect()}

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from helpers import rows
@@ -332,3 +332,13 @@ def test_best_users_are_those_of_the_full_product(spark):
         assert sorted(r for _, r, _ in found[song]) == pytest.approx(sorted(row[best]))
     visited = [found[s][0][2] for s in range(30)]
     assert max(visited) < 27 and min(visited) <= 3
+
+
+def test_stacked_scores_are_those_of_each_model(spark):
+    rows = [(float(i % 2), [float(i % 7), float(i % 5) + i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
+    models = [(cl.binary_logistic().fit(df), None), (cl.binary_logistic(regParam=0.01).fit(df), 0.2), (cl.linear_svm().fit(df), None), (cl.random_forest(3).fit(df), None)]
+    got = {r["model"]: tuple(r)[1:] for r in cl.summary_rows(cl.stacked_scores(models, df)).collect()}
+    for i, (model, threshold) in enumerate(models):
+        one = cl.summary_row(cl.score(model, df, threshold)).first()
+        assert got[i] == pytest.approx(tuple(one))

@@ -38,6 +38,22 @@ def distinct_count(df: DataFrame, columns: str | Sequence[str], name: str = "n")
     return df.select(*names).distinct().agg(F.count(F.lit(1)).alias(name))
 
 
+def distinct_by_bitmap(df: DataFrame, keys: Sequence[str], number: str, name: str = "n") -> DataFrame:
+    """Distinct numbers (from 0 on, as ``features.index_table`` deals them) per group, without a shuffle of pairs.
+
+    Each task sets one bit a number and hands on bitmaps of 4 KB for every 32,768 numbers of a group, so
+    it pays where groups have many rows to each distinct number; for many small groups ``countDistinct``
+    moves less. Null numbers do not count.
+    """
+    place = F.col(number).cast("bigint") + 1
+    bits = (
+        df.where(F.col(number).isNotNull())
+        .groupBy(*keys, F.bitmap_bucket_number(place).alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    )
+    return bits.groupBy(*keys).agg(F.sum(F.bitmap_count("_bits")).alias(name))
+
+
 def having_below(df: DataFrame, key: str, value: Column, limit: float, name: str = "n") -> DataFrame:
     """Groups whose aggregate lies under a limit."""
     return df.groupBy(key).agg(value.alias(name)).where(F.col(name) < limit)

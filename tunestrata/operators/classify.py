@@ -17,7 +17,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunestrata.operators.metrics import binary_areas, confusion_cells, overall_metrics, per_class_metrics
+from tunestrata.operators.metrics import (
+    binary_areas,
+    confusion_cells,
+    grouped_areas,
+    overall_metrics,
+    per_class_metrics,
+)
 from tunestrata.operators.sampling import oversample, undersample
 from tunestrata.session import held
 
@@ -136,6 +142,31 @@ def summary_row(predictions: DataFrame, label: str = "label", raw: str = "rawPre
     )
 
 
+def stacked_scores(models: Sequence[tuple[Model, float | None]], df: DataFrame, label: str = "label") -> DataFrame:
+    """``model, label, score, prediction``: every row as each of several binary models scores it, in one
+    scan. ``model`` is the place in the list; beside a model stands its threshold, or None for its own."""
+    entries, rows = [], df
+    for i, (model, threshold) in enumerate(models):
+        settings = {model.rawPredictionCol: f"_raw_{i}", model.predictionCol: f"_said_{i}"}
+        if model.hasParam("probabilityCol"):
+            settings[model.probabilityCol] = f"_p_{i}"  # thresholds apply to it
+        if threshold is not None:
+            settings[model.threshold] = threshold
+        rows = model.transform(rows, settings)
+        score = vector_to_array(f"_raw_{i}")[1]
+        entries.append(F.struct(F.lit(i).alias("model"), score.alias("score"), F.col(f"_said_{i}").alias("prediction")))
+    return rows.select(F.col(label).alias("label"), F.inline(F.array(*entries))).select("model", "label", "score", "prediction")
+
+
+def summary_rows(scores: DataFrame) -> DataFrame:
+    """``summary_row`` of every model of ``stacked_scores``, the areas of all from one grouped curve."""
+    cells = confusion_cells(scores, by=["model"])
+    figures = ("precision", "recall", "f1")
+    positive = per_class_metrics(cells, ["model"]).where("class = 1").select("model", *figures)
+    rows = grouped_areas(scores, ["model"]).join(overall_metrics(cells, ["model"]).select("model", "accuracy"), "model")
+    return rows.join(positive, "model", "left").na.fill(0.0, list(figures)).select("model", "auroc", "aupr", "accuracy", *figures)
+
+
 def compare_resampling(
     estimator: Estimator,
     variants: Mapping[str, DataFrame],
@@ -145,15 +176,18 @@ def compare_resampling(
 ) -> DataFrame:
     """Fit the same estimator on each training variant; one report row per variant and threshold.
 
-    Variants without a list of thresholds keep the model's own, and have a null there.
+    Variants without a list of thresholds keep the model's own, and have a null there. The test rows
+    are read once, by all models one after the other.
     """
-    rows = None
+    made, names = [], []
     for name, train in variants.items():
         with held(train) as cached:
             model = estimator.fit(cached)
         for threshold in (thresholds or {}).get(name, (None,)):
-            row = summary_row(score(model, test, threshold), label).select(
-                F.lit(name).alias("variant"), F.lit(threshold).cast("double").alias("threshold"), "*"
-            )
-            rows = row if rows is None else rows.unionByName(row)
-    return rows
+            made.append((model, threshold))
+            names.append((name, threshold))
+    place = F.col("model")
+    variant = F.array(*(F.lit(name) for name, _ in names))[place]
+    threshold = F.array(*(F.lit(t).cast("double") for _, t in names))[place]
+    rows = summary_rows(stacked_scores(made, test, label))
+    return rows.select(variant.alias("variant"), threshold.alias("threshold"), "*").drop("model")

@@ -437,23 +437,17 @@ def classifier_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "logistic": cl.binary_logistic(), "boosted_trees": cl.boosted_trees(SEED),
         "linear_svm": cl.linear_svm(), "random_forest": cl.random_forest(SEED),
     }
-    rows = None
     with held(train) as cached:
         models = {name: estimator.fit(cached) for name, estimator in made.items()}
-    for name, model in models.items():
-        scored = cl.score(model, test)
-        cells = mt.confusion_counts(scored)
-        auroc = mt.area_under_roc(scored).select("auroc").scalar()
-        fine = scored.agg(F.every(~F.isnan(vector_to_array("rawPrediction")[1]))).scalar()
-        row = cells.select(
-            F.lit(name).alias("model"),
-            (F.col("tp") + F.col("tn") + F.col("fn") + F.col("fp")).alias("n_test"),
-            (F.col("tp") + F.col("fn")).alias("n_positive"),
-            fine.alias("finite_scores"),
-            (auroc > 0.5).alias("better_than_chance"),
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    scores = cl.stacked_scores([(model, None) for model in models.values()], test)
+    counts = scores.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_test"),
+        F.count_if(F.col("label") == 1).alias("n_positive"),
+        F.every(~F.isnan("score")).alias("finite_scores"),
+    )
+    areas = mt.grouped_areas(scores, ["model"]).select("model", (F.col("auroc") > 0.5).alias("better_than_chance"))
+    name = F.array(*map(F.lit, models))[F.col("model")]
+    return counts.join(areas, "model").withColumn("model", name)
 
 
 # ---- models taken apart -----------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tunestrata.functions import binarize_label, count_nan, drop_nan, strip_quotes
 from tunestrata.operators import aggregates as ag
+from tunestrata.operators import features as ft
 from tunestrata.operators import joins, ordering, sampling
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.oracle_views import hash_sql, pair_sql
@@ -265,6 +266,19 @@ def distinct_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.distinct_count(plays, "song_id", "n_songs").withColumn("n_users", users.scalar())
 
 
+@query(
+    """select artist_name, count(distinct user_id) as n_listeners, count(*) as n_pairs
+       from triplets t join metadata m on t.song_id = m.song_id group by artist_name"""
+)
+def distinct_listeners_by_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listeners counted by bitmaps over their numbers."""
+    plays = fx.triplets(spark, sf_dir)
+    numbered = ft.apply_index(plays, ft.index_table(plays, "user_id", "user_index"), "user_id", "user_index")
+    rows = numbered.join(fx.metadata(spark, sf_dir).select("song_id", "artist_name"), "song_id")
+    listeners = ag.distinct_by_bitmap(rows, ["artist_name"], "user_index", "n_listeners")
+    return listeners.join(rows.groupBy("artist_name").agg(F.count(F.lit(1)).alias("n_pairs")), "artist_name")
+
+
 @query("select distinct l_returnflag, l_linestatus from lineitem")
 def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
@@ -372,6 +386,19 @@ def approx_quantiles_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("select p::double as prob, count(*) as n, true as rank_within_bound from lineitem, (values (0.25), (0.5), (0.75), (0.999)) t(p) group by p")
+def approx_quantiles_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sketch's values are from their ranks, counted: no further than the accuracy allows."""
+    prices, accuracy = fx.table(spark, sf_dir, "lineitem").select("l_extendedprice"), 1000
+    sketch = ag.approx_quantiles(prices, "l_extendedprice", [0.25, 0.5, 0.75, 0.999], accuracy)
+    found = sketch.agg(F.collect_list(F.struct("prob", "value"))).scalar()  # a value per quantile
+    x = F.col("l_extendedprice")
+    placed = prices.withColumn("q", found).select(x, F.inline("q"))
+    counts = placed.groupBy("prob").agg(F.count(F.lit(1)).alias("n"), F.count_if(x < F.col("value")).alias("below"), F.count_if(x <= F.col("value")).alias("up_to"))
+    wanted, slack = F.col("prob") * F.col("n"), F.col("n") / accuracy + 1
+    return counts.select("prob", "n", ((F.col("below") - slack <= wanted) & (wanted <= F.col("up_to") + slack)).alias("rank_within_bound"))
+
+
 def _histogram_sql(inner: str, column: str, bins: int, cut: int | None = None) -> str:
     where = f"where {column} < {cut}" if cut is not None else ""
     return f"""
