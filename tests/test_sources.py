@@ -120,7 +120,9 @@ def test_model_round_trip(spark, sf_dir, tmp_path):
 def test_losses_are_counted_by_the_pass_that_parses(spark):
     good = "ERROR: <SO0000000000000001 TR0000000000000001> a  -  b  !=  c  -  d"
     lines = spark.createDataFrame([(good,), ("ERROR: broken",), ("< " + good,), ("note",), (None,)], "value string")
-    for accepted, figures in ((False, (5, 2, 1)), (True, (5, 1, 1))):
-        parsed, counts = io.parse_observed(lines, accepted)
+    for accepted, figures in ((False, (3, 1, 1)), (True, (4, 0, 1))):
+        marked = io.parse_marked(lines, accepted)
+        parsed = marked.where("kind = 'parsed'").drop("kind")
         assert rows(parsed) == rows(io.parse_match_log(lines, accepted))
-        assert tuple(counts.get[c] for c in ("n_lines", "n_with_prefix", "n_parsed")) == figures
+        assert rows(io.losses(marked)) == [figures]
+        assert marked.where("kind = 'malformed'").count() == io.malformed_lines(lines, accepted).count()

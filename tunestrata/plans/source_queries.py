@@ -10,7 +10,7 @@ from tunestrata import sources as io
 from tunestrata.plans import fixtures as fx
 from tunestrata.plans.registry import query
 from tunestrata.session import partition_sizes, shared_path
-from tunestrata.sources import checkpoint, malformed_lines, parse_match_log, parse_observed
+from tunestrata.sources import checkpoint, losses, malformed_lines, parse_marked, parse_match_log
 
 TRIPLET_SCHEMA = T.StructType(
     [
@@ -157,11 +157,8 @@ def match_log_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select cast(count(*) filter (where p_size <= 40) as bigint) as n_other, 0::bigint as n_malformed, "
     "count(*) filter (where p_size > 40) as n_parsed, count(*) filter (where p_size > 40) as n_stored from part"
 )
-def observed_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same figures, counted while the parsed lines are stored: one scan of the log."""
-    parsed, counts = parse_observed(fx.mismatch_lines(spark, sf_dir))
-    stored = checkpoint(parsed, shared_path(spark, "parsed-log"))
-    seen = counts.get
-    figures = (seen["n_lines"] - seen["n_with_prefix"], seen["n_with_prefix"] - seen["n_parsed"], seen["n_parsed"])
-    named = zip(("n_other", "n_malformed", "n_parsed"), figures, strict=True)
-    return stored.agg(F.count(F.lit(1)).alias("n_stored")).withColumns({c: F.lit(n).cast("bigint") for c, n in named})
+def losses_of_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same figures from what one scan of the log has stored, and the rows of the parsed lines."""
+    stored = checkpoint(parse_marked(fx.mismatch_lines(spark, sf_dir)), shared_path(spark, "marked-log"))
+    parsed = stored.where("kind = 'parsed'").agg(F.count("song_id")).scalar()
+    return losses(stored).withColumn("n_stored", parsed)

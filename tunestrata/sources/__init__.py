@@ -14,7 +14,7 @@ from tunestrata.sources.files import (
     read_table,
     storage_inventory,
 )
-from tunestrata.sources.matchlog import malformed_lines, parse_match_log, parse_observed
+from tunestrata.sources.matchlog import losses, malformed_lines, parse_marked, parse_match_log
 from tunestrata.sources.sinks import checkpoint, export_csv, load_model, save_model
 
 __all__ = [
@@ -25,9 +25,10 @@ __all__ = [
     "export_csv",
     "line_count",
     "load_model",
+    "losses",
     "malformed_lines",
+    "parse_marked",
     "parse_match_log",
-    "parse_observed",
     "preview",
     "read_attributes",
     "read_delimited",

@@ -6,7 +6,7 @@ accepted pairs the same line starts with ``< ``. Other lines are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("song_id", "track_id", "song_artist", "song_title", "track_artist", "track_title")
@@ -46,19 +46,18 @@ def malformed_lines(lines: DataFrame, accepted: bool = False) -> DataFrame:
     )
 
 
-def parse_observed(lines: DataFrame, accepted: bool = False) -> tuple[DataFrame, Observation]:
-    """``parse_match_log``, and the figures of its losses, counted by the pass that parses.
+def parse_marked(lines: DataFrame, accepted: bool = False) -> DataFrame:
+    """Every line as ``kind`` (``parsed``, ``malformed`` or ``other``) and, if parsed, its six strings.
 
-    The observation is filled by the first action on the frame: ``n_lines``, ``n_with_prefix``, ``n_parsed``.
+    Stored once, both the parsed lines and the figures of the losses come from one scan of the log.
     """
-    counts = Observation()
     prefixed = F.coalesce(F.col("value").startswith(_prefix(accepted)), F.lit(False))
     marked = lines.select(prefixed.alias("prefixed"), F.when(prefixed, _parts(F.col("value"))).alias("parts"))
     fits = F.coalesce(F.size("parts") == len(FIELDS), F.lit(False))
-    seen = marked.observe(
-        counts,
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if("prefixed").alias("n_with_prefix"),
-        F.count_if(fits).alias("n_parsed"),
-    )
-    return seen.where(fits).select(*(F.col("parts")[i].alias(name) for i, name in enumerate(FIELDS))), counts
+    kind = F.when(fits, "parsed").when(F.col("prefixed"), "malformed").otherwise("other")
+    return marked.select(kind.alias("kind"), *(F.when(fits, F.col("parts")[i]).alias(name) for i, name in enumerate(FIELDS)))
+
+
+def losses(marked: DataFrame) -> DataFrame:
+    """One row: ``n_other, n_malformed, n_parsed`` of a log read by ``parse_marked``."""
+    return marked.agg(*(F.count_if(F.col("kind") == kind).alias(f"n_{kind}") for kind in ("other", "malformed", "parsed")))
