@@ -35,6 +35,16 @@ RULE_LEDGER = f"""
     from f"""
 
 
+_NAMES = list(rules.RULES)
+_CASES = ", ".join(
+    f"('{policy}', '{rule}', {rules.mask(members)}, {1 << _NAMES.index(rule)})" for policy, members in rules.POLICIES.items() for rule in members
+)
+RULE_POLICIES = f"""
+    select p.policy, rule, count(*) filter (where (failed & members & bit) <> 0) as n_failed,
+           count(*) filter (where (failed & members) = bit) as n_only, count(*) filter (where (failed & members) = 0) as n_kept
+    from ({RULE_LEDGER}) l, (values {_CASES}) p(policy, rule, members, bit) group by p.policy, rule"""
+
+
 def _kind_sql(kind: str) -> str:
     """Spans of one kind: lengths of what lies between matches and of the matches, added up."""
     pattern, group, least = secrets.KINDS[kind]

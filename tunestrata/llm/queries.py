@@ -64,7 +64,7 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(read(spark, sf_dir, "documents")).drop("n_lines")
 
 
-@query()
+@query(oracles.RULE_POLICIES)
 def rule_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.policies_compared(read(spark, sf_dir, "documents"))
 
