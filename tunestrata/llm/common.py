@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunestrata.session import shared_path
+from tunestrata.session import shared_path, ship_package
 from tunestrata.sources import checkpoint
 
 #: Bytes of one text that are looked at together.
@@ -18,26 +15,6 @@ BLOCK = 1 << 20
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application, by Spark's own means.
-
-    The archive is made on the driver, and Spark sends it to every executor that runs a task.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,0 +1,77 @@
+"""The largest products of one slice of vectors with another, as matrix products in a task."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+#: More than rounding can take off a product of two lengths in double precision.
+SLACK = 1e-12
+#: Products that are made at a time.
+PRODUCTS = 1 << 19
+
+
+def _merged(best: np.ndarray, who: np.ndarray, row: np.ndarray, value: np.ndarray, user: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best`` and ``who`` (k for each row, best first) with further values; ties by the smaller number."""
+    n, k = best.shape
+    row = np.r_[np.repeat(np.arange(n), k), row]
+    value, user = np.r_[best.ravel(), value], np.r_[who.ravel(), user]
+    order = np.lexsort((user, -value, row))
+    row = row[order]
+    kept = order[np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row] < k]
+    return value[kept].reshape(n, k), user[kept].reshape(n, k)
+
+
+def best_products(own: pd.DataFrame, theirs: pd.DataFrame, k: int, block: int, bounded: bool) -> pd.DataFrame:
+    """``song, less, user, held`` for ``own`` (``id, features, floor``) and ``theirs`` (``id, features``):
+    the ``k`` users with the largest products and those products (negative, so that they sort upwards).
+
+    Users are taken ``block`` at a time, longest first. Products in single precision, which cannot be
+    further off than their slack, tell which pairs may be among the best; those are worked out in double
+    precision. Nothing below ``floor`` is looked for. If ``bounded``, a song meets no further block once
+    the bound by lengths is below its k-th product, and a row without a user (-1) says in how many it was.
+    """
+    songs, users = own["id"].to_numpy(), theirs["id"].to_numpy()
+    a, b = (np.array(df["features"].tolist(), np.float32) for df in (own, theirs))
+    floor = own["floor"].to_numpy(np.float64, na_value=-np.inf)
+    norms = np.sqrt((b.astype(np.float64) ** 2).sum(axis=1))
+    order = np.lexsort((users, -norms))
+    users, b, norms = users[order], b[order], norms[order]
+    error = (b.shape[1] + 2) * 2.0**-23
+    out = []
+    step = max(1, PRODUCTS // block)
+    room = np.empty(min(step, len(songs)) * min(block, len(users)), np.float32)  # new memory for each product costs more than the product
+    for start in range(0, len(songs), step):
+        part = a[start : start + step]
+        lengths = np.sqrt((part.astype(np.float64) ** 2).sum(axis=1))
+        best, who = np.full((len(part), k), -np.inf), np.full((len(part), k), np.iinfo(np.int32).max, np.int64)
+        least, held = floor[start : start + step].copy(), np.zeros(len(part), np.int64)
+        for low in range(0, len(users), block):
+            some = b[low : low + block]
+            going = np.arange(len(part))
+            if bounded:
+                going = np.flatnonzero(lengths * (norms[low] * (1 + SLACK)) >= least)
+                if not len(going):
+                    break
+                held[going] += 1
+            slack = lengths[going] * (norms[low] * error)
+            products = room[: len(going) * len(some)].reshape(len(going), len(some))
+            np.dot(part if len(going) == len(part) else part[going], some.T, out=products)
+            near = np.flatnonzero(products.max(axis=1) >= least[going] - slack)
+            if not len(near):
+                continue
+            if len(near) < len(going):
+                products, going, slack = products[near], going[near], slack[near]
+            cut = least[going] - slack
+            if len(some) > k and np.isneginf(cut).any():  # nothing known yet: the k-th of the block is a bound
+                cut = np.maximum(cut, np.partition(products, len(some) - k, axis=1)[:, len(some) - k] - 2 * slack)
+            row, column = np.nonzero(products >= cut[:, None])
+            exact = np.einsum("ij,ij->i", part[going[row]].astype(np.float64), some[column].astype(np.float64))
+            best[going], who[going] = _merged(best[going], who[going], row, exact, users[low + column])
+            least[going] = np.maximum(least[going], best[going, -1])
+        row, column = np.nonzero(np.isfinite(best))
+        numbers = songs[start : start + step]
+        out.append(pd.DataFrame({"song": numbers[row], "less": -best[row, column], "user": who[row, column], "held": np.zeros(len(row), np.int64)}))
+        if bounded:
+            out.append(pd.DataFrame({"song": numbers, "less": np.full(len(part), np.inf), "user": np.full(len(part), -1), "held": held}))
+    return pd.concat(out, ignore_index=True)
