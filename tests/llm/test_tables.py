@@ -435,3 +435,22 @@ def test_every_numbered_query_is_registered():
     assert "pipeline" in names
     assert set(driver.oracle_sql()) <= set(names)
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_vectors_are_sent_by_shelves_of_blocks(spark):
+    """Without structure a vector meets all blocks, but is sent once a shelf: no more copies than shelves; links as by all pairs."""
+    ship_package(spark)
+    rng = np.random.default_rng(8)
+    some = rng.normal(size=(600, 16))
+    data = np.r_[some, some[:200] + 0.05 * rng.normal(size=(200, 16))]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    rows += [(1000 + i, [float(i), 1.0]) for i in range(5)]  # other lengths lie on shelves of their own
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    units = data / np.sqrt((data**2).sum(axis=1))[:, None]
+    links = (units @ units.T >= 0.95).sum(axis=1) - 1
+    found = {r["vec_id"]: r["n_links"] for r in cover_tree.vector_groups(df, block=16).collect()}
+    assert [found[i] for i in range(800)] == links.tolist()
+    tree = spark.createDataFrame([(f"16.{i}", 10 + i, True) for i in range(50)], "cell string, n bigint, leaf boolean")
+    shelves = cover_tree.shelves_of(tree, 16)
+    assert shelves.select("home").distinct().count() == shelves.count() > 2 * cover_tree.SHELVES
+    assert shelves.select("shelf").distinct().count() <= cover_tree.SHELVES + 2

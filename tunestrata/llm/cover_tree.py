@@ -12,15 +12,17 @@ node with its true covering radius. Two blocks are compared node against node in
 of nodes that is close enough holds only links; everything else is opened, down to pairs of vectors
 whose cosine decides.
 
-The bound also holds between a vector and a whole block, so a vector is sent only to blocks it may
-have links in. In vectors without structure no bound cuts anything off but the vectors' own blocks
-are still compared node by node, in matrix products.
+Blocks that follow each other in the order of the tree share a shelf, and a task compares two shelves,
+block against block. The bound also holds between a vector and a whole block, so a vector is sent only to
+shelves it may have links on, once to each. In vectors without structure no bound cuts anything off but
+the vectors' own blocks are still compared node by node, in matrix products.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -32,12 +34,15 @@ from pyspark.sql.types import BooleanType
 from tunestrata.llm.common import written
 from tunestrata.llm.components import components
 from tunestrata.operators.joins import per_key
+from tunestrata.operators.ordering import running_totals
 
 #: Vectors in a block.
 BLOCK = 8192
 #: Cells a cell is parted into at most, vectors their pivots are chosen from (by a hash of their
 #: content), and vectors of one cell that a task assigns.
 FAN, PIVOT_SAMPLE, ASSIGNED = 64, 1024, 1 << 17
+#: Blocks are compared shelf by shelf: so many shelves, but none with more vectors than this.
+SHELVES, SHELF = 16, 1 << 18
 #: A cell that keeps more than this share of its parent's vectors is not parted by distance any more.
 STUCK = 0.9
 #: Radii of the levels below the pivots, from the top; every vector is within 2 of any other.
@@ -309,6 +314,46 @@ def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([members.column(3), members.column(4), members.column(5), cells, pa.array(away)], schema=schema)
 
 
+def _sent(reach: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cell, salt, other, centre, radius, node, weight, v, home, shelf, owner, level``, sorted by cell and salt,
+    balls (``other`` not null: the shelf they lie on) before vectors, to vectors with each pair of shelves
+    they may have links in, ``low`` and ``high``, once."""
+    kept = ["node", "weight", "v", "home", "shelf", "owner", "level"]
+    now, others, parts, radii = None, [], [], []
+    for batch in batches:
+        keys = np.array([f"{c}/{s}" for c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], object)
+        if not len(keys):
+            continue
+        cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for first, last in zip(cuts, np.r_[cuts[1:], len(keys)], strict=True):
+            if keys[first] != now:
+                now, others, parts, radii = keys[first], [], [], []
+            rows = batch.slice(first, last - first)
+            is_ball = rows.column(2).is_valid().to_numpy(zero_copy_only=False)
+            balls, members = rows.filter(pa.array(is_ball)), rows.filter(pa.array(~is_ball))
+            others += balls.column(2).to_pylist()
+            parts += balls.column(3).to_pylist()
+            radii += balls.column(4).to_pylist()
+            if not members.num_rows:
+                continue
+            names, number = np.unique(np.array(others, object).astype(str), return_inverse=True)
+            order = np.argsort(number, kind="stable")
+            starts = np.searchsorted(number[order], np.arange(len(names)))
+            dimensions = len(parts[0]) // 8
+            centres, far = unit(parts, dimensions)[order], np.array(radii)[order] + reach + _SLACK
+            step = max(1, (1 << 22) // len(centres))
+            for start in range(0, members.num_rows, step):
+                some = members.slice(start, step)
+                apart = np.sqrt(np.maximum(2 - 2 * (unit(some.column("v").to_pylist(), dimensions) @ centres.T), 0))
+                near = np.logical_or.reduceat(apart <= far, starts, axis=1)
+                for k, name in enumerate(names):
+                    going = some.filter(pa.array(near[:, k]))
+                    if going.num_rows:
+                        own = going.column("shelf").to_pylist()
+                        pairs = [pa.array([f(x, str(name)) for x in own]) for f in (min, max)]
+                        yield pa.RecordBatch.from_arrays([*(going.column(c) for c in kept), *pairs], names=[*kept, "low", "high"])
+
+
 @F.pandas_udf(BooleanType())
 def _may_link(a: pd.Series, b: pd.Series, far: pd.Series) -> pd.Series:
     """Whether two vectors (of one length) are no further apart than ``far``."""
@@ -382,6 +427,24 @@ def cell_pairs(tree: DataFrame, depth: int, reach: float) -> DataFrame:
     return pairs
 
 
+def shelves_of(tree: DataFrame, block: int) -> DataFrame:
+    """``cell, home, shelf`` for every block (``home``): a shelf holds blocks that follow each other in the
+    order of the tree, so what is close together, and vectors of one length.
+
+    A vector is sent once for each pair of shelves, so what is sent grows with the vectors up to
+    ``SHELVES`` times ``SHELF`` of them.
+    """
+    leaves = tree.where("leaf").select("cell", "n")
+    vectors = leaves.agg(F.sum("n")).first()[0] or 0
+    size = min(SHELF, max(block, -(-vectors // SHELVES)))
+    placed = running_totals(leaves, [F.col("cell").asc()], ["n"])
+    parts = F.ceil(F.col("n") / block).cast("int")
+    homes = placed.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    number = F.floor((F.col("n_before") + F.col("part") * block) / size).cast("string")
+    length = F.regexp_extract("cell", r"^[0-9]+", 0)
+    return homes.select("cell", F.concat_ws("/", "cell", F.col("part").cast("string")).alias("home"), F.concat_ws("/", length, number).alias("shelf"))
+
+
 def links_of(found: DataFrame, cosine: float, block: int) -> DataFrame:
     """``a, b, n`` for distinct vectors ``node, weight, embedding``: counts (b null) and edges (n null)."""
     reach = float(np.sqrt(2 - 2 * cosine))
@@ -398,30 +461,47 @@ def links_of(found: DataFrame, cosine: float, block: int) -> DataFrame:
         return rows.assign(cell=rows["cell"].astype(object), home=rows["home"].astype(object), owner=owner, level=level)
 
     homes = members.join(parts.select("cell", "parts"), "cell").select("node", "weight", "v", "cell", home.alias("home"))
-    treed = written(
-        homes.groupBy("home").applyInPandas(grown, "node bigint, weight bigint, v binary, cell string, home string, owner bigint, level bigint"), "trees"
-    )
+    shape = "node bigint, weight bigint, v binary, cell string, home string, owner bigint, level bigint"
+    treed = written(homes.groupBy("home").applyInPandas(grown, shape), "trees")
+    shelves = shelves_of(tree, block)
     sides = pairs.select(F.col("a").alias("cell"), F.col("b").alias("other")).unionByName(
         pairs.where("a != b").select(F.col("b").alias("cell"), F.col("a").alias("other"))
     )
-    sides = sides.join(parts.select(F.col("cell").alias("other"), "centre", "radius", "parts"), "other")
-    met = treed.join(sides, "cell")
-    met = met.where((F.col("cell") == F.col("other")) | _may_link("v", "centre", F.col("radius") + F.lit(reach)))
-    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    there = F.concat_ws("/", "other", F.col("part").cast("string"))
-    met = met.select("node", "weight", "v", "home", "owner", "level", F.least("home", there).alias("low"), F.greatest("home", there).alias("high"))
+    balls = shelves.select(F.col("cell").alias("other"), "shelf").distinct().join(
+        parts.select(F.col("cell").alias("other"), "centre", "radius"), "other"
+    )
+    own = F.col("cell") == F.col("other")  # in its own cell every vector stays
+    balls = sides.join(balls, "other").select("cell", F.col("shelf").alias("on"), "centre", F.when(own, 2.0).otherwise(F.col("radius")).alias("radius"))
+    salts = tree.where("leaf").select("cell", F.ceil(F.col("n") / ASSIGNED).cast("int").alias("salts"))
+    none = {"other": "string", "centre": "binary", "radius": "double"}
+    members = treed.join(shelves, ["cell", "home"]).join(salts, "cell").select(
+        "cell", F.pmod(F.hash("node"), F.col("salts")).alias("salt"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()),
+        "node", "weight", "v", "home", "shelf", "owner", "level",
+    )
+    asked = balls.join(salts, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("on").alias("other"), "centre", "radius",
+        *(F.lit(None).cast(members.schema[c].dataType).alias(c) for c in members.columns[5:]),
+    )
+    dealt = members.unionByName(asked).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("other").asc_nulls_last())
+    met = dealt.mapInArrow(partial(_sent, reach), "node bigint, weight bigint, v binary, home string, shelf string, owner bigint, level bigint, low string, high string")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         data = unit(rows["v"].tolist(), len(rows["v"].iloc[0]) // 8)
         links = Links(rows["weight"].to_numpy())
-        sides = []
-        for block in sorted(rows["home"].unique()):
-            at = np.flatnonzero(rows["home"] == block)
-            sides.append(made_nodes(data, at, rows["owner"].to_numpy()[at], int(rows["level"].iloc[at[0]])))
-        if rows["low"].iloc[0] == rows["high"].iloc[0]:
-            traverse(data, sides[0], None, cosine, links)
-        elif len(sides) == 2:
-            traverse(data, sides[0], sides[1], cosine, links)
+        owner, level, shelf = rows["owner"].to_numpy(), rows["level"].to_numpy(), rows["shelf"].to_numpy()
+        blocks = []
+        for at in rows.reset_index(drop=True).groupby("home", sort=True).indices.values():
+            middle = data[at].mean(axis=0)
+            radius = float(np.sqrt(((data[at] - middle) ** 2).sum(axis=1).max()))
+            blocks.append((shelf[at[0]], middle, radius, made_nodes(data, at, owner[at], int(level[at[0]]))))
+        alone = rows["low"].iloc[0] == rows["high"].iloc[0]
+        for i, (on, middle, radius, nodes) in enumerate(blocks):
+            if alone:
+                traverse(data, nodes, None, cosine, links)
+            for other_on, other_middle, other_radius, others in blocks[i + 1 :]:
+                apart = float(np.sqrt(((middle - other_middle) ** 2).sum()))
+                if (alone or on != other_on) and apart <= reach + radius + other_radius + _SLACK:
+                    traverse(data, nodes, others, cosine, links)
         node = rows["node"].to_numpy()
         some = np.flatnonzero(links.count)
         edges = links.forest()
