@@ -75,3 +75,19 @@ def test_shuffle_size(spark):
         assert spark.conf.get(key) == "204800"
     finally:
         spark.conf.unset(key)
+
+
+def test_merged_partitions_stay_small(spark):
+    """A task sorts a multiple of the compressed bytes it was dealt, so merging stops before Spark's 64 MB."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        assert spark.conf.get(key) == "67108864b"
+        ss.apply_skew_settings(spark)
+        assert spark.conf.get(key) == str(ss.MERGED_BYTES)
+        spark.conf.set(key, "8m")
+        ss.apply_skew_settings(spark)
+        assert spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.set(key, before)

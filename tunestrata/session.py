@@ -25,12 +25,27 @@ SKEW_SETTINGS = {
 }
 
 
+# Bytes that adaptive execution merges shuffle partitions up to. Shuffled bytes are compressed, the rows a
+# task sorts are not: at Spark's 64 MB a task that ranks short rows sorts over a GB.
+MERGED_BYTES = 8 << 20
+_MERGED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
 def apply_skew_settings(spark: SparkSession) -> SparkSession:
     for key, value in SKEW_SETTINGS.items():
         spark.conf.set(key, value)
+    limit_merging(spark)
     return spark
 
 
+def limit_merging(spark: SparkSession, merged_bytes: int = MERGED_BYTES) -> None:
+    """Merge shuffle partitions up to ``merged_bytes`` only, so that a growing input gets more of them before
+    they get larger; a smaller size that was set stays."""
+    said = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_MERGED))
+    if said > merged_bytes:
+        spark.conf.set(_MERGED, str(merged_bytes))
+
+
 def use_local_scratch(spark: SparkSession) -> SparkSession:
     """Give a local session without a shared folder a temporary one. For tests and benches.
 
