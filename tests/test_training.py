@@ -124,6 +124,51 @@ def test_unseen_values(spark):
         ft.apply_index(df, table, "k", "i").collect()
 
 
+def test_rows_outside_named_lose_their_ids_only(spark):
+    df = spark.createDataFrame([("u", "s", 1), ("u", "t", 2), ("v", "t", 3), ("v", "t", None)], "user_id string, song_id string, plays int")
+    whole, _ = rc.index_interactions(df)
+    named = F.col("plays") >= 2
+    short, tables = rc.index_interactions(df, named, "m")
+    blank = [F.when(named, F.col(c)).alias(c) for c in ("user_id", "song_id")]
+    expected = whole.select(*blank, "plays", "user_index", "song_index", F.coalesce(named, F.lit(False)).alias("m"))
+    assert rows(short.select(*expected.columns)) == rows(expected)
+    assert rows(tables["song_id"]) == [("s", 1.0), ("t", 0.0)]
+    odd = spark.createDataFrame([(None, "s", 1)], df.schema)
+    with pytest.raises(Exception, match="no index for user_id null"):
+        rc.index_interactions(odd, named, "m")[0].collect()
+
+
+def test_a_row_without_its_ids_is_not_sent_on_with_them(spark, many_slices):
+    df = spark.createDataFrame([("u", "s", 1), ("v", "t", 2)], "user_id string, song_id string, plays int")
+    plan = rc.index_interactions(df, F.col("plays") > 1, "m")[0]._jdf.queryExecution().optimizedPlan().toString()
+    last = plan.index("Join LeftOuter")
+    assert "AS user_id#" in plan[last:plan.index("Join LeftOuter", last + 1)]
+
+
+def test_a_sample_is_what_a_split_takes(spark):
+    df = spark.range(500).withColumn("k", F.col("id").cast("string"))
+    taken, _ = sm.stratified_split(df, "k", 3, 0.21)
+    assert rows(df.where(sm.in_sample("k", 3, 0.21))) == rows(taken) != []
+
+
+def test_triplets_dealt_by_user(spark, many_slices, tmp_path):
+    """The same rows, those of a user in a few tasks out of many."""
+    lines = spark.range(400).select((F.col("id") % 200).alias("l_orderkey"), (F.col("id") % 100).alias("l_partkey"), F.lit(2.0).alias("l_quantity"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    key = F.when(F.col("id") % 2 == 0, F.lit(7)).cast("bigint")
+    spark.range(200).select(F.col("id").alias("o_orderkey"), key.alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    plain, dealt = fx.triplets(spark, str(tmp_path)), fx.triplets(spark, str(tmp_path), by_user=True)
+    tasks = [
+        [r["count"] for r in df.withColumn("task", F.spark_partition_id()).select("user_id", "task").distinct().groupBy("user_id").count().collect()]
+        for df in (plain, dealt)
+    ]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
+    assert min(tasks[0]) > fx.USER_SHARES >= max(tasks[1])
+
+
 def test_scalers_on_constant_columns_and_nulls(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, c double")
     for scaler, expected in ((ft.standardize(), 0.0), (ft.minmax(), 0.5)):
