@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from helpers import rows
 from tunestrata.operators import metrics as mt
 from tunestrata.operators import recommend as rc
+from tunestrata.operators.ordering import top_places
 from tunestrata.plans import fixtures as fx
 
 # Recorded test results of the binary models.
@@ -196,3 +197,20 @@ def test_groups_without_positives_have_no_area(spark):
     df = spark.createDataFrame([("a", 0.0, 0.5), ("a", 0.0, 0.7), ("b", 1.0, 0.5), ("b", 0.0, 0.5), ("b", 1.0, None)], "g string, label double, score double")
     got = {r["g"]: r["auroc"] for r in mt.grouped_areas(df, ["g"]).collect()}
     assert got["a"] is None and got["b"] is not None
+
+
+def test_places_of_a_top_list_reuse_the_shuffle_of_its_join(spark, many_slices):
+    df = spark.createDataFrame(
+        [(None, 1.0, "b"), (None, 1.0, "a"), ("u", -0.0, "d"), ("u", 0.0, "c"), ("u", -1.0, "e"), ("v", float("nan"), "f")],
+        "user string, value double, item string",
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    places = top_places(df, "user", "value", "item", 2)
+    plan = places._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The cut by task, the first places, and both sides of the join.
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert sorted((r["user"] or "", r["item"], r["place"]) for r in places.collect()) == [
+        ("", "a", 1), ("", "b", 2), ("u", "c", 1), ("u", "d", 2), ("v", "f", 1),
+    ]

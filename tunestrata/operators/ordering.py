@@ -26,6 +26,7 @@ from tunestrata.session import pin
 
 _SLICE = "_slice"
 _SPOT = "_spot"
+_TIE = "_tie"
 _SPOT_MASK = (1 << 33) - 1
 
 
@@ -176,20 +177,29 @@ def top_n_per_group(
     """Rows ranked ``n`` or better. Ties at the edge stay, so a group may return more.
 
     Each task first keeps what is ranked ``n`` or better among the rows it reads. The ``n`` first of
-    these, ties cut, already say which values are in and at which rank; joining them to the rows
-    deals out even a group most of whose rows tie.
+    all, ties cut (Spark cuts them in the reading tasks too), already say which values are in and at
+    which rank; joining them to the rows deals out even a group most of whose rows tie.
+    """
+    return _top_ties(df, _names(part), by, n, name, descending).select(*df.columns, name)
+
+
+def _top_ties(df: DataFrame, keys: Sequence[str], by: str, n: int, name: str, descending: bool) -> DataFrame:
+    """``top_n_per_group`` with the struct ``_TIE`` of group and value, which its rows were joined by.
+
+    Structs of nulls are equal, and a window over ``_TIE`` needs no further shuffle.
     """
-    keys = _names(part)
     order = _by_order(by, descending)
     here = Window.partitionBy(*keys, _SLICE).orderBy(order)
     kept = df.withColumn(_SLICE, F.spark_partition_id()).withColumn(name, F.rank().over(here))
     kept = kept.where(F.col(name) <= n).select(*df.columns)
     whole = Window.partitionBy(*keys).orderBy(order)
-    first = kept.select(*keys, by).withColumn(_SPOT, F.row_number().over(whole)).where(F.col(_SPOT) <= n)
+    first = df.select(*keys, by).withColumn(_SPOT, F.row_number().over(whole)).where(F.col(_SPOT) <= n)
     counts = first.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n"))
     above = F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, -1))
     ranks = counts.select(*keys, by, (F.coalesce(above, F.lit(0)) + 1).alias(name))
-    return _join_null_safe(kept, ranks, [*keys, by], "inner").select(*df.columns, name)
+    tie, others = F.struct(*keys, by).alias(_TIE), [c for c in df.columns if c not in (*keys, by)]
+    top = kept.select(tie, *others).join(ranks.select(tie, name), _TIE)
+    return top.select("*", *(F.col(_TIE).getField(c).alias(c) for c in (*keys, by)))
 
 
 def top_places(
@@ -200,8 +210,8 @@ def top_places(
     Rows of one group and value are numbered in one task, by a sort that spills.
     """
     keys = _names(part)
-    top = top_n_per_group(df, keys, by, n, "_rank", descending)
-    placed = position_within(top, [*keys, "_rank"], [F.col(item)], "_spot_in_tie")
+    top = _top_ties(df, keys, by, n, "_rank", descending)
+    placed = position_within(top, _TIE, [F.col(item)], "_spot_in_tie")
     return placed.select(*df.columns, (F.col("_rank") + F.col("_spot_in_tie") - 1).alias(name))
 
 

@@ -833,5 +833,6 @@ def decode_given_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ranking_of_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     study = _Study(spark, sf_dir)
-    scored = checkpoint(rc.predict_pairs(study.model, study.test), shared_path(spark, "scored"))
-    return mt.ranking_metrics(mt.ranking_rows(scored, "prediction", "plays", 10))
+    scored = rc.predict_pairs(study.model, study.test).select("user_index", "song_id", "plays", "prediction")
+    scored = checkpoint(scored, shared_path(spark, "scored"), "zstd")
+    return mt.ranking_metrics(mt.ranking_rows(scored, "prediction", "plays", 10, "user_index"), user="user_index")
