@@ -387,3 +387,35 @@ def test_stacked_scores_are_those_of_each_model(spark):
     for i, (model, threshold) in enumerate(models):
         one = cl.summary_row(cl.score(model, df, threshold)).first()
         assert got[i] == pytest.approx(tuple(one))
+
+
+def _factors(spark, rows):
+    return spark.createDataFrame([(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)], "id int, features array<float>")
+
+
+def test_all_products_and_bounds_give_the_lists_of_spark(spark, study):
+    """Songs for all users by bounds and by all products, against Spark's own lists, to the last digit."""
+    model = study[3]
+    wanted = {r["song_index"]: [x["rating"] for x in r["recommendations"]] for r in model.recommendForAllItems(7).collect()}
+    for bounded in (True, False):
+        rows = rc.recommend_for_all_items(model, 7, bounded).collect()
+        assert {r["song_index"]: [x["rating"] for x in r["recommendations"]] for r in rows} == wanted
+    assert rows[0].asDict(True)["recommendations"][0].keys() == {"user_index", "rating"}
+
+
+def test_songs_are_not_sorted_with_all_users(spark, monkeypatch):
+    """Ties, zeros and fewer users than places; products are compiled, and lists cut before the shuffle."""
+    class Model:
+        userFactors = _factors(spark, [[0.0, 0.0], [1.0, 1.0], [1.0, 1.0], [-1.0, 2.0]] * 40)
+        itemFactors = _factors(spark, [[0.0, 0.0], [1.0, 1.0], [-3.0, 0.5]])
+
+    plans, kept = [], rc._best_of
+    monkeypatch.setattr(rc, "_best_of", lambda *a: plans.append(kept(*a)) or plans[-1])
+    for bounded in (True, False):
+        got = {r["song_index"]: [x["user_index"] for x in r["recommendations"]] for r in rc.recommend_for_all_items(Model, 3, bounded).collect()}
+        assert got == {0: [0, 1, 2], 1: [1, 2, 5], 2: [3, 7, 11]}
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" in plan and "WindowGroupLimit" in plan
+    few = {r["song_index"]: len(r["recommendations"]) for r in rc.recommend_for_all_items(Model, 200).collect()}
+    assert few == {0: 160, 1: 160, 2: 160}
