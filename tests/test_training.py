@@ -419,3 +419,18 @@ def test_songs_are_not_sorted_with_all_users(spark, monkeypatch):
         assert "BroadcastNestedLoopJoin" in plan and "WindowGroupLimit" in plan
     few = {r["song_index"]: len(r["recommendations"]) for r in rc.recommend_for_all_items(Model, 200).collect()}
     assert few == {0: 160, 1: 160, 2: 160}
+
+
+def test_fits_hold_nothing_in_memory(spark, study, monkeypatch):
+    """Ratings are not cached beside Spark's own blocks, and those and the factors lie on disk."""
+    from pyspark.sql import DataFrame as Frame
+
+    fitted, cached = [], []
+    kept, persist = rc.ALS.fit, Frame.persist
+    monkeypatch.setattr(rc.ALS, "fit", lambda self, df: fitted.append(self) or kept(self, df))
+    monkeypatch.setattr(Frame, "persist", lambda self, *level: cached.append(self) or persist(self, *level))
+    model = rc.fit_als(study[0], 1)
+    assert not cached
+    assert fitted[0].getIntermediateStorageLevel() == fitted[0].getFinalStorageLevel() == "DISK_ONLY"
+    ours, theirs = ({r["id"]: r["features"] for r in m.userFactors.collect()} for m in (model, study[3]))
+    assert ours == theirs

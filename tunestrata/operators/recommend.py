@@ -12,7 +12,7 @@ from tunestrata.operators.features import index_strings
 from tunestrata.operators.joins import attach_metadata, decode_index, explode_recommendations
 from tunestrata.operators.metrics import ranked_lists
 from tunestrata.operators.ordering import global_positions, position_within
-from tunestrata.session import cluster_slots, held, shared_path
+from tunestrata.session import cluster_slots, shared_path
 from tunestrata.sources import checkpoint
 
 #: Users in a block that bounds are held against, and users sent to all tasks at once at most.
@@ -36,22 +36,23 @@ def fit_als(
     """Alternating least squares on ``user_index, song_index, plays``.
 
     Users and songs are cut into ``blocks`` each, one task a block; without a number, as many as
-    the cluster runs at once, and ten at least. Only the three columns it needs are cached for the
-    rounds, and let go afterwards.
+    the cluster runs at once, and ten at least. Spark reads the ratings once into blocks of its own, so
+    they are not cached here; the blocks and the factors of each round lie on the executors' disks, which
+    leaves their memory to the tasks.
     """
     blocks = blocks or max(10, cluster_slots(train.sparkSession))
     # Rounds and regularisation.
     defaults = {"maxIter": 5, "regParam": 0.01, "numUserBlocks": blocks, "numItemBlocks": blocks}
+    kept = {"intermediateStorageLevel": "DISK_ONLY", "finalStorageLevel": "DISK_ONLY"}
     als = ALS(
         userCol="user_index",
         itemCol="song_index",
         ratingCol="plays",
         implicitPrefs=implicit,
         seed=seed,
-        **{**defaults, **settings},
+        **{**defaults, **kept, **settings},
     )
-    with held(train.select("user_index", "song_index", "plays")) as cached:
-        return als.fit(cached)
+    return als.fit(train.select("user_index", "song_index", "plays"))
 
 
 def predict_pairs(model: ALSModel, df: DataFrame) -> DataFrame:
